@@ -148,13 +148,20 @@ def _propose(frame, value, place, ranks, slack) -> dict[int, tuple[float, float]
 
 def _pick(frame: DataFrame, value: Column, place: Mapping[int, Bracket]) -> dict[int, float]:
     answers = {r: b.low for r, b in place.items() if b.low == b.high}
-    rest = [r for r in place if r not in answers]
-    expressions = []
-    for r in rest:
-        bracket = place[r]
-        share = (r - bracket.below + 0.5) / bracket.inside
-        inside = F.when(value.between(bracket.low, bracket.high), value)
-        expressions.append(F.call_function("percentile_disc", inside, F.lit(share)))
-    for r, found in zip(rest, _row(frame, expressions) if rest else []):
-        answers[r] = float(found)
+    shared: dict[Bracket, list[int]] = {}
+    for r, bracket in place.items():
+        if r not in answers:
+            shared.setdefault(bracket, []).append(r)
+    if not shared:
+        return answers
+    inside = frame.select(*[
+        F.when(value.between(b.low, b.high), value).alias(f"v{i}") for i, b in enumerate(shared)
+    ])
+    picks = []
+    for i, (bracket, ranks) in enumerate(shared.items()):
+        # The k-th smallest of m values is the first whose cumulative share reaches (k + 1/2) / m.
+        shares = ", ".join(f"double('{(r - bracket.below + 0.5) / bracket.inside!r}')" for r in ranks)
+        picks.append(F.expr(f"percentile_disc(array({shares})) WITHIN GROUP (ORDER BY v{i})"))
+    for ranks, found in zip(shared.values(), _row(inside, picks)):
+        answers.update(zip(ranks, (float(v) for v in found)))
     return answers
