@@ -31,36 +31,47 @@ def unit_hash(*columns: Column) -> Column:
     return F.shiftrightunsigned(F.xxhash64(*columns), 11) / F.lit(float(1 << 53))
 
 
-def expected_depth(size: float) -> float:
-    """Average depth of an unsuccessful search among ``size`` points."""
-    if size <= 1:
-        return 0.0
-    if size == 2:
-        return 1.0
-    return 2.0 * (math.log(size - 1) + 0.5772156649015329) - 2.0 * (size - 1) / size
-
-
-def _grow(points: pd.DataFrame) -> pd.DataFrame:
-    """One tree in heap order: children of node k are 2k+1 and 2k+2."""
-    tree = int(points["tree"].iloc[0])
-    ordered = points.sort_values("place")
-    data = ordered[[c for c in points.columns if c.startswith("x")]].to_numpy(dtype=float)
-    draw = np.random.default_rng(tree)
-    deepest = max(1, math.ceil(math.log2(max(2, len(data)))))
-    nodes, waiting = [], [(0, data, 0)]
-    while waiting:
-        node, part, depth = waiting.pop()
-        low, high = part.min(axis=0), part.max(axis=0)
-        usable = np.flatnonzero(high > low)
-        if depth >= deepest or len(part) <= 1 or not len(usable):
-            nodes.append((tree, node, -1, 0.0, depth + expected_depth(len(part))))
-            continue
-        feature = int(draw.choice(usable))
-        cut = float(draw.uniform(low[feature], high[feature]))
-        left = part[:, feature] <= cut
-        nodes.append((tree, node, feature, cut, 0.0))
-        waiting += [(2 * node + 1, part[left], depth + 1), (2 * node + 2, part[~left], depth + 1)]
-    return pd.DataFrame(nodes, columns=["tree", "node", "feature", "cut", "path"])
+def _tree_tools():
+    """The two functions that run in Python workers.
+
+    They are nested so that they are shipped by value: workers need no copy of
+    this package.
+    """
+
+    def expected_depth(size: float) -> float:
+        """Average depth of an unsuccessful search among ``size`` points."""
+        if size <= 1:
+            return 0.0
+        if size == 2:
+            return 1.0
+        return 2.0 * (math.log(size - 1) + 0.5772156649015329) - 2.0 * (size - 1) / size
+
+    def grow(points: pd.DataFrame) -> pd.DataFrame:
+        """One tree in heap order: children of node k are 2k+1 and 2k+2."""
+        tree = int(points["tree"].iloc[0])
+        ordered = points.sort_values("place")
+        data = ordered[[c for c in points.columns if c.startswith("x")]].to_numpy(dtype=float)
+        draw = np.random.default_rng(tree)
+        deepest = max(1, math.ceil(math.log2(max(2, len(data)))))
+        nodes, waiting = [], [(0, data, 0)]
+        while waiting:
+            node, part, depth = waiting.pop()
+            low, high = part.min(axis=0), part.max(axis=0)
+            usable = np.flatnonzero(high > low)
+            if depth >= deepest or len(part) <= 1 or not len(usable):
+                nodes.append((tree, node, -1, 0.0, depth + expected_depth(len(part))))
+                continue
+            feature = int(draw.choice(usable))
+            cut = float(draw.uniform(low[feature], high[feature]))
+            left = part[:, feature] <= cut
+            nodes.append((tree, node, feature, cut, 0.0))
+            waiting += [(2 * node + 1, part[left], depth + 1), (2 * node + 2, part[~left], depth + 1)]
+        return pd.DataFrame(nodes, columns=["tree", "node", "feature", "cut", "path"])
+
+    return expected_depth, grow
+
+
+expected_depth, _grow = _tree_tools()
 
 
 def grow_forest(points: DataFrame, names: Sequence[str], identity: Sequence[str], count: int) -> DataFrame:

@@ -6,9 +6,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import fixed
-from ..functions.expr import pearson
 from ..plans.context import SMALL_DOMAIN, TableContext
 from ..plans.local import local_frame
+from ..plans.pairs import Variable, correlations, variable
 from ..plans.ranking import dense_codes
 from .issues import Check, join_issues, make_issues, no_issues
 
@@ -30,20 +30,21 @@ def _feature_number(ctx: TableContext, name: str) -> Column:
     return ctx.number(name)
 
 
-def with_target_number(ctx: TableContext, target: str) -> DataFrame:
+def with_target_number(ctx: TableContext, target: str) -> tuple[DataFrame, Variable]:
     """The table plus ``y``: the target as a number, or alphabetical class codes."""
     y = _feature_number(ctx, target)
-    low, high = ctx.rows.agg(F.min(y), F.max(y)).collect()[0]
+    low, high, mean, filled = ctx.rows.agg(F.min(y), F.max(y), F.avg(y), F.count(y)).collect()[0]
     if low is not None and low != high:
-        return ctx.rows.withColumn("y", y)
+        frame = ctx.rows.withColumn("y", y)
+        return frame, Variable("y", F.col("y"), mean, filled == ctx.count)
     ctx.scan("domain", names=[target])
     text = ctx.column(target).cast("string")
-    values = ctx.rows.select(text.alias("value"))
-    codes = dense_codes(values)
+    codes = dense_codes(ctx.rows.select(text.alias("value")))
     if ctx.stats[target]["sketch_ndv"] <= SMALL_DOMAIN:
         codes = F.broadcast(codes)  # at most about a thousand rows
     joined = ctx.rows.join(codes, text == codes["value"], "left")
-    return joined.withColumn("y", F.coalesce("code", F.lit(-1.0))).drop("value", "code")
+    frame = joined.withColumn("y", F.coalesce("code", F.lit(-1.0))).drop("value", "code")
+    return frame, Variable("y", F.col("y"), None, True)
 
 
 def target_correlations(ctx: TableContext) -> DataFrame:
@@ -51,19 +52,23 @@ def target_correlations(ctx: TableContext) -> DataFrame:
     target = leakage_target(ctx)
     rows = []
     if target is not None and ctx.stats[target].kind != "other":
-        frame = with_target_number(ctx, target)
         features = [n for n in ctx.names if n != target and ctx.stats[n].kind != "other"]
+        ctx.scan("nulls", "moments", "sentinels", names=features)
+        features = [
+            n for n in features
+            if ctx.stats[n].get("numeric_view" if ctx.stats[n].kind == "string" else "non_null", 0) > MIN_PAIRS
+        ]
+        frame, y = with_target_number(ctx, target) if features else (None, None)
         for start in range(0, len(features), FEATURES_PER_JOB):
             part = features[start:start + FEATURES_PER_JOB]
-            measures = []
+            pairs = []
             for n in part:
-                x = _feature_number(ctx, n)
-                measures += [pearson(x, F.col("y")), F.count_if(x.isNotNull() & F.col("y").isNotNull())]
-            found = frame.agg(*[m.alias(f"m{i}") for i, m in enumerate(measures)]).collect()[0]
+                x = variable(ctx, n) if ctx.stats[n].kind != "datetime" else Variable(
+                    n, _feature_number(ctx, n), None, ctx.stats[n]["nulls"] == 0)
+                pairs.append((x, y))
             rows += [
-                {"position": ctx.stats[n].position, "column": n, "target": target,
-                 "abs_r": abs(found[2 * i]), "pairs": found[2 * i + 1]}
-                for i, n in enumerate(part)
+                {"position": ctx.stats[n].position, "column": n, "target": target, "abs_r": abs(r), "pairs": common}
+                for n, (r, common) in zip(part, correlations(frame, pairs))
             ]
     frame = local_frame(
         ctx.spark, rows, "position bigint, `column` string, target string, abs_r double, pairs bigint"

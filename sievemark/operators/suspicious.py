@@ -33,8 +33,8 @@ def text_sentinels(ctx: TableContext) -> DataFrame:
 
 def numeric_sentinels(ctx: TableContext) -> DataFrame:
     """(column, sentinel) pairs that occur and lie far from the column's median."""
-    names = [n for n in numeric_views(ctx) if any(ctx.stats[n]["number_hits"])]
-    ctx.quantiles(names)
+    names = [n for n in numeric_views(ctx) if ctx.stats[n]["code_hits"]]
+    ctx.scan("codes", names=names).quantiles(names)
     stats = ctx.table(names, {"numeric_view": "bigint", "median": "double", "number_hits": "array<bigint>"})
     codes = F.array(*[F.lit(s) for s in fixed.NUMERIC_SENTINELS])
     long = stats.select("*", F.posexplode("number_hits").alias("code_no", "hits"))

@@ -111,15 +111,19 @@ class TableContext:
                 "booleans": F.count_if(boolean),
                 "words": F.count_if(~(number | date | boolean) & (text != "")),
             }
+        if group == "codes" and kind in ("numeric", "string"):
+            x = self.number(name)
+            return {"number_hits": F.array(*[F.count_if(x == float(s)) for s in fixed.NUMERIC_SENTINELS])}
         if group == "sentinels" and kind in ("numeric", "string"):
             x = self.number(name)
             found = {
                 "numeric_view": F.count(x),
                 "negatives": F.count_if(x < 0),
                 "over_125": F.count_if(x > 125),
-                "number_hits": F.array(*[F.count_if(x == s) for s in fixed.NUMERIC_SENTINELS]),
+                "code_hits": F.count_if(x.isin(*[float(s) for s in fixed.NUMERIC_SENTINELS])),
             }
             if kind == "string":
+                found["view_mean"] = F.avg(x)
                 hit = normal_word(c).isin(*fixed.TEXT_SENTINELS)
                 found["text_hits"] = F.count_if(hit)
                 found["text_examples"] = F.slice(
@@ -143,9 +147,14 @@ class TableContext:
         for k, part in enumerate(pending or ([[]] if self._count is None else [])):
             mine = [(n, key, e) for n, key, e in jobs if n in set(part)]
             extra = [F.count(F.lit(1)).alias("n")] if self._count is None else []
+            whole = "nulls" in groups and part == self.names and self._sparse is None
+            if whole:  # every column is read anyway: count sparse rows on the way
+                extra.append(F.count_if(self._is_sparse()).alias("sparse"))
             row = self.rows.agg(*extra, *[e.alias(f"m{i}") for i, (_, _, e) in enumerate(mine)]).collect()[0]
-            if extra:
+            if self._count is None:
                 self._count = int(row["n"])
+            if whole:
+                self._sparse = int(row["sparse"])
             for i, (n, key, _) in enumerate(mine):
                 self.stats[n].values[key] = row[f"m{i}"]
         for name in names:
@@ -166,14 +175,14 @@ class TableContext:
     def sparse_rows(self) -> int:
         """Rows with more than half of their cells null."""
         if self._sparse is None:
-            if self.names:
-                nulls = sum((self.column(n).isNull().cast("int") for n in self.names), F.lit(0))
-                found = self.rows.agg(F.count_if(nulls > F.lit(len(self.names) * 0.5))).collect()[0][0]
-                self._sparse = int(found)
-            else:
-                self._sparse = 0
+            found = self.rows.agg(F.count_if(self._is_sparse())).collect()[0][0] if self.names else 0
+            self._sparse = int(found)
         return self._sparse
 
+    def _is_sparse(self) -> Column:
+        nulls = sum((self.column(n).isNull().cast("int") for n in self.names), F.lit(0))
+        return nulls > F.lit(len(self.names) * 0.5)
+
     # ---- pass B: frequencies -------------------------------------------------
     def frequencies(self, names: Sequence[str]) -> DataFrame:
         """(position, value, cnt) for the given columns; combined before the shuffle."""

@@ -54,7 +54,7 @@ def ks_statistics(
     live = {n: [Cell(None, None, (0, 0), sizes[n])] for n in values if min(sizes[n]) > 0}
     for _ in range(8):
         large = {
-            n: [c for c in cells if sum(c.inside) > limit or c.low is None and c.high is None]
+            n: [c for c in cells if sum(c.inside) > limit]
             for n, cells in live.items()
         }
         large = {n: cells for n, cells in large.items() if cells}

@@ -1,15 +1,93 @@
-"""Pairwise Pearson correlation in tiles of columns, without shuffling rows."""
+"""Pairwise Pearson correlation in tiles of columns, without shuffling rows.
+
+The columns' means are known from an earlier scan, so a pair needs only sums of
+shifted products.  Sums of single columns are shared by all their pairs: k
+complete columns take one sum per pair, not a covariance and two deviations.
+Where the shifted sums would cancel (a pair whose common rows lie far from the
+column means) the pair is recomputed with Spark's numerically stable aggregates.
+"""
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
+from dataclasses import dataclass
 
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.expr import pearson
 from .context import TableContext
 
 TILE = 10  # columns per side: a job reads at most 20 columns and holds 100 pairs
+CANCELLED = 1e-6
+
+
+@dataclass(frozen=True)
+class Variable:
+    """A double expression, its mean (None if unknown) and whether it has no nulls."""
+
+    name: str
+    value: Column
+    mean: float | None
+    complete: bool
+
+    @property
+    def shifted(self) -> Column:
+        return self.value - F.lit(self.mean)
+
+
+def correlations(frame: DataFrame, pairs: Sequence[tuple[Variable, Variable]]) -> list[tuple[float, int]]:
+    """(r, common rows) per pair; r is 0 where a side is constant."""
+    sums: dict[tuple, Column] = {}
+
+    def total(key: tuple, column: Column) -> tuple:
+        sums.setdefault(key, column)
+        return key
+
+    recipes: list[list[tuple] | None] = []
+    for x, y in pairs:
+        both = x.value.isNotNull() & y.value.isNotNull()
+        seen = [k for k, v in ((x.name, x), (y.name, y)) if not v.complete]
+        n = total(("n", *seen), F.count_if(both) if seen else F.count(F.lit(1)))
+        if x.mean is None or y.mean is None:
+            r = total(("r", x.name, y.name), pearson(x.value, y.value))
+            recipes.append([n, r])
+            continue
+        keys = [n]
+        for own, other in ((x, y), (y, x)):
+            v = own.shifted if other.complete else F.when(other.value.isNotNull(), own.shifted)
+            mask = None if other.complete else other.name
+            keys.append(total(("s", own.name, mask), F.sum(v)))
+            keys.append(total(("q", own.name, mask), F.sum(v * v)))
+        keys.append(total(("p", x.name, y.name), F.sum(x.shifted * y.shifted)))
+        recipes.append(keys)
+
+    row = frame.agg(*[c.alias(f"m{i}") for i, c in enumerate(sums.values())]).collect()[0]
+    value = dict(zip(sums, row))
+    results: list[tuple[float, int]] = []
+    again: list[int] = []
+    for i, keys in enumerate(recipes):
+        found = [value[k] or 0 for k in keys]
+        if len(keys) == 2:
+            results.append((float(found[1]), int(found[0])))
+            continue
+        n, sx, qx, sy, qy, p = found
+        if n == 0 or qx == 0 or qy == 0:
+            results.append((0.0, int(n)))
+            continue
+        vx, vy = qx - sx * sx / n, qy - sy * sy / n
+        if not (math.isfinite(vx * vy) and vx > CANCELLED * qx and vy > CANCELLED * qy):
+            again.append(i)
+            results.append((0.0, int(n)))
+            continue
+        r = (p - sx * sy / n) / math.sqrt(vx) / math.sqrt(vy)
+        results.append((max(-1.0, min(1.0, r)), int(n)))
+    if again:
+        stable = [pearson(pairs[i][0].value, pairs[i][1].value).alias(f"r{i}") for i in again]
+        for i, r in zip(again, frame.agg(*stable).collect()[0]):
+            results[i] = (float(r), results[i][1])
+    return results
 
 
 def tiles(names: Sequence[str]) -> list[list[tuple[str, str]]]:
@@ -26,15 +104,22 @@ def tiles(names: Sequence[str]) -> list[list[tuple[str, str]]]:
     return jobs
 
 
+def variable(ctx: TableContext, name: str) -> Variable:
+    s = ctx.stats[name]
+    if s.kind == "string":
+        return Variable(name, ctx.number(name), s.get("view_mean"), s["numeric_view"] == ctx.count)
+    return Variable(name, ctx.number(name), s.get("mean"), s["nulls"] == 0)
+
+
 def correlate(ctx: TableContext, names: Sequence[str]) -> dict[tuple[str, str], float]:
     """r per unordered pair; null cells drop out pair by pair; constant sides give 0."""
+    ctx.scan("nulls", "moments", names=names)
+    constant = {n for n in names if ctx.stats[n].get("min") == ctx.stats[n].get("max")}
     cache = ctx.__dict__.setdefault("_pearson", {})
     for pairs in tiles(names):
+        cache.update({p: 0.0 for p in pairs if p not in cache and constant.intersection(p)})
         todo = [p for p in pairs if p not in cache]
-        if not todo:
-            continue
-        row = ctx.rows.agg(*[
-            pearson(ctx.number(a), ctx.number(b)).alias(f"r{i}") for i, (a, b) in enumerate(todo)
-        ]).collect()[0]
-        cache.update({p: float(r) for p, r in zip(todo, row)})
+        if todo:
+            found = correlations(ctx.rows, [(variable(ctx, a), variable(ctx, b)) for a, b in todo])
+            cache.update({p: r for p, (r, _) in zip(todo, found)})
     return {p: cache[p] for pairs in tiles(names) for p in pairs}

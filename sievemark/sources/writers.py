@@ -14,7 +14,9 @@ def write_table(frame: DataFrame, path: str, mode: str = "errorifexists") -> Non
     if path.lower().rstrip("/").endswith(".parquet"):
         writer.parquet(path)
     else:
-        writer.option("header", True).option("quote", '"').option("escape", '"').csv(path)
+        writer.options(
+            header=True, quote='"', escape='"', ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False,
+        ).csv(path)
 
 
 def write_report(report: Report, folder: str, mode: str = "errorifexists") -> None:
