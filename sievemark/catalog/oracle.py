@@ -389,7 +389,7 @@ CHECKS = {  # checker -> (issues, cap)
     "data_types": (type_issues, 50), "constant_columns": (constant_issues, 50),
     "suspicious_values": (suspicious_issues, 50),
 }
-SHOWN = "checker_id, issue_id, severity, affected_rows_count, affected_rows_percentage, fix_action, round(penalty, 4) AS penalty"
+SHOWN = "checker_id, issue_id, severity, affected_rows_count::DOUBLE AS affected_rows_count, affected_rows_percentage, fix_action, round(penalty, 4) AS penalty"
 
 
 def issue_list(columns, target, t="d") -> str:

@@ -50,11 +50,25 @@ SQL_CHECKERS = {**CHECKERS, "outliers": plain_outliers}
 
 def shown(issues: DataFrame) -> DataFrame:
     return issues.select(
-        "checker_id", "issue_id", "severity", "affected_rows_count", "affected_rows_percentage", "fix_action",
+        "checker_id", "issue_id", "severity", F.col("affected_rows_count").cast("double").alias("affected_rows_count"),
+        "affected_rows_percentage", "fix_action",
         F.round("penalty", 4).alias("penalty"),
     )
 
 
+def portable(frame: DataFrame) -> DataFrame:
+    """Nullable integers as doubles and timestamps as text: forms every client reads alike."""
+    parts = []
+    for f in frame.schema.fields:
+        if f.name in ("sparse_col", "k", "age"):
+            parts.append(F.col(f.name).cast("double").alias(f.name))
+        elif f.dataType.typeName() == "timestamp":
+            parts.append(F.date_format(f.name, "yyyy-MM-dd HH:mm:ss").alias(f.name))
+        else:
+            parts.append(F.col(f.name))
+    return frame.select(*parts)
+
+
 def dirty_report(spark: SparkSession, folder: str):
     return audit(dirty(spark, folder), TARGET, checkers=SQL_CHECKERS)
 
@@ -96,11 +110,11 @@ def src_json(spark, folder):
     return _orders_summary(spark.read.schema(table(spark, folder, "orders").schema).json(path))
 
 
-@query("snk_parquet", "SELECT * FROM orders")
+@query("snk_parquet", "SELECT * REPLACE (strftime(o_orderdate, '%Y-%m-%d %H:%M:%S') AS o_orderdate) FROM orders")
 def snk_parquet(spark, folder):
     path = f"{shared_folder(spark)}/orders.parquet"
     writers.write_table(table(spark, folder, "orders"), path)
-    return readers.read_table(spark, path)
+    return portable(readers.read_table(spark, path))
 
 
 @query("src_csv_na_tokens", D + """SELECT status, count(*) AS n FROM
@@ -697,28 +711,28 @@ def cln_plan(spark, folder):
     return local_frame(spark, [{"fix_action": a} for a in found], "fix_action string")
 
 
-@query("cln_drop_exact_duplicates", D + "SELECT DISTINCT * FROM d")
+@query("cln_drop_exact_duplicates", D + "SELECT DISTINCT * REPLACE (k::DOUBLE AS k, sparse_col::DOUBLE AS sparse_col) FROM d")
 def cln_exact(spark, folder):
-    return repair(dirty(spark, folder), ["drop_exact_duplicates"]).frame
+    return portable(repair(dirty(spark, folder), ["drop_exact_duplicates"]).frame)
 
 
-@query("cln_drop_target_na", D + "SELECT * FROM d WHERE total_price IS NOT NULL")
+@query("cln_drop_target_na", D + "SELECT * REPLACE (k::DOUBLE AS k, sparse_col::DOUBLE AS sparse_col) FROM d WHERE total_price IS NOT NULL")
 def cln_target(spark, folder):
-    return repair(dirty(spark, folder), ["drop_target_na:total_price"], "total_price").frame
+    return portable(repair(dirty(spark, folder), ["drop_target_na:total_price"], "total_price").frame)
 
 
-@query("cln_drop_sparse_rows", D + "SELECT total_price, sparse_col FROM d WHERE total_price IS NOT NULL OR sparse_col IS NOT NULL")
+@query("cln_drop_sparse_rows", D + "SELECT total_price, sparse_col::DOUBLE AS sparse_col FROM d WHERE total_price IS NOT NULL OR sparse_col IS NOT NULL")
 def cln_sparse(spark, folder):
-    return repair(dirty(spark, folder).select("total_price", "sparse_col"), ["drop_sparse_rows"]).frame
+    return portable(repair(dirty(spark, folder).select("total_price", "sparse_col"), ["drop_sparse_rows"]).frame)
 
 
 _LINE_ORDER = [c for c, _, _ in sql.LINEITEM_COLUMNS if c != "l_orderkey"]
 
 
-@query("cln_first_by_key", f"""SELECT {', '.join(c for c, _, _ in sql.LINEITEM_COLUMNS)} FROM (SELECT *, row_number() OVER (PARTITION BY l_orderkey
+@query("cln_first_by_key", f"""SELECT {', '.join(c for c, _, _ in sql.LINEITEM_COLUMNS[:-1])}, strftime(l_shipdate, '%Y-%m-%d %H:%M:%S') AS l_shipdate FROM (SELECT *, row_number() OVER (PARTITION BY l_orderkey
   ORDER BY {', '.join(_LINE_ORDER)}) AS rn FROM lineitem) x WHERE rn = 1""")
 def cln_first(spark, folder):
-    return repair(table(spark, folder, "lineitem"), ["drop_duplicates_by_key:l_orderkey"], order_by=_LINE_ORDER).frame
+    return portable(repair(table(spark, folder, "lineitem"), ["drop_duplicates_by_key:l_orderkey"], order_by=_LINE_ORDER).frame)
 
 
 @query("cln_null_sentinels", D + f"""SELECT k, CASE WHEN total_price NOT IN ({sql._CODES}) THEN total_price END AS total_price,
@@ -736,9 +750,9 @@ def cln_detected(spark, folder):
     return repair(frame, actions, detected=True).frame
 
 
-@query("cln_sanitize_age", f"SELECT cust, CASE WHEN age BETWEEN 0 AND 120 THEN age END AS age FROM {AGES}")
+@query("cln_sanitize_age", f"SELECT cust, (CASE WHEN age BETWEEN 0 AND 120 THEN age END)::DOUBLE AS age FROM {AGES}")
 def cln_age(spark, folder):
-    return repair(people(spark, folder).select("cust", "age"), ["sanitize_age_bounds:age"]).frame
+    return portable(repair(people(spark, folder).select("cust", "age"), ["sanitize_age_bounds:age"]).frame)
 
 
 @query("cln_absolute", D + "SELECT k, abs(total_price)::DOUBLE AS total_price FROM d")
@@ -751,9 +765,9 @@ def cln_currency(spark, folder):
     return repair(dirty(spark, folder).select("k", "amount_txt"), ["clean_numeric_string:amount_txt"]).frame
 
 
-@query("cln_text_to_date", D + "SELECT k, strptime(date_txt, '%Y/%m/%d') AS date_txt FROM d")
+@query("cln_text_to_date", D + "SELECT k::DOUBLE AS k, strftime(strptime(date_txt, '%Y/%m/%d'), '%Y-%m-%d %H:%M:%S') AS date_txt FROM d")
 def cln_date(spark, folder):
-    return repair(dirty(spark, folder).select("k", "date_txt"), ["convert_to_datetime:date_txt"]).frame
+    return portable(repair(dirty(spark, folder).select("k", "date_txt"), ["convert_to_datetime:date_txt"]).frame)
 
 
 @query("cln_to_integer", "SELECT l_orderkey, l_linenumber, l_quantity::BIGINT AS l_quantity FROM lineitem")
@@ -782,20 +796,21 @@ def cln_mode(spark, folder):
     return repair(frame, ["replace_sentinels_with_nan:status", "impute:status"]).frame
 
 
-@query("cln_drop_columns", D + f"SELECT {', '.join(c for c, _, _ in COLS if c not in ('const_col', 'quasi'))} FROM d")
+@query("cln_drop_columns", D + "SELECT * EXCLUDE (const_col, quasi) REPLACE (k::DOUBLE AS k, sparse_col::DOUBLE AS sparse_col) FROM d")
 def cln_columns(spark, folder):
-    return repair(dirty(spark, folder), ["drop_column:const_col", "drop_column:quasi", "drop_column:target"], TARGET).frame
+    actions = ["drop_column:const_col", "drop_column:quasi", "drop_column:target"]
+    return portable(repair(dirty(spark, folder), actions, TARGET).frame)
 
 
 CLEANED = D + ", " + sql.CLEAN_CTES
 
 
-@query("cln_full_repair", CLEANED + """ SELECT k, round(total_price, 4) AS total_price, status, amount_txt, date_txt, target,
-  base_price, rare_target FROM c""")
+@query("cln_full_repair", CLEANED + """ SELECT k::DOUBLE AS k, round(total_price, 4) AS total_price, status, amount_txt,
+  strftime(date_txt, '%Y-%m-%d %H:%M:%S') AS date_txt, target, base_price, rare_target FROM c""")
 def cln_full(spark, folder):
     frame = dirty(spark, folder)
     out = repair(frame, target=TARGET, report=dirty_report(spark, folder)).frame
-    return out.withColumn("total_price", F.round("total_price", 4))
+    return portable(out.withColumn("total_price", F.round("total_price", 4)))
 
 
 @query("cln_stats", CLEANED + f"""SELECT (SELECT count(*) FROM d) AS initial_rows, {len(COLS)}::BIGINT AS initial_columns,

@@ -97,34 +97,19 @@ def grade_of(score: Column) -> Column:
     return ladder.otherwise("F")
 
 
-def pearson(x: Column, y: Column) -> Column:
-    """Pairwise-complete Pearson r that yields 0 for a constant side.
-
-    ``corr`` divides by zero under ANSI mode when a side is constant; the
-    regression form guards that case itself and the covariance supplies the sign.
-    """
-    strength = F.sqrt(F.regr_r2(x, y))
-    return F.coalesce(F.signum(F.covar_pop(x, y)) * strength, F.lit(0.0))
-
-
-def bucket_of(value: Column, cuts: Sequence[float], points: bool = False) -> Column:
-    """Index of the interval that holds ``value``: a balanced CASE tree.
+def bucket_sql(value: str, cuts: Sequence[float], points: bool = False) -> str:
+    """SQL for the index of the interval that holds ``value``: a balanced CASE tree.
 
     With ``points`` false the result is the number of cuts <= value (left-closed
     intervals).  With ``points`` true open intervals get even ids 0, 2, 4 ... and
     a value equal to cut ``i`` gets the odd id ``2*i + 1``.
     """
-    if not cuts:
-        return F.when(value.isNotNull(), F.lit(0))
-
-    def descend(low: int, high: int) -> Column:
+    def descend(low: int, high: int) -> str:
         if low == high:
-            return F.lit(2 * low if points else low)
+            return str(2 * low if points else low)
         middle = (low + high) // 2
-        cut = F.lit(float(cuts[middle]))
-        split = F.when(value < cut, descend(low, middle))
-        if points:
-            split = split.when(value == cut, F.lit(2 * middle + 1))
-        return split.otherwise(descend(middle + 1, high))
+        cut = f"double('{float(cuts[middle])!r}')"
+        equal = f" WHEN {value} = {cut} THEN {2 * middle + 1}" if points else ""
+        return f"CASE WHEN {value} < {cut} THEN {descend(low, middle)}{equal} ELSE {descend(middle + 1, high)} END"
 
-    return F.when(value.isNotNull(), descend(0, len(cuts)))
+    return f"CASE WHEN {value} IS NOT NULL THEN {descend(0, len(cuts))} END"

@@ -17,7 +17,7 @@ from .constant import check_constant
 from .correlation import check_correlation
 from .duplicates import check_duplicates
 from .imbalance import check_imbalance
-from .issues import DIMENSION_OF, Check, join_issues, make_issues
+from .issues import DIMENSION_OF, ISSUE_SCHEMA, Check, make_issues
 from .leakage import check_leakage
 from .missing import check_missing
 from .outliers import check_outliers
@@ -96,11 +96,15 @@ class Report:
 
 
 def run_checker(ctx: TableContext, checker_id: str, checker: Checker) -> Check:
-    """A checker that raises yields a MEDIUM issue and score 50; the audit goes on."""
+    """Run one checker and settle its findings.
+
+    A checker that raises yields a MEDIUM issue and score 50; the audit goes on.
+    """
     try:
         check = checker(ctx)
-        check.issues = settle(check.issues)
-        return check
+        rows = [r.asDict() for part in check.parts for r in part.collect()]
+        found = local_frame(ctx.spark, rows, ISSUE_SCHEMA)
+        return Check(check.checker_id, found, check.metrics, check.base_penalty, check.cap, check.dimension)
     except Exception as problem:  # noqa: BLE001 - reported as an issue
         logging.getLogger(__name__).warning("check %s failed: %s", checker_id, problem)
         text = str(problem).splitlines()[0][:500] if str(problem) else type(problem).__name__
@@ -124,15 +128,18 @@ def audit(
 ) -> Report:
     """Audit a table.  ``checkers`` replaces the default nine by name.
 
-    With ``full`` the statistics that the profile reports as well are gathered up
-    front in as few scans as possible, and the checks reuse them.
+    With ``full`` the statistics that several checks share are gathered up front
+    in as few scans as possible.  Exact distinct counts of large-domain columns
+    take a shuffle and are left to the profile, which reports them.
     """
     ctx = ctx or TableContext(frame, target)
-    if full and ctx.names and checkers is None:
-        ctx.scan("nulls", "moments", "whole", "shapes", "sentinels")
-        ctx.distinct(ctx.names, tops=True)
+    checkers = checkers or CHECKERS
+    if full and ctx.names and set(CHECKERS) <= set(checkers):
+        ctx.scan("nulls", "domain", "moments", "whole", "shapes", "sentinels")
         if ctx.count:
-            ctx.quantiles(ctx.of_kind("numeric", "boolean"))
-    checks = [run_checker(ctx, key, checker) for key, checker in (checkers or CHECKERS).items()]
-    issues = settle(join_issues([c.issues for c in checks]))
+            ctx.small_domain(ctx.names, tops=True)
+            ctx.quantiles(ctx.of_kind("numeric"))
+    checks = [run_checker(ctx, key, checker) for key, checker in checkers.items()]
+    rows = [r.asDict() for c in checks for r in c.issues.collect()]
+    issues = local_frame(ctx.spark, rows, ISSUE_SCHEMA)
     return Report(ctx, name, scoring.checker_table(checks), issues)

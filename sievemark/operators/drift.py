@@ -9,7 +9,7 @@ from functools import cached_property
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.expr import bucket_of, fold_missing, kind_of, quoted
+from ..functions.expr import bucket_sql, fold_missing, kind_of, quoted
 from ..plans.ks import ks_statistics
 from ..plans.local import local_frame, settle
 from ..plans.quantiles import BUFFER_LIMIT, exact_quantiles
@@ -146,8 +146,9 @@ class Drift:
         schema = "`column` string, bin int, expected bigint, actual bigint"
         if not usable:
             return local_frame(self.spark, [], schema)
-        slots = {str(i): bucket_of(self._value(n), self.edges[n][1:-1]) for i, n in enumerate(usable)}
-        wide = self.both.select("side", *[e.alias(k) for k, e in slots.items()])
+        slots = {str(i): bucket_sql(f"v{i}", self.edges[n][1:-1]) for i, n in enumerate(usable)}
+        values = self.both.select("side", *[self._value(n).alias(f"v{i}") for i, n in enumerate(usable)])
+        wide = values.selectExpr("side", *[f"{e} AS `{k}`" for k, e in slots.items()])
         if len(usable) > 1:
             long = wide.unpivot("side", list(slots), "label", "bin")
         else:

@@ -11,7 +11,7 @@ from ..functions import fixed
 from ..functions.expr import percent
 from ..plans.context import TableContext
 from ..plans.local import local_frame
-from .issues import Check, join_issues, make_issues, no_issues
+from .issues import Check, make_issues, no_issues
 
 CHECKER = "duplicate_rows"
 
@@ -93,4 +93,4 @@ def check_duplicates(ctx: TableContext) -> Check:
         "exact_duplicates_percentage": percent_of(found, ctx.count),
         "id_columns_inspected": len(key_columns(ctx.names)),
     }
-    return Check(CHECKER, join_issues([exact, keyed, same]), metrics)
+    return Check(CHECKER, [exact, keyed, same], metrics)

@@ -32,13 +32,15 @@ class Check:
     """Findings of one checker plus what scoring needs to know about it."""
 
     checker_id: str
-    issues: DataFrame
+    issues: DataFrame | Sequence[DataFrame]
     metrics: dict[str, Any] = field(default_factory=dict)
     base_penalty: float = 0.0
     cap: float = 100.0
     dimension: str | None = None
 
     def __post_init__(self):
+        self.parts = [self.issues] if isinstance(self.issues, DataFrame) else list(self.issues)
+        self.issues = join_issues(self.parts)
         self.dimension = self.dimension or DIMENSION_OF.get(self.checker_id, "Validity")
 
 

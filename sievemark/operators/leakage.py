@@ -10,7 +10,7 @@ from ..plans.context import SMALL_DOMAIN, TableContext
 from ..plans.local import local_frame
 from ..plans.pairs import Variable, correlations, variable
 from ..plans.ranking import dense_codes
-from .issues import Check, join_issues, make_issues, no_issues
+from .issues import Check, make_issues, no_issues
 
 CHECKER = "data_leakage"
 LEAK_FROM, SUSPECT_FROM, MIN_PAIRS, PURITY, MAX_LEVELS = 0.95, 0.88, 20, 0.99, 10
@@ -130,6 +130,6 @@ def check_leakage(ctx: TableContext) -> Check:
         columns=F.array(name, F.col("target")), details={"lowest_purity": F.col("purity")},
         fix_action=F.concat(F.lit("drop_column:"), name), seq=F.col("position") * 10 + 1, penalty=45.0,
     )
-    return Check(CHECKER, join_issues([direct, proxy]), {
+    return Check(CHECKER, [direct, proxy], {
         "target_column": target, "features_evaluated": len(ctx.names) - 1,
     })

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.expr import percent, percent_of
 from ..plans.context import TableContext
 from ..plans.local import local_frame
-from .issues import Check, join_issues, make_issues
+from .issues import Check, make_issues
 
 CHECKER = "missing_values"
 DROP_ABOVE, HIGH_FROM = 60.0, 20.0
@@ -98,4 +98,4 @@ def check_missing(ctx: TableContext) -> Check:
         fix_action=F.lit("drop_sparse_rows"), seq=1_000_000, fails=fails,
     )
     metrics["sparse_rows"] = sparse_rows
-    return Check(CHECKER, join_issues([target, per_column, sparse]), metrics, base_penalty=3.5 * overall)
+    return Check(CHECKER, [target, per_column, sparse], metrics, base_penalty=3.5 * overall)

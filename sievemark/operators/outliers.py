@@ -10,7 +10,7 @@ from ..plans.context import TableContext
 from ..plans.local import local_frame
 from ..plans.quantiles import exact_quantiles
 from .iforest import joint_anomalies
-from .issues import Check, join_issues, make_issues, no_issues
+from .issues import Check, make_issues, no_issues
 
 CHECKER = "outliers"
 STATS = {
@@ -100,4 +100,4 @@ def check_outliers(ctx: TableContext, forest: bool = True) -> Check:
             columns=F.array(*[F.lit(c) for c in names[:4]]),
             rows=F.col("found"), pct=percent(F.col("found"), F.col("n")), seq=1_000_000, penalty=4.0,
         ))
-    return Check(CHECKER, join_issues(parts), metrics, cap=50.0)
+    return Check(CHECKER, parts, metrics, cap=50.0)

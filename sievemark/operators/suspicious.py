@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import fixed
 from ..functions.expr import percent
 from ..plans.context import TableContext
-from .issues import Check, join_issues, make_issues, name_has, no_issues
+from .issues import Check, make_issues, name_has, no_issues
 
 CHECKER = "suspicious_values"
 
@@ -112,4 +112,4 @@ def check_suspicious(ctx: TableContext) -> Check:
         fix_action=F.concat(F.when(rule == "age", "sanitize_age_bounds:").otherwise("abs_or_nan:"), name),
         seq=place + 20 + F.col("rule_no"), penalty=10.0,
     )
-    return Check(CHECKER, join_issues([words, codes, ranges]), {"columns_audited": len(ctx.names)}, cap=50.0)
+    return Check(CHECKER, [words, codes, ranges], {"columns_audited": len(ctx.names)}, cap=50.0)

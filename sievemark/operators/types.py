@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.expr import percent
 from ..plans.context import TableContext
-from .issues import Check, join_issues, make_issues, no_issues
+from .issues import Check, make_issues, no_issues
 
 CHECKER = "data_types"
 SHAPES = ("numbers", "dates", "booleans", "words")
@@ -78,4 +78,4 @@ def check_types(ctx: TableContext) -> Check:
         details={"distinct_values": F.col("ndv")},
         fix_action=F.concat(F.lit("cast_to_int:"), name), seq=F.col("position"), penalty=6.0,
     )
-    return Check(CHECKER, join_issues([text, whole]), {"columns_audited": len(ctx.names)}, cap=50.0)
+    return Check(CHECKER, [text, whole], {"columns_audited": len(ctx.names)}, cap=50.0)

@@ -16,9 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import fixed
-from ..functions.expr import (
-    as_number, fold_missing, is_blank, is_floating, kind_of, normal_word, quoted, strip,
-)
+from ..functions.expr import as_number, fold_missing, is_floating, kind_of, quoted, strip
 from .local import local_frame
 from .quantiles import BUFFER_LIMIT, exact_quantiles
 from .repeats import surplus_rows
@@ -84,58 +82,70 @@ class TableContext:
         return as_number(self.column(name), dtype)
 
     # ---- pass A: one scan, no shuffle ---------------------------------------
-    def _measures(self, name: str, group: str) -> dict[str, Column]:
-        stats, c = self.stats[name], self.column(name)
-        kind = stats.kind
+    # A measure is SQL text over a projection that gives, per column i, the value
+    # c{i}, its double view x{i} and, for text, the stripped form s{i}: each is
+    # computed once per row however many measures use it.
+    def _measures(self, name: str, group: str) -> dict[str, str]:
+        stats = self.stats[name]
+        i, kind = stats.position, stats.kind
         if group == "nulls":
-            found = {"non_null": F.count(c)}
+            found = {"non_null": f"count(c{i})"}
             if kind == "string":
-                found["blanks"] = F.count_if(is_blank(c))
+                found["blanks"] = f"count_if(s{i} = '')"
             return found
         if group == "domain":
-            return {} if kind == "other" else {"sketch_ndv": F.approx_count_distinct(c)}
+            return {} if kind == "other" else {"sketch_ndv": f"approx_count_distinct(c{i})"}
         if group == "moments" and kind in ("numeric", "boolean"):
-            x = self.number(name)
-            return {"min": F.min(x), "max": F.max(x), "mean": F.avg(x), "std": F.stddev_samp(x)}
+            return {"min": f"min(x{i})", "max": f"max(x{i})", "mean": f"avg(x{i})", "std": f"stddev_samp(x{i})"}
         if group == "whole" and stats.floating:
-            return {"whole": F.bool_and(c == F.floor(c))}
+            return {"whole": f"bool_and(c{i} = floor(c{i}))"}
         if group == "shapes" and kind == "string":
-            text, word = strip(c), normal_word(c)
-            number = text.rlike(fixed.NUMBER_PATTERN)
-            date = text.rlike(fixed.DATE_PATTERN)
-            boolean = word.isin("true", "false")
+            number, date = f"s{i} RLIKE r'{fixed.NUMBER_PATTERN}'", f"s{i} RLIKE r'{fixed.DATE_PATTERN}'"
+            boolean = f"lower(s{i}) IN ('true', 'false')"
             return {
-                "currency": F.count_if(text.rlike(fixed.CURRENCY_PATTERN)),
-                "dates": F.count_if(date),
-                "numbers": F.count_if(number),
-                "booleans": F.count_if(boolean),
-                "words": F.count_if(~(number | date | boolean) & (text != "")),
+                "currency": f"count_if(s{i} RLIKE r'{fixed.CURRENCY_PATTERN}')",
+                "dates": f"count_if({date})",
+                "numbers": f"count_if({number})",
+                "booleans": f"count_if({boolean})",
+                "words": f"count_if(NOT ({number} OR {date} OR {boolean}) AND s{i} <> '')",
             }
-        if group == "codes" and kind in ("numeric", "string"):
-            x = self.number(name)
-            return {"number_hits": F.array(*[F.count_if(x == float(s)) for s in fixed.NUMERIC_SENTINELS])}
         if group == "sentinels" and kind in ("numeric", "string"):
-            x = self.number(name)
+            codes = ", ".join(f"{s}D" for s in fixed.NUMERIC_SENTINELS)
             found = {
-                "numeric_view": F.count(x),
-                "negatives": F.count_if(x < 0),
-                "over_125": F.count_if(x > 125),
-                "code_hits": F.count_if(x.isin(*[float(s) for s in fixed.NUMERIC_SENTINELS])),
+                "numeric_view": f"count(x{i})",
+                "negatives": f"count_if(x{i} < 0)",
+                "over_125": f"count_if(x{i} > 125)",
+                "code_hits": f"count_if(x{i} IN ({codes}))",
             }
             if kind == "string":
-                found["view_mean"] = F.avg(x)
-                hit = normal_word(c).isin(*fixed.TEXT_SENTINELS)
-                found["text_hits"] = F.count_if(hit)
-                found["text_examples"] = F.slice(
-                    F.array_sort(F.collect_set(F.when(hit, strip(c)))), 1, 5
+                words = ", ".join(f"'{w}'" for w in fixed.TEXT_SENTINELS)
+                found["view_mean"] = f"avg(x{i})"
+                found["text_hits"] = f"count_if(lower(s{i}) IN ({words}))"
+                # The set is bounded by the spellings of the sentinel words.
+                found["text_examples"] = (
+                    f"slice(array_sort(collect_set(CASE WHEN lower(s{i}) IN ({words}) THEN s{i} END)), 1, 5)"
                 )
             return found
+        if group == "codes" and kind in ("numeric", "string"):
+            hits = ", ".join(f"count_if(x{i} = {s}D)" for s in fixed.NUMERIC_SENTINELS)
+            return {"number_hits": f"array({hits})"}
         return {}
 
+    def _views(self, names: Sequence[str]) -> DataFrame:
+        parts = []
+        for n in names:
+            i, kind = self.stats[n].position, self.stats[n].kind
+            parts.append(F.col(f"c{i}"))
+            if kind in ("numeric", "boolean", "string"):
+                parts.append(self.number(n).alias(f"x{i}"))
+            if kind == "string":
+                parts.append(strip(self.column(n)).alias(f"s{i}"))
+        return self.rows.select(*parts)
+
     def scan(self, *groups: str, names: Iterable[str] | None = None) -> "TableContext":
         """Fill the given measure groups, reading each column once."""
         names = self.names if names is None else list(names)
-        jobs: list[tuple[str, str, Column]] = []
+        jobs: list[tuple[str, str, str]] = []
         for name in names:
             for group in groups:
                 if (name, group) in self._done:
@@ -144,16 +154,17 @@ class TableContext:
                 jobs += [(name, key, e) for key, e in self._measures(name, group).items()]
         columns = list(dict.fromkeys(name for name, _, _ in jobs))
         pending = [columns[i:i + COLUMNS_PER_SCAN] for i in range(0, len(columns), COLUMNS_PER_SCAN)]
-        for k, part in enumerate(pending or ([[]] if self._count is None else [])):
-            mine = [(n, key, e) for n, key, e in jobs if n in set(part)]
-            extra = [F.count(F.lit(1)).alias("n")] if self._count is None else []
-            whole = "nulls" in groups and part == self.names and self._sparse is None
-            if whole:  # every column is read anyway: count sparse rows on the way
-                extra.append(F.count_if(self._is_sparse()).alias("sparse"))
-            row = self.rows.agg(*extra, *[e.alias(f"m{i}") for i, (_, _, e) in enumerate(mine)]).collect()[0]
-            if self._count is None:
+        for part in pending or ([[]] if self._count is None else []):
+            mine = [job for job in jobs if job[0] in set(part)]
+            extra = {} if self._count is not None else {"n": "count(1)"}
+            if "nulls" in groups and part == self.names and self._sparse is None:
+                extra["sparse"] = f"count_if({self._sparse_test()})"  # every column is read anyway
+            row = self._views(part).selectExpr(
+                *[f"{e} AS {k}" for k, e in extra.items()], *[f"{e} AS m{i}" for i, (_, _, e) in enumerate(mine)]
+            ).collect()[0]
+            if "n" in extra:
                 self._count = int(row["n"])
-            if whole:
+            if "sparse" in extra:
                 self._sparse = int(row["sparse"])
             for i, (n, key, _) in enumerate(mine):
                 self.stats[n].values[key] = row[f"m{i}"]
@@ -175,13 +186,13 @@ class TableContext:
     def sparse_rows(self) -> int:
         """Rows with more than half of their cells null."""
         if self._sparse is None:
-            found = self.rows.agg(F.count_if(self._is_sparse())).collect()[0][0] if self.names else 0
+            found = self.rows.selectExpr(f"count_if({self._sparse_test()})").collect()[0][0] if self.names else 0
             self._sparse = int(found)
         return self._sparse
 
-    def _is_sparse(self) -> Column:
-        nulls = sum((self.column(n).isNull().cast("int") for n in self.names), F.lit(0))
-        return nulls > F.lit(len(self.names) * 0.5)
+    def _sparse_test(self) -> str:
+        nulls = " + ".join(f"int(c{i} IS NULL)" for i in range(len(self.names)))
+        return f"{nulls} > {len(self.names) * 0.5}D"
 
     # ---- pass B: frequencies -------------------------------------------------
     def frequencies(self, names: Sequence[str]) -> DataFrame:

@@ -17,7 +17,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.expr import bucket_of
+from ..functions.expr import bucket_sql
 
 CUTS = 63
 ACCURACY = 1000
@@ -36,12 +36,12 @@ class Cell:
         (a, b), (u, v) = self.before, self.inside
         return max(abs((a + u) / n1 - b / n2), abs(a / n1 - (b + v) / n2))
 
-    def holds(self, value: Column) -> Column:
-        test = value.isNotNull()
+    def holds(self, value: str) -> str:
+        test = f"{value} IS NOT NULL"
         if self.low is not None:
-            test = test & (value > self.low)
+            test += f" AND {value} > double('{self.low!r}')"
         if self.high is not None:
-            test = test & (value < self.high)
+            test += f" AND {value} < double('{self.high!r}')"
         return test
 
 
@@ -50,6 +50,8 @@ def ks_statistics(
     limit: int = 1_000_000, cuts: int = CUTS,
 ) -> dict[str, float]:
     """D per name.  ``side`` is 0 for the reference rows and 1 for the current rows."""
+    frame = frame.select(side.alias("side"), *[v.alias(f"v{i}") for i, v in enumerate(values.values())])
+    values = {n: f"v{i}" for i, n in enumerate(values)}
     best = {n: 0.0 for n in values}
     live = {n: [Cell(None, None, (0, 0), sizes[n])] for n in values if min(sizes[n]) > 0}
     for _ in range(8):
@@ -60,7 +62,7 @@ def ks_statistics(
         large = {n: cells for n, cells in large.items() if cells}
         if not large:
             break
-        split = _split(frame, side, values, large, cuts)
+        split = _split(frame, values, large, cuts)
         for n, pieces in split.items():
             n1, n2 = sizes[n]
             kept = [c for c in live[n] if not any(c is big for big in large[n])]
@@ -69,16 +71,16 @@ def ks_statistics(
                 kept += cells
             live[n] = [c for c in kept if c.bound(n1, n2) > best[n]]
     live = {n: cells for n, cells in live.items() if cells}
-    for n, gap in _resolve(frame, side, values, live, sizes).items():
+    for n, gap in _resolve(frame, values, live, sizes).items():
         best[n] = max(best[n], gap)
     return best
 
 
 def _cut_points(frame, values, cells: Mapping[str, Sequence[Cell]], cuts: int) -> dict[str, list[list[float]]]:
-    grid = F.array(*[F.lit((i + 1) / (cuts + 1)) for i in range(cuts)])
+    grid = ", ".join(f"double('{(i + 1) / (cuts + 1)!r}')" for i in range(cuts))
     names = [(n, c) for n, group in cells.items() for c in group]
-    row = frame.agg(*[
-        F.approx_percentile(F.when(c.holds(values[n]), values[n]), grid, F.lit(ACCURACY)).alias(f"m{i}")
+    row = frame.selectExpr(*[
+        f"approx_percentile(CASE WHEN {c.holds(values[n])} THEN {values[n]} END, array({grid}), {ACCURACY}) AS m{i}"
         for i, (n, c) in enumerate(names)
     ]).collect()[0]
     found: dict[str, list[list[float]]] = {}
@@ -87,15 +89,15 @@ def _cut_points(frame, values, cells: Mapping[str, Sequence[Cell]], cuts: int) -
     return found
 
 
-def _split(frame, side, values, cells, cuts):
+def _split(frame, values, cells, cuts):
     """Count the cells between new cut points: per name, per old cell, (known gaps, new cells)."""
     points = _cut_points(frame, values, cells, cuts)
     labels = []
     for n, group in cells.items():
         for k, cell in enumerate(group):
-            slot = bucket_of(values[n], points[n][k], points=True)
-            labels.append((n, k, F.when(cell.holds(values[n]), slot)))
-    wide = frame.select(side.alias("side"), *[e.alias(str(i)) for i, (_, _, e) in enumerate(labels)])
+            slot = bucket_sql(values[n], points[n][k], points=True)
+            labels.append((n, k, f"CASE WHEN {cell.holds(values[n])} THEN {slot} END"))
+    wide = frame.selectExpr("side", *[f"{e} AS `{i}`" for i, (_, _, e) in enumerate(labels)])
     if len(labels) == 1:
         long = wide.select("side", F.lit("0").alias("label"), F.col("0").alias("slot"))
     else:
@@ -123,7 +125,7 @@ def _split(frame, side, values, cells, cuts):
     return result
 
 
-def _resolve(frame, side, values, live, sizes) -> dict[str, float]:
+def _resolve(frame, values, live, sizes) -> dict[str, float]:
     """Exact gap inside the remaining cells: value counts, then a running sum per cell."""
     if not live:
         return {}
@@ -139,9 +141,8 @@ def _resolve(frame, side, values, live, sizes) -> dict[str, float]:
                     edges.append(edge)
         for cell in ordered:
             slots[2 * (edges.index(cell.high) if cell.high is not None else len(edges))] = cell
-        slot = bucket_of(values[n], edges, points=True)
-        label = F.when(slot.isin(*slots), slot)
-        parts.append((n, name_id, label))
+        slot = bucket_sql(values[n], edges, points=True)
+        parts.append((n, name_id, F.expr(slot), sorted(slots)))
         rows += [
             {"name": name_id, "slot": s, "a0": c.before[0], "b0": c.before[1], "n1": sizes[n][0], "n2": sizes[n][1]}
             for s, c in slots.items()
@@ -150,11 +151,12 @@ def _resolve(frame, side, values, live, sizes) -> dict[str, float]:
 
     before = local_frame(spark, rows, "name string, slot int, a0 bigint, b0 bigint, n1 bigint, n2 bigint")
     entries = F.array(*[
-        F.struct(F.lit(i).alias("name"), label.alias("slot"), values[n].alias("v")) for n, i, label in parts
+        F.struct(F.lit(i).alias("name"), slot.alias("slot"), F.col(values[n]).alias("v")) for n, i, slot, _ in parts
     ])
-    long = frame.select(side.alias("side"), F.explode(entries).alias("e")).select("side", "e.*")
+    long = frame.select("side", F.explode(entries).alias("e")).select("side", "e.*")
+    wanted = " OR ".join(f"(name = '{i}' AND slot IN ({', '.join(map(str, slots))}))" for _, i, _, slots in parts)
     counted = (
-        long.filter("slot IS NOT NULL").groupBy("name", "slot", "v")
+        long.filter(wanted).groupBy("name", "slot", "v")
         .agg(F.count_if(F.col("side") == 0).alias("a"), F.count_if(F.col("side") == 1).alias("b"))
     )
     run = Window.partitionBy("name", "slot").orderBy("v").rowsBetween(Window.unboundedPreceding, 0)
@@ -164,5 +166,5 @@ def _resolve(frame, side, values, live, sizes) -> dict[str, float]:
         .join(F.broadcast(before), ["name", "slot"])  # one row per cell, bounded by columns x cuts
         .groupBy("name").agg(F.max(gap).alias("gap")).collect()
     )
-    names = {i: n for n, i, _ in parts}
+    names = {i: n for n, i, _, _ in parts}
     return {names[r["name"]]: float(r["gap"]) for r in best}

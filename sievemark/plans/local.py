@@ -31,7 +31,7 @@ def settle(frame: DataFrame) -> DataFrame:
     The result is a local relation: no lineage, nothing to lose with an executor.
     Only statistics go through here, never data rows.
     """
-    return frame.sparkSession.createDataFrame(frame.toArrow(), schema=frame.schema)
+    return local_frame(frame.sparkSession, [r.asDict() for r in frame.collect()], frame.schema)
 
 
 def durable(frame: DataFrame) -> DataFrame:

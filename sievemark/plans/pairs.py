@@ -16,7 +16,6 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.expr import pearson
 from .context import TableContext
 
 TILE = 10  # columns per side: a job reads at most 20 columns and holds 100 pairs
@@ -32,38 +31,36 @@ class Variable:
     mean: float | None
     complete: bool
 
-    @property
-    def shifted(self) -> Column:
-        return self.value - F.lit(self.mean)
-
 
 def correlations(frame: DataFrame, pairs: Sequence[tuple[Variable, Variable]]) -> list[tuple[float, int]]:
     """(r, common rows) per pair; r is 0 where a side is constant."""
-    sums: dict[tuple, Column] = {}
-
-    def total(key: tuple, column: Column) -> tuple:
-        sums.setdefault(key, column)
-        return key
-
-    recipes: list[list[tuple] | None] = []
+    variables = list({v.name: v for pair in pairs for v in pair}.values())
+    at = {v.name: i for i, v in enumerate(variables)}
+    shifted = [
+        (v.value if v.mean is None else v.value - F.lit(v.mean)).alias(f"v{i}") for i, v in enumerate(variables)
+    ]
+    views = frame.select(*shifted)
+    sums: dict[str, None] = {}
+
+    def total(text: str) -> str:
+        sums.setdefault(text)
+        return text
+
+    recipes = []
     for x, y in pairs:
-        both = x.value.isNotNull() & y.value.isNotNull()
-        seen = [k for k, v in ((x.name, x), (y.name, y)) if not v.complete]
-        n = total(("n", *seen), F.count_if(both) if seen else F.count(F.lit(1)))
+        a, b = f"v{at[x.name]}", f"v{at[y.name]}"
+        seen = [v for v, one in ((a, x), (b, y)) if not one.complete]
+        n = total(f"count_if({' AND '.join(f'{v} IS NOT NULL' for v in sorted(seen))})" if seen else "count(1)")
         if x.mean is None or y.mean is None:
-            r = total(("r", x.name, y.name), pearson(x.value, y.value))
-            recipes.append([n, r])
+            recipes.append([n, total(stable_sql(a, b))])
             continue
         keys = [n]
-        for own, other in ((x, y), (y, x)):
-            v = own.shifted if other.complete else F.when(other.value.isNotNull(), own.shifted)
-            mask = None if other.complete else other.name
-            keys.append(total(("s", own.name, mask), F.sum(v)))
-            keys.append(total(("q", own.name, mask), F.sum(v * v)))
-        keys.append(total(("p", x.name, y.name), F.sum(x.shifted * y.shifted)))
-        recipes.append(keys)
-
-    row = frame.agg(*[c.alias(f"m{i}") for i, c in enumerate(sums.values())]).collect()[0]
+        for own, other, whole in ((a, b, y.complete), (b, a, x.complete)):
+            kept = own if whole else f"CASE WHEN {other} IS NOT NULL THEN {own} END"
+            keys += [total(f"sum({kept})"), total(f"sum({own} * {kept})")]
+        recipes.append([*keys, total(f"sum({a} * {b})")])
+
+    row = views.selectExpr(*[f"{text} AS m{i}" for i, text in enumerate(sums)]).collect()[0]
     value = dict(zip(sums, row))
     results: list[tuple[float, int]] = []
     again: list[int] = []
@@ -84,12 +81,21 @@ def correlations(frame: DataFrame, pairs: Sequence[tuple[Variable, Variable]]) -
         r = (p - sx * sy / n) / math.sqrt(vx) / math.sqrt(vy)
         results.append((max(-1.0, min(1.0, r)), int(n)))
     if again:
-        stable = [pearson(pairs[i][0].value, pairs[i][1].value).alias(f"r{i}") for i in again]
-        for i, r in zip(again, frame.agg(*stable).collect()[0]):
+        stable = [f"{stable_sql(f'v{at[pairs[i][0].name]}', f'v{at[pairs[i][1].name]}')} AS r{i}" for i in again]
+        for i, r in zip(again, views.selectExpr(*stable).collect()[0]):
             results[i] = (float(r), results[i][1])
     return results
 
 
+def stable_sql(a: str, b: str) -> str:
+    """Pairwise-complete r that yields 0 for a constant side.
+
+    ``corr`` divides by zero under ANSI mode when a side is constant; the
+    regression form guards that case itself and the covariance supplies the sign.
+    """
+    return f"coalesce(signum(covar_pop({a}, {b})) * sqrt(regr_r2({a}, {b})), 0D)"
+
+
 def tiles(names: Sequence[str]) -> list[list[tuple[str, str]]]:
     blocks = [names[i:i + TILE] for i in range(0, len(names), TILE)]
     jobs = []
