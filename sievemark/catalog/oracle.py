@@ -71,14 +71,21 @@ def inferred() -> str:
       WHEN {pct('ndv', 'n')} < 5 OR ndv <= 20 THEN 'categorical' ELSE 'text / object' END"""
 
 
+def two_digits(value: str) -> str:
+    return f"round(({value})::DECIMAL(38, 6), 2)::DOUBLE"
+
+
 def numeric_summary(columns, t="d") -> str:
-    return union([
-        f"SELECT '{c}' AS \"column\", round(min({c})::DOUBLE, 2) AS \"min\", round(max({c})::DOUBLE, 2) AS \"max\", "
-        f"round(avg({c}), 2) AS \"mean\", round(quantile_cont({c}, 0.5)::DOUBLE, 2) AS median, "
-        f"round(coalesce(stddev_samp({c}), 0), 2) AS std, round(quantile_cont({c}, 0.25)::DOUBLE, 2) AS q25, "
-        f"round(quantile_cont({c}, 0.75)::DOUBLE, 2) AS q75 FROM {t} HAVING count({c}) > 0"
-        for c, kind, _ in columns if kind == NUM
-    ])
+    def row(c):
+        figures = {
+            '"min"': f"min({c})::DOUBLE", '"max"': f"max({c})::DOUBLE", '"mean"': f"avg({c})",
+            "median": f"quantile_cont({c}::DOUBLE, 0.5)", "std": f"coalesce(stddev_samp({c}), 0)",
+            "q25": f"quantile_cont({c}::DOUBLE, 0.25)", "q75": f"quantile_cont({c}::DOUBLE, 0.75)",
+        }
+        shown = ", ".join(f"{two_digits(e)} AS {k}" for k, e in figures.items())
+        return f"SELECT '{c}' AS \"column\", {shown} FROM {t} HAVING count({c}) > 0"
+
+    return union([row(c) for c, kind, _ in columns if kind == NUM])
 
 
 def frequent(columns, k, t="d") -> str:

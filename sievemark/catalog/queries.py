@@ -62,7 +62,7 @@ def portable(frame: DataFrame) -> DataFrame:
     for f in frame.schema.fields:
         if f.name in ("sparse_col", "k", "age"):
             parts.append(F.col(f.name).cast("double").alias(f.name))
-        elif f.dataType.typeName() == "timestamp":
+        elif f.dataType.typeName() in ("timestamp", "timestamp_ntz"):
             parts.append(F.date_format(f.name, "yyyy-MM-dd HH:mm:ss").alias(f.name))
         else:
             parts.append(F.col(f.name))
@@ -1100,3 +1100,77 @@ def rul_file(spark, folder):
     rules = [Rule("from_file", "range", "o_totalprice", min_value=10000, max_value=400000)]
     rule_ops.rules_table(spark, rules).coalesce(1).write.json(path)
     return _counts(table(spark, folder, "orders"), readers.read_rules(spark, path))
+
+
+# ---- before/after benchmark ------------------------------------------------------------
+def quality_features(spark, folder) -> DataFrame:
+    """Labels with features of the labelled documents; language is unknown for every tenth document."""
+    docs = table(spark, folder, "documents").select(
+        "doc_id", "lang", "source", "n_chars", F.size(F.split("text", r"\s+")).alias("n_words"),
+        F.size(F.split("text", "\n")).alias("n_lines"),
+    )
+    joined = table(spark, folder, "labels").join(docs, "doc_id")
+    return joined.withColumn("lang", F.when(F.col("doc_id") % 10 != 3, F.col("lang"))).drop("doc_id", "toxic")
+
+
+@query("mlb_task_detection", D + """SELECT 'target' AS col, 'classification' AS task, true AS is_binary, count(*) AS n FROM d
+  UNION ALL SELECT 'base_price', 'regression', false, count(*) FROM d UNION ALL SELECT 'status', 'classification', false, count(*) FROM d""")
+def mlb_task(spark, folder):
+    from ..operators.mlbench import detect_task
+    from ..plans.local import local_frame
+
+    frame = dirty(spark, folder)
+    n = frame.count()
+    found = [(c, *detect_task(frame, c)) for c in ("target", "base_price", "status")]
+    rows = [{"col": c, "task": task, "is_binary": binary, "n": n} for c, task, binary in found]
+    return local_frame(spark, rows, "col string, task string, is_binary boolean, n bigint")
+
+
+def _repaired_pair(spark, folder) -> tuple[DataFrame, DataFrame]:
+    raw = dirty(spark, folder).drop("leak_flag", "date_txt", "amount_txt")
+    report = audit(raw, "rare_target", checkers=SQL_CHECKERS)
+    return raw, repair(raw, target="rare_target", report=report).frame
+
+
+@query("mlb_random_forest")
+def mlb_forest(spark, folder):
+    from ..operators.mlbench import benchmark
+
+    raw, clean = _repaired_pair(spark, folder)
+    return benchmark(raw, clean, "rare_target", "random_forest").table()
+
+
+@query("mlb_decision_tree")
+def mlb_tree(spark, folder):
+    from ..operators.mlbench import benchmark
+
+    features = quality_features(spark, folder)
+    clean = repair(features, ["impute:lang"], "quality").frame
+    return benchmark(features, clean, "quality", "decision_tree").table()
+
+
+@query("mlb_logistic_regression")
+def mlb_logistic(spark, folder):
+    from ..operators.mlbench import benchmark
+
+    features = quality_features(spark, folder)
+    clean = repair(features, ["impute:lang"], "quality").frame
+    return benchmark(features, clean, "quality", "logistic_regression").table()
+
+
+@query("mlb_ridge")
+def mlb_ridge(spark, folder):
+    from ..operators.mlbench import benchmark
+
+    raw = dirty(spark, folder).select("total_price", "sparse_col", "status", "principal", "base_price")
+    clean = repair(raw, ["clip_outliers:total_price", "impute:total_price"], "base_price").frame
+    return benchmark(raw, clean, "base_price", "ridge").table()
+
+
+@query("mlb_top_features")
+def mlb_features(spark, folder):
+    from ..operators.mlbench import benchmark
+
+    features = quality_features(spark, folder)
+    clean = repair(features, ["impute:lang"], "quality").frame
+    return benchmark(features, clean, "quality", "decision_tree").top_features()

@@ -44,11 +44,16 @@ def column_counts(ctx: TableContext) -> DataFrame:
 
 
 def numeric_summary(ctx: TableContext) -> DataFrame:
-    """Min, max, mean, median, std and quartiles of numeric columns, rounded to 2."""
+    """Min, max, mean, median, std and quartiles of numeric columns, rounded to 2.
+
+    Rounding to 6 digits first keeps the noise of float sums and of interpolation
+    from deciding a tie.
+    """
     names = ctx.of_kind("numeric", "boolean")
     ctx.scan("moments", names=names).quantiles(names)
     stats = ctx.table(names, NUMBERS).filter(F.col("min").isNotNull())
-    rounded = {k: F.round(F.coalesce(F.col(k), F.lit(0.0)) if k == "std" else F.col(k), 2) for k in NUMBERS}
+    plain = {k: F.coalesce(F.col(k), F.lit(0.0)) if k == "std" else F.col(k) for k in NUMBERS}
+    rounded = {k: F.round(F.round(c, 6), 2) for k, c in plain.items()}
     return stats.withColumns(rounded)
 
 

@@ -3,7 +3,7 @@
 Stages that only need the row itself are fused into one projection.  Later
 stages look at the outcome of earlier ones (the median after sentinels are gone),
 so statistics are gathered at two barriers only: before clipping and before
-imputing.  Row counts come from one observation per stage, not from extra scans.
+imputing.
 """
 
 from __future__ import annotations
@@ -11,7 +11,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame, Observation, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import fixed
@@ -50,7 +50,7 @@ class Repair:
     before: DataFrame
     actions: list[str]
     log: list[dict] = field(default_factory=list)
-    observed: list[tuple[str, str | None, Observation]] = field(default_factory=list)
+    stages: list[tuple[str, str | None, DataFrame]] = field(default_factory=list)
 
     def stats(self) -> DataFrame:
         """One row: shapes before and after.  Runs the repair once."""
@@ -65,12 +65,22 @@ class Repair:
         return local_frame(self.frame.sparkSession, [row], ", ".join(f"{k} bigint" for k in row))
 
     def stage_rows(self) -> DataFrame:
-        """Rows left after each row stage, observed while the repair ran."""
-        if self.observed:
-            self.frame.count()
+        """Rows left after each row stage, counted in one job.
+
+        Counts instead of an ``Observation``: once a session has used one, Spark
+        cannot serialise the summaries of binary ML models in that session.
+        """
+        spark = self.frame.sparkSession
+        if not self.stages:
+            return local_frame(spark, [], "step int, stage string, `column` string, rows_after bigint")
+        counts = None
+        for i, (_, _, left) in enumerate(self.stages):
+            one = left.agg(F.count(F.lit(1)).alias("n")).withColumn("i", F.lit(i))
+            counts = one if counts is None else counts.unionByName(one)
+        left_after = {r["i"]: r["n"] for r in counts.collect()}
         rows = [
-            {"step": i + 1, "stage": stage, "column": column, "rows_after": seen.get["n"]}
-            for i, (stage, column, seen) in enumerate(self.observed)
+            {"step": i + 1, "stage": stage, "column": column, "rows_after": left_after[i]}
+            for i, (stage, column, _) in enumerate(self.stages)
         ]
         return local_frame(self.frame.sparkSession, rows, "step int, stage string, `column` string, rows_after bigint")
 
@@ -184,10 +194,9 @@ def repair(
         done.log.append({"stage": stage, "column": column, "detail": detail})
 
     def rows_left(table: DataFrame, stage: str, column: str | None = None) -> DataFrame:
-        seen = Observation()
-        done.observed.append((stage, column, seen))
+        done.stages.append((stage, column, table))
         note(stage, column)
-        return table.observe(seen, F.count(F.lit(1)).alias("n"))
+        return table
 
     out = frame
     # 1-4: rows
