@@ -82,7 +82,8 @@ def correlations(frame: DataFrame, pairs: Sequence[tuple[Variable, Variable]]) -
         results.append((max(-1.0, min(1.0, r)), int(n)))
     if again:
         stable = [f"{stable_sql(f'v{at[pairs[i][0].name]}', f'v{at[pairs[i][1].name]}')} AS r{i}" for i in again]
-        for i, r in zip(again, views.selectExpr(*stable).collect()[0]):
+        raw = frame.select(*[v.value.alias(f"v{i}") for i, v in enumerate(variables)])
+        for i, r in zip(again, raw.selectExpr(*stable).collect()[0]):
             results[i] = (float(r), results[i][1])
     return results
 

@@ -72,7 +72,7 @@ def _typed(text: DataFrame) -> DataFrame:
 def read_csv_any_encoding(spark: SparkSession, path: str, fallback: str = "ISO-8859-1", **options) -> DataFrame:
     """UTF-8 first; the fallback encoding if the text does not decode cleanly."""
     raw = spark.read.text(path)
-    broken = raw.filter(F.contains("value", F.lit("�"))).limit(1)
+    broken = raw.filter(~F.is_valid_utf8("value")).limit(1)
     return read_csv(spark, path, encoding="UTF-8" if broken.isEmpty() else fallback, **options)
 
 
