@@ -211,8 +211,8 @@ def constants(columns, target, t="d") -> str:
 def balance(column, t="d") -> str:
     """One row of class balance for a target column."""
     return f"""
-SELECT *, CASE WHEN severity = 'CRITICAL' THEN 45.0 WHEN severity = 'HIGH' THEN 60.0
-    WHEN severity = 'MEDIUM' THEN 80.0 ELSE 100.0 END AS score
+SELECT *, (CASE WHEN severity = 'CRITICAL' THEN 45.0 WHEN severity = 'HIGH' THEN 60.0
+    WHEN severity = 'MEDIUM' THEN 80.0 ELSE 100.0 END)::DOUBLE AS score
 FROM (SELECT *, CASE WHEN (imbalance_ratio < 0.15 OR minority_pct < 10) AND (minority_pct < 5 OR imbalance_ratio < 0.08)
     THEN 'CRITICAL' WHEN imbalance_ratio < 0.15 OR minority_pct < 10 THEN 'HIGH'
     WHEN imbalance_ratio < 0.35 THEN 'MEDIUM' END AS severity
@@ -396,7 +396,7 @@ CHECKS = {  # checker -> (issues, cap)
     "data_types": (type_issues, 50), "constant_columns": (constant_issues, 50),
     "suspicious_values": (suspicious_issues, 50),
 }
-SHOWN = "checker_id, issue_id, severity, affected_rows_count::DOUBLE AS affected_rows_count, affected_rows_percentage, fix_action, round(penalty, 4) AS penalty"
+SHOWN = "checker_id, issue_id, severity, affected_rows_count::DOUBLE AS affected_rows_count, affected_rows_percentage, fix_action, round(penalty::DOUBLE, 4) AS penalty"
 
 
 def issue_list(columns, target, t="d") -> str:

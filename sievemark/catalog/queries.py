@@ -125,6 +125,22 @@ def src_na_tokens(spark, folder):
     return readers.read_table(spark, path).groupBy("status").agg(F.count(F.lit(1)).alias("n"))
 
 
+@query("snk_json_report", D + f"SELECT {sql.SHOWN} FROM ({sql.issue_list(COLS, TARGET)}) q")
+def snk_report(spark, folder):
+    path = f"{shared_folder(spark)}/report"
+    report = dirty_report(spark, folder)
+    writers.write_report(report, path)
+    return shown(spark.read.schema(report.issues.schema).json(f"{path}/issues"))
+
+
+@query("src_latin1", """SELECT o_orderstatus || 'é' AS status, count(*) AS n FROM orders GROUP BY 1""")
+def src_latin1(spark, folder):
+    path = f"{shared_folder(spark)}/latin.csv"
+    text = table(spark, folder, "orders").select(F.concat("o_orderstatus", F.lit("é")).alias("status"), "o_orderkey")
+    text.write.option("header", True).option("encoding", "ISO-8859-1").csv(path)
+    return readers.read_table(spark, path).groupBy("status").agg(F.count(F.lit(1)).alias("n"))
+
+
 # ---- profile --------------------------------------------------------------------
 @query("pro_counts_and_types", D + f"""SELECT col AS "column", non_null, n - non_null AS nulls, {sql.pct('n - non_null', 'n')} AS null_pct,
   ndv, {sql.pct('ndv', 'n')} AS distinct_pct, {sql.inferred()} AS inferred_type, col = '{TARGET}' AS is_target
@@ -260,7 +276,7 @@ def mis_sparse(spark, folder):
     return shown(missing.check_missing(TableContext(dirty(spark, folder).select("total_price", "sparse_col"))).issues)
 
 
-@query("mis_empty_table", "SELECT 'CRITICAL' AS severity, 0.0 AS score, count(*) AS n FROM (SELECT 1 FROM orders LIMIT 1) o")
+@query("mis_empty_table", "SELECT 'CRITICAL' AS severity, 0.0::DOUBLE AS score, count(*) AS n FROM (SELECT 1 FROM orders LIMIT 1) o")
 def mis_empty(spark, folder):
     ctx = TableContext(table(spark, folder, "orders").filter("o_orderkey < 0"))
     check = run_checker(ctx, "missing_values", missing.check_missing)
@@ -631,7 +647,7 @@ def sco_report(spark, folder):
     return audit(dirty(spark, folder), TARGET, name="orders", checkers=SQL_CHECKERS).summary
 
 
-@query("sco_failing_checker", "SELECT 'broken' AS checker_id, 50.0 AS score, false AS passed, 'MEDIUM' AS severity, 'broken_error' AS issue_id, count(*) AS n FROM orders")
+@query("sco_failing_checker", "SELECT 'broken' AS checker_id, 50.0::DOUBLE AS score, false AS passed, 'MEDIUM' AS severity, 'broken_error' AS issue_id, count(*) AS n FROM orders")
 def sco_failing(spark, folder):
     def broken(ctx):
         ctx.rows.select("no_such_column").collect()
@@ -670,8 +686,8 @@ def sco_before_after(spark, folder):
     return compare_reports(before, after).drop("dimension_no")
 
 
-@query("sco_gates", SCORED + f"""SELECT 'min_score' AS gate, overall_score >= 80 AS passed, overall_score AS value, 80.0 AS threshold FROM {OVERALL} o
-  UNION ALL SELECT 'no_leakage', count(*) = 0, count(*)::DOUBLE, 0.0 FROM (SELECT 1 FROM issues WHERE checker_id = 'data_leakage' AND penalty = 45 LIMIT 1) l""")
+@query("sco_gates", SCORED + f"""SELECT 'min_score' AS gate, overall_score >= 80 AS passed, overall_score AS value, 80.0::DOUBLE AS threshold FROM {OVERALL} o
+  UNION ALL SELECT 'no_leakage', count(*) = 0, count(*)::DOUBLE, 0.0::DOUBLE FROM (SELECT 1 FROM issues WHERE checker_id = 'data_leakage' AND penalty = 45 LIMIT 1) l""")
 def sco_gates(spark, folder):
     report = dirty_report(spark, folder)
     return scoring.score_gate(report.overall, 80.0).unionByName(scoring.leakage_gate(report.alerts))
@@ -955,7 +971,7 @@ def drf_alerts(spark, folder):
     return compared(spark, folder).alerts.select("column", "status")
 
 
-@query("drf_psi_gate", PAIR + f""" SELECT 'max_psi' AS gate, max(psi) <= 0.25 AS passed, max(psi)::DOUBLE AS value, 0.25 AS threshold FROM ({PSI}) p""")
+@query("drf_psi_gate", PAIR + f""" SELECT 'max_psi' AS gate, max(psi) <= 0.25 AS passed, max(psi)::DOUBLE AS value, 0.25::DOUBLE AS threshold FROM ({PSI}) p""")
 def drf_gate(spark, folder):
     return scoring.psi_gate(compared(spark, folder).psi, 0.25)
 
@@ -1031,7 +1047,7 @@ def rul_suite(spark, folder):
     return rule_ops.suite_summary(rule_ops.run_rules(dirty(spark, folder), [r for r, _ in DIRTY_RULES]))
 
 
-@query("rul_pass_rate_gate", D + f"""SELECT 'min_pass_rate' AS gate, v >= 100 AS passed, v AS value, 100.0 AS threshold
+@query("rul_pass_rate_gate", D + f"""SELECT 'min_pass_rate' AS gate, v >= 100 AS passed, v AS value, 100.0::DOUBLE AS threshold
   FROM (SELECT round(count(*) FILTER (status = 'PASSED') / count(*) * 100, 1) AS v FROM ({DIRTY_RULE_SQL}) s) g""")
 def rul_gate(spark, folder):
     results = rule_ops.run_rules(dirty(spark, folder), [r for r, _ in DIRTY_RULES])
@@ -1174,3 +1190,45 @@ def mlb_features(spark, folder):
     features = quality_features(spark, folder)
     clean = repair(features, ["impute:lang"], "quality").frame
     return benchmark(features, clean, "quality", "decision_tree").top_features()
+
+
+_CELLS = "SELECT target AS label, leak_flag AS prediction, count(*) AS n FROM d GROUP BY 1, 2"
+
+
+@query("mlb_class_metrics", D + f"""SELECT round(sum(hit) / sum(support), 4) AS accuracy, round(sum(p * support) / sum(support), 4) AS "precision",
+  round(sum(r * support) / sum(support), 4) AS recall, round(sum(2 * p * r / (p + r) * support) / sum(support), 4) AS f1
+  FROM (SELECT label, sum(n) AS support, sum(n) FILTER (label = prediction) AS hit, sum(n) FILTER (label = prediction) / sum(n) AS r,
+    sum(n) FILTER (label = prediction) / (SELECT sum(n) FROM ({_CELLS}) c2 WHERE c2.prediction = c1.label) AS p
+    FROM ({_CELLS}) c1 GROUP BY label) x""")
+def mlb_class_metrics(spark, folder):
+    """Scores of the leaking flag taken as a prediction of the target."""
+    from ..operators.mlbench import class_metrics
+    from ..plans.local import local_frame
+
+    scored = dirty(spark, folder).select(
+        F.col("target").cast("double").alias("label"), F.col("leak_flag").cast("double").alias("prediction"))
+    found = class_metrics(scored, binary=False)
+    found.pop("roc_auc")
+    return local_frame(spark, [found], ", ".join(f"`{k}` double" for k in found))
+
+
+@query("mlb_value_metrics", D + """SELECT round(1 - avg((base_price - principal) ** 2) / var_pop(base_price), 4) AS r2,
+  round(avg(abs(base_price - principal)), 4) AS mae, round(sqrt(avg((base_price - principal) ** 2)), 4) AS rmse FROM d""")
+def mlb_value_metrics(spark, folder):
+    """Scores of the collinear column taken as a prediction of the price."""
+    from ..operators.mlbench import value_metrics
+    from ..plans.local import local_frame
+
+    found = value_metrics(dirty(spark, folder).select(F.col("base_price").alias("label"), F.col("principal").alias("prediction")))
+    return local_frame(spark, [found], ", ".join(f"{k} double" for k in found))
+
+
+@query("mlb_split_shares")
+def mlb_split(spark, folder):
+    """Share of training rows per class under the row-local split."""
+    from ..operators.mlbench import TRAIN_SLOTS, split_slot
+
+    frame = dirty(spark, folder)
+    in_train = split_slot([F.col(c) for c in frame.columns]) < TRAIN_SLOTS
+    return frame.groupBy("rare_target").agg(
+        F.count(F.lit(1)).alias("n"), F.round(F.count_if(in_train) / F.count(F.lit(1)), 4).alias("train_share"))

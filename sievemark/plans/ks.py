@@ -153,6 +153,9 @@ def _resolve(frame, values, live, sizes) -> dict[str, float]:
     entries = F.array(*[
         F.struct(F.lit(i).alias("name"), slot.alias("slot"), F.col(values[n]).alias("v")) for n, i, slot, _ in parts
     ])
+    cells = [(n, c) for n, group in live.items() for c in group]
+    if len(cells) <= CUTS:  # most rows lie in no open cell: leave them out before they multiply
+        frame = frame.filter(" OR ".join(f"({c.holds(values[n])})" for n, c in cells))
     long = frame.select("side", F.explode(entries).alias("e")).select("side", "e.*")
     wanted = " OR ".join(f"(name = '{i}' AND slot IN ({', '.join(map(str, slots))}))" for _, i, _, slots in parts)
     counted = (

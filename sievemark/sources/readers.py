@@ -25,15 +25,17 @@ def read_csv(
     encoding: str = "UTF-8",
     na_values: Sequence[str] = NA_TOKENS,
     infer: bool = True,
+    multi_line: bool = False,
 ) -> DataFrame:
     """Delimited text with a header.
 
     Cells are read as text, NA tokens become null, then columns are typed: with
     the given schema, or by one aggregate over the whole file that finds which
     columns hold only integers, numbers or booleans.  Give a schema for large
-    inputs: it saves that scan.
+    inputs: it saves that scan.  ``multi_line`` allows line breaks inside quoted
+    cells, at the price of one task per file.
     """
-    reader = spark.read.option("header", True).option("encoding", encoding).option("multiLine", False)
+    reader = spark.read.option("header", True).option("encoding", encoding).option("multiLine", multi_line)
     raw = reader.option("quote", '"').option("escape", '"').csv(path)
     tokens = [t for t in na_values]
     text = raw.select(*[F.when(~quoted(c).isin(*tokens), quoted(c)).alias(c) for c in raw.columns])
