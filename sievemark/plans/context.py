@@ -218,11 +218,7 @@ class TableContext:
         if not names:
             return self
         self._done.update((n, group) for n in names)
-        counted = self.frequencies(names)
-        found = counted.groupBy("position").agg(F.count(F.lit(1)).alias("ndv"))
-        if tops:
-            found = found.join(top_values(counted, "position", TOP_VALUES), "position", "left")
-        seen = {int(r["position"]): r for r in found.collect()}
+        seen = {int(r["position"]): r for r in self._value_counts(names, tops).collect()}
         for n in names:
             row = seen.get(self.stats[n].position)
             values = self.stats[n].values
@@ -231,6 +227,14 @@ class TableContext:
                 values["tops"] = [(t["value"], int(t["cnt"])) for t in row["tops"]] if row else []
         return self
 
+    def _value_counts(self, names: Sequence[str], tops: bool) -> DataFrame:
+        counted = self.frequencies(names)
+        if not tops:
+            return counted.groupBy("position").agg(F.count(F.lit(1)).alias("ndv"))
+        # Both branches ask for value and count, so they read one and the same shuffle.
+        sizes = counted.groupBy("position").agg(F.count("value").alias("ndv"), F.sum("cnt").alias("filled"))
+        return sizes.join(top_values(counted, "position", TOP_VALUES), "position", "left")
+
     def small_domain(self, names: Iterable[str], tops: bool = False) -> "TableContext":
         """Exact distinct counts where they can matter for a threshold up to 25.
 

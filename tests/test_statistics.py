@@ -101,6 +101,14 @@ def test_top_values_prune_before_the_shuffle(spark):
     assert "WindowGroupLimit" in plan
 
 
+def test_counts_and_top_values_share_one_shuffle(spark, sf_dir):
+    ctx = TableContext(spark.read.parquet(f"{sf_dir}/orders.parquet").select("o_orderstatus", "o_orderpriority"))
+    frame = ctx._value_counts(ctx.names, tops=True)
+    frame.collect()
+    final = frame._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+    assert "ReusedExchange" in final and final.count("FileScan") == 1
+
+
 @pytest.mark.parametrize("parts", [1, 17])
 def test_results_do_not_depend_on_partitioning(spark, sf_dir, parts):
     from sievemark.operators.outliers import outlier_stats
