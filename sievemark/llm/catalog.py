@@ -3,15 +3,23 @@
 from __future__ import annotations
 
 from sievemark.llm.op1_quality import op1_quality_rules
+from sievemark.llm.op2_urls import op2_url_filter
 from sievemark.llm.op3_lines import OP3_SQL, op3_line_dedup
+from sievemark.llm.op4_near import op4_near_duplicates
 from sievemark.llm.op5_decontaminate import OP5_SQL, op5_decontamination
 from sievemark.llm.op7_bpe import op7_bpe
+from sievemark.llm.op8_secrets import op8_secret_scan
+from sievemark.llm.op9_classifier import op9_quality_classifier
 
 QUERIES = {
     "op1_quality_rules": op1_quality_rules,
+    "op2_url_filter": op2_url_filter,
     "op3_line_dedup": op3_line_dedup,
+    "op4_near_duplicates": op4_near_duplicates,
     "op5_decontamination": op5_decontamination,
     "op7_bpe": op7_bpe,
+    "op8_secret_scan": op8_secret_scan,
+    "op9_quality_classifier": op9_quality_classifier,
 }
 
 SQL = {"op3_line_dedup": OP3_SQL, "op5_decontamination": OP5_SQL}
