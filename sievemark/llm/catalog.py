@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+from corpus_pipeline import run as pipeline
 from sievemark.llm.op1_quality import op1_quality_rules
+from sievemark.llm.op10_lm import op10_lm_scoring
 from sievemark.llm.op2_urls import op2_url_filter
 from sievemark.llm.op3_lines import OP3_SQL, op3_line_dedup
 from sievemark.llm.op4_near import op4_near_duplicates
@@ -20,6 +22,8 @@ QUERIES = {
     "op7_bpe": op7_bpe,
     "op8_secret_scan": op8_secret_scan,
     "op9_quality_classifier": op9_quality_classifier,
+    "op10_lm_scoring": op10_lm_scoring,
+    "pipeline": pipeline,
 }
 
 SQL = {"op3_line_dedup": OP3_SQL, "op5_decontamination": OP5_SQL}

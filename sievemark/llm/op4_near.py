@@ -38,14 +38,15 @@ def _powers(size: int) -> tuple[np.ndarray, np.ndarray]:
     return tuple(np.concatenate([np.ones(1, np.uint64), np.cumprod(np.full(size - 1, p, np.uint64))]) for p in (MULTIPLIER, INVERSE))
 
 
-def word_hashes(plain: bytes) -> np.ndarray:
-    """A hash of every word of a text that has gone through PLAIN, from running sums over its bytes."""
+def word_hashes(plain: bytes, places: bool = False):
+    """A hash of every word of a text that has gone through PLAIN, from running sums over its bytes; also their places."""
     data = np.frombuffer(plain, np.uint8)
     edges = np.flatnonzero(np.diff(np.concatenate([[True], data == 32, [True]]).astype(np.int8)))
     starts, ends = edges[::2], edges[1::2]
     up, down = _powers(1 << max(10, len(data).bit_length()))
     sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum((data.astype(np.uint64) + np.uint64(1)) * up[: len(data)])])
-    return mixed((sums[ends] - sums[starts]) * down[starts] + (ends - starts).astype(np.uint64))
+    hashes = mixed((sums[ends] - sums[starts]) * down[starts] + (ends - starts).astype(np.uint64))
+    return (hashes, starts, ends) if places else hashes
 
 
 def labelled_shingles(text: bytes, words: int) -> np.ndarray:
