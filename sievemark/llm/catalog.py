@@ -9,6 +9,7 @@ from sievemark.llm.op2_urls import op2_url_filter
 from sievemark.llm.op3_lines import OP3_SQL, op3_line_dedup
 from sievemark.llm.op4_near import op4_near_duplicates
 from sievemark.llm.op5_decontaminate import OP5_SQL, op5_decontamination
+from sievemark.llm.op6_pii import op6_personal_data
 from sievemark.llm.op7_bpe import op7_bpe
 from sievemark.llm.op8_secrets import op8_secret_scan
 from sievemark.llm.op9_classifier import op9_quality_classifier
@@ -19,6 +20,7 @@ QUERIES = {
     "op3_line_dedup": op3_line_dedup,
     "op4_near_duplicates": op4_near_duplicates,
     "op5_decontamination": op5_decontamination,
+    "op6_personal_data": op6_personal_data,
     "op7_bpe": op7_bpe,
     "op8_secret_scan": op8_secret_scan,
     "op9_quality_classifier": op9_quality_classifier,
