@@ -38,18 +38,27 @@ class Bpe:
         model = spec["model"]
         self.end = model.get("end_of_word_suffix") or ""
         self.ids: dict[str, int] = model["vocab"]
-        self.ranks = {tuple(m if isinstance(m, list) else m.split(" ")): i for i, m in enumerate(model["merges"])}
+        #: Rank of a pair of ids, packed into one number, and the id each rank gives.
+        self.ranks: dict[int, int] = {}
+        self.merged: list[int] = []
+        for i, pair in enumerate(model["merges"]):
+            left, right = pair if isinstance(pair, list) else pair.split(" ")
+            self.ranks[self.ids[left] << 32 | self.ids[right]] = i
+            self.merged.append(self.ids[left + right])
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self.tokens = {i: t for t, i in self.ids.items()} | {i: t for t, i in self.special.items()}
         self.cut_special = regex.compile("(" + "|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
         self.letters = byte_letters()
         #: Pairs of bytes' letters seen inside a token; the word end belongs to the letter before it.
         self.joined = {t[i:i + 2] for x in self.ids for t in [x.removesuffix(self.end) if self.end else x] for i in range(len(t) - 1)}
-        self.cached, self.chunks, self.fragments = cached, {}, {}
+        top = max(self.tokens) + 1
+        self.coded = [(i.to_bytes(4, "little"), (self.tokens.get(i, "") + " ").encode()) for i in range(top)]
+        #: Codes of words and chunks seen lately; the older half goes when the newer is full.
+        self.cached, self.words, self.chunks, self.old_words, self.old_chunks = cached, {}, {}, {}, {}
         self.file, self.prepare = file.decode(), None
 
     def __getstate__(self):
-        return self.__dict__ | {"chunks": {}, "fragments": {}, "prepare": None}
+        return self.__dict__ | {"words": {}, "chunks": {}, "old_words": {}, "old_chunks": {}, "prepare": None}
 
     def fragments_of(self, word: str) -> list[str]:
         cuts = [i for i in range(1, len(word)) if word[i - 1:i + 1] not in self.joined]
@@ -57,59 +66,66 @@ class Bpe:
 
     def _merge(self, fragment: str, last: bool) -> list[int]:
         """Ids of a fragment: merge the best-ranked pair, leftmost first, until none is left."""
-        key = (fragment, last)
-        if (known := self.fragments.get(key)) is not None:
+        parts = [self.ids[c] for c in fragment[:-1]]
+        parts.append(self.ids[fragment[-1] + self.end if last else fragment[-1]])
+        get, none = self.ranks.get, 1 << 60
+        ranks = [get(a << 32 | b, none) for a, b in zip(parts, parts[1:])]
+        while ranks and (best := min(ranks)) < none:
+            to = self.merged[best]
+            if len(ranks) > 200:  # all places of the pair at once, so that a long run takes few rounds
+                found, i = [], 0
+                while i < len(parts):
+                    here = i < len(ranks) and ranks[i] == best
+                    found.append(to if here else parts[i])
+                    i += 1 + here
+                parts = found
+                ranks = [get(a << 32 | b, none) for a, b in zip(parts, parts[1:])]
+                continue
+            i = ranks.index(best)
+            parts[i: i + 2] = [to]
+            del ranks[i]
+            if i < len(ranks):
+                ranks[i] = get(to << 32 | parts[i + 1], none)
+            if i:
+                ranks[i - 1] = get(parts[i - 1] << 32 | to, none)
+        return parts
+
+    def _shown(self, shown: str) -> tuple[bytes, bytes]:
+        """Codes of a word in bytes' letters: its ids as bytes, and its tokens, each followed by a space."""
+        if (known := self.words.get(shown)) is not None:
             return known
-        parts = list(fragment)
-        if last:
-            parts[-1] += self.end
-        while len(parts) > 1:
-            best = min(zip(parts, parts[1:]), key=lambda p: self.ranks.get(p, 1 << 60))
-            if best not in self.ranks:
-                break
-            merged, i = [], 0
-            while i < len(parts):
-                if i + 1 < len(parts) and (parts[i], parts[i + 1]) == best:
-                    merged.append(parts[i] + parts[i + 1])
-                    i += 2
-                else:
-                    merged.append(parts[i])
-                    i += 1
-            parts = merged
-        if len(self.fragments) >= self.cached:
-            self.fragments.clear()
-        self.fragments[key] = out = [self.ids[p] for p in parts]
-        return out
-
-    def _word(self, word: str) -> list[int]:
-        return self._shown("".join(map(self.letters.__getitem__, word.encode())))
-
-    def _shown(self, shown: str) -> list[int]:
-        parts = self.fragments_of(shown)
-        return [i for k, part in enumerate(parts) for i in self._merge(part, k + 1 == len(parts))]
+        if (known := self.old_words.get(shown)) is None:
+            parts = self.fragments_of(shown)
+            ids = [i for k, part in enumerate(parts) for i in self._merge(part, k + 1 == len(parts))]
+            known = b"".join([self.coded[i][0] for i in ids]), b"".join([self.coded[i][1] for i in ids])
+        if len(shown) <= 64:
+            if len(self.words) >= self.cached:
+                self.words, self.old_words = {}, self.words
+            self.words[shown] = known
+        return known
 
-    def _chunk(self, chunk: str) -> list[int]:
-        """Ids of a text without white space at its cuts: compose, lower-case each letter, split into words.
+    def _words(self, chunk: str) -> list[str]:
+        """Words, in bytes' letters, of a text without white space at its ends: compose, lower-case each letter, split.
 
         Latin letters are composed already.  Rarer letters depend on the Unicode version, so the tokenizer file's own
         normaliser and word splitter prepare them.
         """
+        if chunk.isascii():
+            return [x if x.isalnum() else "".join([self.letters[c] for c in x.encode()]) for x in self.WORDS.findall(chunk.lower())]
         if max(chunk) < "\u0250":
-            return [i for w in self.WORDS.findall("".join(map(str.lower, chunk))) for i in self._word(w)]
+            return ["".join([self.letters[c] for c in x.encode()]) for x in self.WORDS.findall("".join(map(str.lower, chunk)))]
         if self.prepare is None:
             self.prepare = Tokenizer.from_str(self.file)
-        words = self.prepare.pre_tokenizer.pre_tokenize_str(self.prepare.normalizer.normalize_str(chunk))
-        return [i for w, _ in words for i in self._shown(w)]
+        return [x for x, _ in self.prepare.pre_tokenizer.pre_tokenize_str(self.prepare.normalizer.normalize_str(chunk))]
 
     def _coded(self, chunk: str) -> tuple[bytes, bytes]:
-        """A chunk's ids as bytes and its tokens, each followed by a space."""
-        if (known := self.chunks.get(chunk)) is None:
-            ids = self._chunk(chunk)
-            known = b"".join(i.to_bytes(4, "little") for i in ids), "".join(self.tokens[i] + " " for i in ids).encode()
-            if len(chunk) <= 64:
-                if len(self.chunks) >= self.cached:
-                    self.chunks.clear()
-                self.chunks[chunk] = known
+        if (known := self.old_chunks.get(chunk)) is None:
+            parts = [self._shown(x) for x in self._words(chunk)]
+            known = parts[0] if len(parts) == 1 else (b"".join([x[0] for x in parts]), b"".join([x[1] for x in parts]))
+        if len(chunk) <= 64:
+            if len(self.chunks) >= self.cached:
+                self.chunks, self.old_chunks = {}, self.chunks
+            self.chunks[chunk] = known
         return known
 
     def encode(self, text: str) -> tuple[bytes, bytes]:
@@ -122,8 +138,7 @@ class Bpe:
             if part in self.special:
                 found = [(self.special[part].to_bytes(4, "little"), part.encode() + b" ")]
             else:
-                known = self.chunks.get
-                found = [known(c) or self._coded(c) for c in part.replace("\n", " ").split(" ") if c]
+                found = [self.chunks.get(c) or self._coded(c) for c in part.replace("\n", " ").split(" ") if c]
             ids += [x[0] for x in found]
             tokens += [x[1] for x in found]
         return b"".join(ids), b"".join(tokens)[:-1]
