@@ -36,7 +36,7 @@ RULES = (
     Rule("word_length", "mean_word_chars", low=2.0, high=15.0),
     Rule("symbols", "symbol_ratio", high=0.10),
     Rule("stop_words", "stop_word_ratio", low=0.03),
-    Rule("repeated_lines", "dup_line_ratio", high=0.30),
+    Rule("repeated_lines", "dup_line_ratio", high=0.50),
     Rule("lines_of_one_word", "short_line_ratio", high=0.90),
 )
 
@@ -99,7 +99,7 @@ def quality(docs: DataFrame, rules=RULES, id: str = "doc_id", text: str = "text"
     flat = counted.select("doc_id", "c.w.*", "c.l.*", "c.n_symbols")
     one = lambda c: F.greatest(F.col(c), F.lit(1))
     ratios = flat.select(
-        "*", (F.col("word_chars") / one("n_words")).alias("mean_word_chars"), (F.col("n_symbols") / one("word_chars")).alias("symbol_ratio"),
+        "*", (F.col("word_chars") / one("n_words")).alias("mean_word_chars"), (F.col("n_symbols") / one("n_words")).alias("symbol_ratio"),
         (F.col("n_stop_words") / one("n_words")).alias("stop_word_ratio"), (F.col("n_dup_lines") / one("n_lines")).alias("dup_line_ratio"),
         (F.col("n_short_lines") / one("n_lines")).alias("short_line_ratio"), (F.col("n_repeat_words") / one("n_words")).alias("repeat_word_ratio"),
     )
