@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -18,6 +17,7 @@ from ..operators.issues import Check
 from ..operators.repair import compare_reports, repair
 from ..operators.rules import Rule
 from ..plans.context import TableContext
+from ..plans.local import shared_folder
 from ..sources import readers, writers
 from . import oracle as sql
 from .tables import TARGET, dirty, drift_pair, table
@@ -73,12 +73,6 @@ def dirty_report(spark: SparkSession, folder: str):
     return audit(dirty(spark, folder), TARGET, checkers=SQL_CHECKERS)
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """A fresh sub-folder of the cluster's shared checkpoint folder."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or "/tmp/sievemark"
-    return f"{base.rstrip('/')}/tables-{uuid.uuid4().hex}"
-
-
 # ---- sources and sinks ------------------------------------------------------------
 ORDERS_SUMMARY = """SELECT o_orderstatus, count(*) AS n, sum(o_custkey)::BIGINT AS customers,
   round(sum(o_totalprice), 2) AS total FROM orders GROUP BY o_orderstatus"""
@@ -107,7 +101,62 @@ def src_csv(spark, folder):
 def src_json(spark, folder):
     path = f"{shared_folder(spark)}/orders.json"
     table(spark, folder, "orders").write.json(path)
-    return _orders_summary(spark.read.schema(table(spark, folder, "orders").schema).json(path))
+    return _orders_summary(readers.read_table(spark, path))
+
+
+@query("src_json_array", ORDERS_SUMMARY)
+def src_json_array(spark, folder):
+    """One array of objects per file beside files of JSON Lines, in one folder."""
+    path, orders = f"{shared_folder(spark)}/orders.json", table(spark, folder, "orders")
+    odd = F.col("o_orderkey") % 2 == 1
+    orders.filter(~odd).write.json(path)
+    object_ = F.to_json(F.struct(*orders.columns))
+    # an array per 2,000 order keys and file, so that no collected list grows with the table
+    groups = orders.filter(odd).groupBy(F.floor(F.col("o_orderkey") / 2000).alias("g")).agg(F.concat(F.lit("[\n"), F.array_join(F.collect_list(object_), ",\n"), F.lit("\n]")).alias("value"))
+    groups.select("value").coalesce(1).write.option("lineSep", "\n").option("maxRecordsPerFile", 1).mode("append").text(path)
+    return _orders_summary(readers.read_table(spark, path))
+
+
+@query("src_csv_line_breaks", "SELECT o_orderstatus AS status, count(*) AS n, sum(o_custkey)::BIGINT AS customers FROM orders GROUP BY 1")
+def src_line_breaks(spark, folder):
+    """A quoted cell with a line break and a doubled quote keeps its row, and the columns after it their types."""
+    path = f"{shared_folder(spark)}/notes.csv"
+    note = F.concat(F.lit("first \"line\"\nsecond, line "), F.col("o_orderpriority")).alias("note")
+    frame = table(spark, folder, "orders").select("o_orderstatus", note, "o_custkey")
+    frame.write.option("header", True).option("quoteAll", True).option("escape", '"').csv(path)
+    found = readers.read_table(spark, path).filter(F.col("note").contains("\nsecond"))
+    return found.groupBy(F.col("o_orderstatus").alias("status")).agg(F.count(F.lit(1)).alias("n"), F.sum("o_custkey").cast("bigint").alias("customers"))
+
+
+@query("src_mixed_encodings", "SELECT CASE WHEN o_orderkey % 2 = 0 THEN 'café' ELSE 'thé' END AS drink, count(*) AS n FROM orders GROUP BY 1")
+def src_mixed(spark, folder):
+    """UTF-8 and ISO-8859-1 files in one folder: each is decoded by its own encoding."""
+    path = f"{shared_folder(spark)}/drinks.csv"
+    even = F.col("o_orderkey") % 2 == 0
+    frame = table(spark, folder, "orders").select("o_orderkey", F.when(even, "café").otherwise("thé").alias("drink"))
+    for part, code in ((frame.filter(even), "UTF-8"), (frame.filter(~even), "ISO-8859-1")):
+        part.write.mode("append").option("header", True).option("encoding", code).csv(path)
+    return readers.read_table(spark, path).groupBy("drink").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("src_unknown_suffix", ORDERS_SUMMARY)
+def src_suffix(spark, folder):
+    path = f"{shared_folder(spark)}/orders.data"
+    table(spark, folder, "orders").write.option("header", True).csv(path)
+    return _orders_summary(readers.read_table(spark, path))
+
+
+@query("src_empty_input", "SELECT count(*) AS n, true AS refused FROM orders")
+def src_empty(spark, folder):
+    """A table without rows is refused."""
+    path, orders = f"{shared_folder(spark)}/empty.parquet", table(spark, folder, "orders")
+    orders.filter("o_orderkey < 0").write.parquet(path)
+    try:
+        readers.read_table(spark, path)
+        refused = False
+    except readers.EmptyInput:
+        refused = True
+    return orders.agg(F.count(F.lit(1)).alias("n"), F.lit(refused).alias("refused"))
 
 
 @query("snk_parquet", "SELECT * REPLACE (strftime(o_orderdate, '%Y-%m-%d %H:%M:%S') AS o_orderdate) FROM orders")
@@ -203,9 +252,12 @@ def pro_box(spark, folder):
     return box.select("column", "min", *[F.round(c, 4).alias(c) for c in ("q25", "median", "q75")], "max")
 
 
-@query("pro_preview", "SELECT * FROM region")
+@query("pro_preview", "SELECT least(count(*), 5) AS shown, least(count(*), 5) AS known FROM nation")
 def pro_preview(spark, folder):
-    return profile.preview(TableContext(table(spark, folder, "region")))
+    """Any five rows of a longer table, all of them rows of it."""
+    nation = table(spark, folder, "nation")
+    shown = profile.preview(TableContext(nation))
+    return shown.join(nation.withColumn("hit", F.lit(1)), nation.columns, "left").agg(F.count(F.lit(1)).alias("shown"), F.count("hit").alias("known"))
 
 
 @query("pro_type_counts", D + f"""SELECT count(*) FILTER (t LIKE '%numeric%') AS numeric_columns,
@@ -362,7 +414,33 @@ def out_large(spark, folder):
     return _fences(TableContext(kept, TARGET, buffer_limit=2_000))
 
 
-@query("out_joint_anomalies")
+@query("out_repeated_rows", """WITH n AS (SELECT count(*) AS n FROM lineitem), far AS (SELECT count(*) AS n FROM lineitem WHERE l_orderkey % 300 = 7)
+  SELECT n.n AS n, far.n AS planted, far.n AS found FROM n, far""")
+def out_repeated(spark, folder):
+    """A table of few distinct rows: the planted far-off rows, as often as they occur, have the highest scores."""
+    from ..operators.iforest import anomaly_scores
+
+    far = F.col("l_orderkey") % 300 == 7
+    usual = [(F.col("l_linenumber") * k).cast("double") for k in (1, 3)] + [F.col("l_quantity").cast("int").cast("double")]
+    frame = table(spark, folder, "lineitem").select(far.alias("planted"), *[F.when(far, 400.0 + 9 * i).otherwise(c).alias(f"v{i}") for i, c in enumerate(usual)])
+    scores = anomaly_scores(TableContext(frame), ["v0", "v1", "v2"], keep=["planted"])
+    lowest = scores.filter("planted").agg(F.min("anomaly").alias("cut"))
+    above = scores.join(F.broadcast(lowest)).agg(
+        F.count(F.lit(1)).alias("n"), F.count_if("planted").alias("planted"), F.count_if(F.col("anomaly") >= F.col("cut")).alias("found"))
+    return above
+
+
+@query("out_joint_anomalies", D + """SELECT count(*) AS n, true AS some_found, true AS within_share FROM d""")
+def out_joint(spark, folder):
+    """Rows above the 97 % quantile of the scores: some, and no more than 3 % of all."""
+    from ..operators.iforest import joint_anomalies
+
+    ctx = context(spark, folder)
+    found = joint_anomalies(ctx, outliers.candidates(ctx))
+    return ctx.frame.agg(F.count(F.lit(1)).alias("n"), F.lit(found > 0).alias("some_found"), (F.lit(found) <= F.ceil(0.03 * F.count(F.lit(1)))).alias("within_share"))
+
+
+@query("out_joint_scores")
 def out_forest(spark, folder):
     from ..operators.iforest import CONTAMINATION, anomaly_scores, joint_anomalies
     from ..plans.local import local_frame
@@ -499,6 +577,54 @@ def imb_target(spark, folder):
     return frame.agg(F.lit(by_name).alias("by_name"), F.lit(last.rstrip("_")).alias("last_binary"), F.count(F.lit(1)).alias("n"))
 
 
+@query("imb_continuous_target", "SELECT count(*) AS n, 0 AS issues, true AS classes_unknown FROM orders")
+def imb_continuous(spark, folder):
+    """A target with more than ten values has no class balance, and no class count is invented for it."""
+    orders = table(spark, folder, "orders")
+    found = imbalance.check_imbalance(TableContext(orders, "o_totalprice"))
+    return orders.agg(F.count(F.lit(1)).alias("n"), F.lit(found.issues.count()).alias("issues"), F.lit(found.metrics["classes_count"] is None).alias("classes_unknown"))
+
+
+@query("imb_empty_target", "SELECT count(*) AS n, 'class_imbalance_error' AS issue_id, 'MEDIUM' AS severity, 50.0::DOUBLE AS penalty FROM orders")
+def imb_empty(spark, folder):
+    orders = table(spark, folder, "orders").withColumn("empty", F.lit(None).cast("string"))
+    issue = imbalance.check_imbalance(TableContext(orders, "empty")).issues.select("issue_id", "severity", F.col("penalty").cast("double").alias("penalty"))
+    return orders.agg(F.count(F.lit(1)).alias("n")).join(issue)
+
+
+@query("con_all_null", """SELECT 'nothing' AS "column", 'all_null' AS state, count(*) AS affected FROM orders
+  UNION ALL SELECT 'one', 'constant', count(*) FROM orders""")
+def con_all_null(spark, folder):
+    frame = table(spark, folder, "orders").select("o_orderkey", F.lit(None).cast("double").alias("nothing"), F.lit(7).alias("one"))
+    found = constant_ops.check_constant(TableContext(frame)).issues
+    state = F.when(F.col("issue_id").contains("all_null_"), "all_null").otherwise("constant")
+    return found.select(F.col("affected_columns")[0].alias("column"), state.alias("state"), F.col("affected_rows_count").cast("bigint").alias("affected"))
+
+
+@query("mis_bands", """WITH s AS (SELECT count(*) AS n, count(*) FILTER (o_orderkey % 10 >= 6) AS b40, count(*) FILTER (o_orderkey % 10 >= 3) AS b70 FROM orders)
+  SELECT 'some' AS "column", 'MEDIUM' AS severity, b40 AS missing FROM s UNION ALL SELECT 'most', 'HIGH', b70 FROM s""")
+def mis_bands(spark, folder):
+    """A column with about 40 % missing cells and one with about 70 %."""
+    digit = F.col("o_orderkey") % 10
+    frame = table(spark, folder, "orders").select("o_orderkey", F.when(digit < 6, 1).alias("some"), F.when(digit < 3, 1).alias("most"))
+    found = missing.check_missing(TableContext(frame)).issues
+    return found.filter(F.size("affected_columns") == 1).select(F.col("affected_columns")[0].alias("column"), "severity", F.col("affected_rows_count").cast("bigint").alias("missing"))
+
+
+@query("sus_text_numbers", """SELECT 'price' AS "column", count(*) FILTER (o_orderkey % 50 = 0) AS hits FROM orders""")
+def sus_text_numbers(spark, folder):
+    """A text column that mostly reads as numbers is searched for numeric sentinels."""
+    price = F.when(F.col("o_orderkey") % 50 == 0, "-999").when(F.col("o_orderkey") % 7 == 0, "by phone").otherwise(F.format_string("%.2f", "o_totalprice"))
+    found = suspicious.numeric_sentinels(TableContext(table(spark, folder, "orders").select(price.alias("price"))))
+    return found.select("column", F.col("hits").cast("bigint").alias("hits"))
+
+
+@query("lek_target_by_name", "SELECT count(*) AS n, 'loan_status' AS target FROM orders")
+def lek_by_name(spark, folder):
+    frame = table(spark, folder, "orders").withColumnRenamed("o_orderstatus", "loan_status")
+    return frame.agg(F.count(F.lit(1)).alias("n"), F.lit(leakage.leakage_target(TableContext(frame))).alias("target"))
+
+
 @query("imb_class_distribution", f"""SELECT label, cnt, {sql.pct('cnt', 'n')} AS pct FROM (SELECT o_orderpriority AS label, count(*) AS cnt,
   (SELECT count(*) FROM orders) AS n FROM orders GROUP BY 1) s""")
 def imb_distribution(spark, folder):
@@ -903,11 +1029,17 @@ def compared(spark, folder, **limits) -> drift.Drift:
     return drift.compare(*drift_pair(spark, folder), **limits)
 
 
-@query("drf_shared_columns", "SELECT unnest(['o_orderkey', 'o_custkey', 'o_orderstatus', 'o_totalprice', 'o_orderpriority']) AS \"column\"")
+@query("drf_shared_columns", """SELECT 'l_orderkey' AS "column", count(l_orderkey) AS reference_filled, (SELECT count(o_orderkey) FROM orders) AS current_filled FROM lineitem
+  UNION ALL SELECT 'price', count(l_extendedprice), (SELECT count(o_totalprice) FROM orders) FROM lineitem""")
 def drf_shared(spark, folder):
-    left, right = drift_pair(spark, folder)
-    names = drift.shared_columns(left.drop("n_items"), right)
-    return table(spark, folder, "orders").limit(1).select(F.explode(F.array(*[F.lit(n) for n in names])).alias("column"))
+    """Columns that two tables of different width have in common, and their filled cells on both sides."""
+    left = table(spark, folder, "lineitem").withColumnRenamed("l_extendedprice", "price")
+    right = table(spark, folder, "orders").withColumnsRenamed({"o_orderkey": "l_orderkey", "o_totalprice": "price"})
+    names = drift.shared_columns(left, right)
+    def filled(frame: DataFrame, label: str) -> DataFrame:
+        return frame.agg(*[F.count(n).alias(n) for n in names]).unpivot([], names, "column", label)
+
+    return filled(left, "reference_filled").join(filled(right, "current_filled"), "column")
 
 
 @query("drf_routing", PAIR + sql.union([f" SELECT '{c}' AS \"column\", count(DISTINCT {c}) > 5 AS is_numeric FROM a" for c in DRIFT_NUM + ("n_items",)]))
@@ -1068,7 +1200,7 @@ def rul_events(spark, folder):
         Rule("kind", "allowed_values", "event_type", allowed_values=["click", "View"])])
 
 
-@query("rul_violating_keys", D + "SELECT k FROM d WHERE NOT coalesce(total_price BETWEEN 0 AND 300000, false) ORDER BY k LIMIT 500")
+@query("rul_violating_keys", D + "SELECT k FROM d WHERE NOT coalesce(total_price BETWEEN 0 AND 300000, false)")
 def rul_violations(spark, folder):
     return rule_ops.violations(dirty(spark, folder), DIRTY_RULES[3][0], ["k"])
 
@@ -1080,7 +1212,7 @@ def rul_samples(spark, folder):
 
 
 @query("rul_violating_unique", D + """SELECT k, base_price FROM d WHERE k IN (SELECT k FROM d GROUP BY k HAVING count(*) > 1)
-  ORDER BY k, base_price LIMIT 500""")
+""")
 def rul_unique_rows(spark, folder):
     frame = dirty(spark, folder).select("k", "base_price")
     return rule_ops.violations(frame, Rule("u", "unique", "k"), ["k", "base_price"])
@@ -1110,10 +1242,14 @@ def rul_hygiene(spark, folder):
     return _counts(frame, rule_ops.template_rules("general", frame.columns))
 
 
-@query("rul_rule_file", _rule_rows([("from_file", "orders", "o_totalprice BETWEEN 10000 AND 400000")]))
+@query("rul_rule_file", _rule_rows([
+    ("from_file", "orders", "o_totalprice BETWEEN 10000 AND 400000"), ("status_known", "orders", "lower(trim(o_orderstatus)) IN ('f', 'o')"), ("priority_filled", "orders", "trim(o_orderpriority) <> ''")]))
 def rul_file(spark, folder):
     path = f"{shared_folder(spark)}/rules.json"
-    rules = [Rule("from_file", "range", "o_totalprice", min_value=10000, max_value=400000)]
+    rules = [
+        Rule("from_file", "range", "o_totalprice", min_value=10000, max_value=400000), Rule("status_known", "allowed_values", "o_orderstatus", allowed_values=["F", "O"]),
+        Rule("priority_filled", "not_null", "o_orderpriority"),
+    ]
     rule_ops.rules_table(spark, rules).coalesce(1).write.json(path)
     return _counts(table(spark, folder, "orders"), readers.read_rules(spark, path))
 
@@ -1223,6 +1359,41 @@ def mlb_value_metrics(spark, folder):
     return local_frame(spark, [found], ", ".join(f"{k} double" for k in found))
 
 
+@query("mlb_many_levels", """WITH t AS (SELECT concat('clerk', o_custkey) AS level FROM orders WHERE o_orderkey % 9 <> 0), m AS (SELECT level FROM t GROUP BY 1 ORDER BY count(*) DESC, level LIMIT 1)
+  SELECT (SELECT count(DISTINCT level) FROM t) AS levels, (SELECT level FROM m) AS filled_with, count(*) FILTER (o_orderkey % 9 = 0) AS filled FROM orders""")
+def mlb_levels(spark, folder):
+    """A text column of any number of levels is filled with its mode and one-hot encoded, one slot a level."""
+    from ..operators.mlbench import prepare
+
+    frame = table(spark, folder, "orders").select(
+        F.when(F.col("o_orderkey") % 9 != 0, F.concat(F.lit("clerk"), F.col("o_custkey"))).alias("clerk"), "o_orderkey")
+    columns, encoding = prepare(frame, ["clerk"])
+    ready = frame.select(F.col("clerk").isNull().alias("hole"), *columns)
+    coded = encoding.fit(ready).transform(ready)
+    slots = coded.schema["features"].metadata["ml_attr"]["num_attrs"]
+    return coded.agg(F.lit(slots).cast("bigint").alias("levels"), F.max(F.when(F.col("hole"), F.col("t_clerk"))).alias("filled_with"), F.count_if("hole").alias("filled"))
+
+
+@query("mlb_many_classes", "SELECT count(*) AS n, count(DISTINCT o_custkey) AS classes, 'test rows' AS judged_on FROM orders")
+def mlb_classes(spark, folder):
+    """A text target with over a thousand classes is trained on."""
+    from ..operators.mlbench import fit_baseline
+
+    frame = table(spark, folder, "orders").select(F.concat(F.lit("c"), F.col("o_custkey")).alias("who"), F.col("o_custkey").alias("x"))
+    fit = fit_baseline(frame, "who", "classification", False, "decision_tree")
+    return frame.agg(F.count(F.lit(1)).alias("n"), F.countDistinct("who").alias("classes"), F.lit(fit.judged_on).alias("judged_on"))
+
+
+@query("mlb_all_rows_fallback", "SELECT count(*) AS n, 'training rows' AS judged_on FROM nation WHERE n_nationkey < 2")
+def mlb_fallback(spark, folder):
+    """With too few rows for both sides of the split the model is judged on its training rows, and says so."""
+    from ..operators.mlbench import fit_baseline
+
+    frame = table(spark, folder, "nation").filter("n_nationkey < 2").select("n_nationkey", F.col("n_regionkey").cast("string").alias("y"))
+    fit = fit_baseline(frame, "y", "classification", True, "decision_tree")
+    return frame.agg(F.count(F.lit(1)).alias("n"), F.lit(fit.judged_on).alias("judged_on"))
+
+
 @query("mlb_split_shares")
 def mlb_split(spark, folder):
     """Share of training rows per class under the row-local split."""

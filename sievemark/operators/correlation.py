@@ -11,16 +11,16 @@ from ..plans.pairs import correlate
 from .issues import Check, make_issues, no_issues
 
 CHECKER = "high_correlation"
-FLAG_FROM, HIGH_FROM, MATRIX_COLUMNS = 0.85, 0.95, 15
+FLAG_FROM, HIGH_FROM = 0.85, 0.95
 
 
 def _features(ctx: TableContext) -> list[str]:
     return [n for n in ctx.of_kind("numeric") if n != ctx.target]
 
 
-def correlation_pairs(ctx: TableContext) -> DataFrame:
+def correlation_pairs(ctx: TableContext, names: list[str] | None = None) -> DataFrame:
     """Upper triangle in long form: col_a, col_b, r."""
-    names = _features(ctx)
+    names = _features(ctx) if names is None else names
     found = correlate(ctx, names) if len(names) >= 2 else {}
     rows = [
         {"pos_a": ctx.stats[a].position, "pos_b": ctx.stats[b].position, "col_a": a, "col_b": b, "r": r}
@@ -29,10 +29,10 @@ def correlation_pairs(ctx: TableContext) -> DataFrame:
     return local_frame(ctx.spark, rows, "pos_a bigint, pos_b bigint, col_a string, col_b string, r double")
 
 
-def correlation_matrix(ctx: TableContext) -> DataFrame:
-    """Square matrix of the first 15 numeric columns in long form, r rounded to 2."""
-    names = _features(ctx)[:MATRIX_COLUMNS]
-    kept = correlation_pairs(ctx).filter(F.col("col_a").isin(names) & F.col("col_b").isin(names))
+def correlation_matrix(ctx: TableContext, first: int | None = None) -> DataFrame:
+    """Square matrix of the numeric columns in long form, r rounded to 2; of the first few only, if asked."""
+    names = _features(ctx)[:first]
+    kept = correlation_pairs(ctx, names)
     upper = kept.select("col_a", "col_b", "r")
     lower = kept.select(F.col("col_b").alias("col_a"), F.col("col_a").alias("col_b"), "r")
     ctx.scan("moments", names=names)

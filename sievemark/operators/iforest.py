@@ -1,8 +1,7 @@
 """Joint anomalies across numeric columns: an isolation forest on Spark.
 
 Each tree needs 256 rows only.  They are picked by a hash of the row's content,
-so a rerun picks the same rows, and the hash filter keeps the selection small
-whatever the table size.  Copies of one row share a hash and count once.  Trees
+so a rerun picks the same rows.  A row counts as often as it occurs.  Trees
 grow in parallel, one task group per tree; the finished forest is a few thousand
 nodes and travels to the executors as a broadcast variable for scoring.
 """
@@ -75,19 +74,22 @@ expected_depth, _grow = _tree_tools()
 
 
 def grow_forest(points: DataFrame, names: Sequence[str], identity: Sequence[str], count: int) -> DataFrame:
-    """Node table of the forest; ``identity`` columns feed the content hash."""
-    content = row_hash([F.col(c) for c in identity])
-    wanted = 3.0 * TREES * SAMPLE / max(1, count)
-    picked = points.withColumn("h", content)
-    if wanted < 1.0:
-        picked = picked.filter(unit_hash(F.col("h"), F.lit("pick")) < wanted)
+    """Node table of the forest; ``identity`` columns feed the content hash.
+
+    Rows are drawn as often as they occur: a row that stands c times in the table is due c times the sampling rate
+    draws, whole ones for certain and the rest by its hash.  Only hashes and counts are shuffled to find the draws, about
+    three times what the trees need, whatever the table's size.
+    """
+    rows = points.withColumn("h", row_hash([F.col(c) for c in identity]))
+    due = F.col("copies") * F.lit(3.0 * TREES * SAMPLE / max(1, count))
+    draws = F.floor(due) + (unit_hash(F.col("h"), F.lit("pick")) < due - F.floor(due)).cast("int")
+    counted = rows.groupBy("h").agg(F.count(F.lit(1)).alias("copies")).select("h", draws.alias("draws")).filter("draws > 0")
     xs = [F.col(c).alias(f"x{i}") for i, c in enumerate(names)]
-    picked = picked.select("h", *xs).dropDuplicates(["h"])
-    # A small table lends its rows to several trees; a large one gives each row to one tree.
-    copies = max(1, min(TREES, math.ceil(wanted)))
-    spread = picked.withColumn("turn", F.explode(F.sequence(F.lit(0), F.lit(copies - 1))))
+    drawn = rows.select("h", *xs).join(F.broadcast(counted), "h").dropDuplicates(["h"])
+    spread = drawn.withColumn("turn", F.explode(F.sequence(F.lit(0), (F.col("draws") - 1).cast("int"))))
+    # a row's draws go round the trees, so that copies are spread evenly
     spread = spread.withColumn("tree", F.pmod(F.xxhash64("h", F.lit("tree")) + F.col("turn"), F.lit(TREES)).cast("int"))
-    order = Window.partitionBy("tree").orderBy(F.xxhash64("h", "tree"), "h")
+    order = Window.partitionBy("tree").orderBy(F.xxhash64("h", "turn", "tree"), "h", "turn")
     chosen = spread.withColumn("place", F.row_number().over(order)).filter(F.col("place") <= SAMPLE)
     columns = ["tree", "place"] + [f"x{i}" for i in range(len(names))]
     return chosen.select(*columns).groupBy("tree").applyInPandas(_grow, NODE_SCHEMA)

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import fixed
 from ..functions.expr import percent
-from ..plans.context import TableContext
+from ..plans.context import MANY, TableContext
 from ..plans.local import local_frame, settle
 from .issues import Check, make_issues, no_issues
 
@@ -90,7 +90,7 @@ def check_imbalance(ctx: TableContext) -> Check:
         return Check(CHECKER, note)
     ctx.small_domain([target])
     classes = ctx.stats[target].get("ndv", 0)
-    metrics = {"target_column": target, "classes_count": classes}
+    metrics = {"target_column": target, "classes_count": None if classes == MANY else classes}
     if classes > MAX_CLASSES:
         return Check(CHECKER, no_issues(ctx.spark), metrics)
     if classes == 0:

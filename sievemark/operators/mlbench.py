@@ -9,21 +9,18 @@ from dataclasses import dataclass, field
 from pyspark.ml import Pipeline, Transformer
 from pyspark.ml.classification import DecisionTreeClassifier, LogisticRegression, RandomForestClassifier
 from pyspark.ml.evaluation import BinaryClassificationEvaluator
-from pyspark.ml.feature import FeatureHasher, OneHotEncoder, StandardScaler, StringIndexer, VectorAssembler
+from pyspark.ml.feature import OneHotEncoder, StandardScaler, StringIndexer, VectorAssembler
 from pyspark.ml.regression import DecisionTreeRegressor, LinearRegression, RandomForestRegressor
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.expr import fold_missing, kind_of, quoted
-from ..plans.context import TableContext
+from ..plans.context import TableContext, most_frequent
 from ..plans.local import local_frame
 
 SEED = 42
 SPLIT_SLOTS, TRAIN_SLOTS, HALF_SLOTS, SMALL_TABLE = 10_000, 7_500, 5_000, 50
 MAX_CLASSES = 10
-# A column with more levels than this is hashed instead of one-hot encoded: its
-# level list would otherwise have to fit on the driver.
-MAX_LEVELS, HASH_SLOTS = 1_000, 256
 CLASS_METRICS = ("accuracy", "precision", "recall", "f1", "roc_auc")
 VALUE_METRICS = ("r2", "mae", "rmse")
 
@@ -35,6 +32,7 @@ class Fit:
     model: str
     metrics: dict[str, float]
     importances: dict[str, float] = field(default_factory=dict)
+    judged_on: str = "test rows"
 
 
 @dataclass
@@ -49,10 +47,10 @@ class Benchmark:
         """(metric, raw, clean, uplift)."""
         rows = [
             {"metric": k, "raw": self.raw.metrics.get(k, 0.0), "clean": v,
-             "uplift": round(v - self.raw.metrics.get(k, 0.0), 4)}
+             "uplift": round(v - self.raw.metrics.get(k, 0.0), 4), "judged_on": self.clean.judged_on}
             for k, v in self.clean.metrics.items()
         ]
-        return local_frame(self.frame.sparkSession, rows, "metric string, raw double, clean double, uplift double")
+        return local_frame(self.frame.sparkSession, rows, "metric string, raw double, clean double, uplift double, judged_on string")
 
     def top_features(self, k: int = 10) -> DataFrame:
         """(feature, importance) of the model trained on the clean table."""
@@ -105,7 +103,6 @@ def prepare(train: DataFrame, features: Sequence[str]) -> tuple[list[Column], Pi
     numbers = [c for c in features if ctx.stats[c].kind == "numeric"]
     others = [c for c in features if ctx.stats[c].kind not in ("numeric", "other")]
     ctx.scan("nulls").quantiles(numbers)
-    ctx.small_domain(others, tops=True)
     numbers = [c for c in numbers if ctx.stats[c]["non_null"] > 0]
     columns, stages, inputs = [], [], []
     for c in numbers:
@@ -117,12 +114,10 @@ def prepare(train: DataFrame, features: Sequence[str]) -> tuple[list[Column], Pi
             StandardScaler(inputCol="numbers", outputCol="scaled", withMean=True, withStd=True),
         ]
         inputs.append("scaled")
-    levels = [c for c in others if 0 < ctx.stats[c].get("ndv", 0) <= MAX_LEVELS]
-    hashed = [c for c in others if ctx.stats[c].get("ndv", 0) > MAX_LEVELS]
-    for c in levels + hashed:
-        tops = ctx.stats[c].get("tops") or []
-        mode = tops[0][0] if tops else "Missing"
-        text = F.coalesce(quoted(c).cast("string"), F.lit(mode))
+    modes = most_frequent(ctx, others)
+    levels = [c for c in others if c in modes]
+    for c in levels:
+        text = F.coalesce(quoted(c).cast("string"), F.lit(modes[c]))
         columns.append(F.when(text == "", "(empty)").otherwise(text).alias(f"t_{c}"))  # levels need a name
     for c in levels:
         stages += [
@@ -130,10 +125,6 @@ def prepare(train: DataFrame, features: Sequence[str]) -> tuple[list[Column], Pi
             OneHotEncoder(inputCol=f"i_{c}", outputCol=f"o_{c}", dropLast=True),
         ]
         inputs.append(f"o_{c}")
-    if hashed:
-        stages.append(FeatureHasher(
-            inputCols=[f"t_{c}" for c in hashed], outputCol="hashed", numFeatures=HASH_SLOTS * len(hashed)))
-        inputs.append("hashed")
     stages.append(VectorAssembler(inputCols=inputs, outputCol="features", handleInvalid="keep"))
     return columns, Pipeline(stages=stages)
 
@@ -198,16 +189,17 @@ def fit_baseline(frame: DataFrame, target: str, task: str, binary: bool, model:
     features = [c for c in frame.columns if c != target and kind_of(frame.schema[c].dataType) != "other"]
     if task == "classification":
         text = y.cast("string")
-        classes = [r[0] for r in rows.select(text.alias("c")).distinct().orderBy("c").limit(MAX_LEVELS + 1).collect()]
-        if len(classes) < 2:
+        classes = rows.select(text.alias("c")).distinct()
+        if classes.limit(2).count() < 2:
             return Fit("Baseline Classifier", {k: 1.0 for k in CLASS_METRICS})
-        if len(classes) > MAX_LEVELS:
-            raise ValueError(f"{target} has over {MAX_LEVELS} classes")
-        label = (F.array_position(F.array(*[F.lit(c) for c in classes]), text) - 1).cast("double")
+        label = F.when(text == "", "(empty)").otherwise(text)
     else:
         label = y.cast("double")
     slot = split_slot([quoted(c) for c in [*features, target]])
     rows = rows.select(*[quoted(c) for c in features], label.alias("label"), slot.alias("slot"))
+    if task == "classification":  # alphabetical class numbers, any number of them
+        names = StringIndexer(inputCol="label", outputCol="label_no", stringOrderType="alphabetAsc").fit(rows)
+        rows = names.transform(rows).drop("label").withColumnRenamed("label_no", "label")
     total = rows.count()
     edge = TRAIN_SLOTS if total >= SMALL_TABLE else HALF_SLOTS
     train, test = rows.filter(F.col("slot") < edge), rows.filter(F.col("slot") >= edge)
@@ -237,7 +229,9 @@ def fit_baseline(frame: DataFrame, target: str, task: str, binary: bool, model:
         return run(train, test)
     except Exception as problem:  # noqa: BLE001 - score on the training rows instead
         logging.getLogger(__name__).warning("split fit failed, using all rows: %s", str(problem).splitlines()[0])
-        return run(rows, rows)
+        fit = run(rows, rows)
+        fit.judged_on = "training rows"
+        return fit
 
 
 def benchmark(raw: DataFrame, clean: DataFrame, target: str, model: str = "random_forest") -> Benchmark:

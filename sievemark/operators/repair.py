@@ -16,10 +16,10 @@ from pyspark.sql import functions as F
 
 from ..functions import fixed
 from ..functions.expr import as_number, as_timestamp, fold_missing, is_blank, kind_of, normal_word, quoted
-from ..plans.context import TableContext
+from ..plans.context import TableContext, most_frequent
 from ..plans.local import durable, local_frame
 from ..plans.quantiles import BUFFER_LIMIT, exact_quantiles
-from ..plans.repeats import comparable, row_hash
+from ..plans.repeats import comparable
 from .audit import Report, audit
 
 
@@ -91,27 +91,15 @@ class Repair:
 
 
 def drop_exact_duplicates(frame: DataFrame) -> DataFrame:
-    """One copy per distinct row.
-
-    Unique rows are told apart by hash and pass through unshuffled except for the
-    hash itself; only rows with a repeated hash are compared value by value.
-    """
+    """One copy per distinct row: one shuffle, with repeats combined before it."""
     names = frame.columns
-    if not names:
-        return frame
-    keys = [fold_missing(comparable(frame, n), frame.schema[n].dataType) for n in names]
-    hashed = frame.withColumn("__h", row_hash(keys))
-    suspects = hashed.groupBy("__h").agg(F.count(F.lit(1)).alias("__n")).filter("__n > 1").select("__h")
-    single = hashed.join(suspects, "__h", "left_anti").drop("__h")
-    repeated = hashed.join(suspects, "__h", "left_semi").drop("__h")
     nested = [n for n in names if kind_of(frame.schema[n].dataType) == "other"]
-    if nested:
-        plain = [n for n in names if n not in nested]
-        temp = {f"__k{i}": comparable(frame, n) for i, n in enumerate(nested)}
-        reduced = repeated.withColumns(temp).dropDuplicates([*plain, *temp]).drop(*temp)
-    else:
-        reduced = repeated.dropDuplicates()
-    return single.select(*[quoted(n) for n in names]).unionByName(reduced.select(*[quoted(n) for n in names]))
+    if not nested:
+        return frame.dropDuplicates() if names else frame
+    plain = [n for n in names if n not in nested]
+    temp = {f"__k{i}": comparable(frame, n) for i, n in enumerate(nested)}
+    reduced = frame.withColumns(temp).dropDuplicates([*plain, *temp])
+    return reduced.select(*[quoted(n) for n in names])
 
 
 def drop_sparse(frame: DataFrame) -> DataFrame:
@@ -209,6 +197,7 @@ def repair(
         out = rows_left(drop_sparse(out), "drop_sparse_rows")
     for c in columns_for("drop_duplicates_by_key", out):
         if not explicit and c not in primary_keys:
+            note("drop_duplicates_by_key", c, "skipped: not named in primary_keys")
             continue
         if not order_by:
             raise ValueError(f"drop_duplicates_by_key:{c} needs order_by to tell which row is first")
@@ -241,9 +230,10 @@ def repair(
         note("cast_to_int", c)
 
     # 8: clip to the 1st and 99th percentile
+    if columns_for("clip_outliers", out) or columns_for("impute", out):
+        out = _barrier(out, todo)
     clips = [c for c in columns_for("clip_outliers", out) if kind_of(out.schema[c].dataType) in ("numeric", "string")]
     if clips:
-        out = _barrier(out, todo)
         values = {c: fold_missing_double(out, c) for c in clips}
         counts = dict(zip(clips, out.agg(*[F.count(values[c]) for c in clips]).collect()[0]))
         bounds = exact_quantiles(out, values, [0.01, 0.99], counts, buffer_limit)
@@ -291,7 +281,7 @@ def _impute(frame: DataFrame, names: Sequence[str], note, detected: bool, buffer
     numbers = [n for n in holes if ctx.stats[n].kind in ("numeric",)]
     others = [n for n in holes if n not in numbers]
     ctx.quantiles(numbers)
-    modes = _modes(ctx, others)
+    modes = most_frequent(ctx, others)
     out = folded
     for n in numbers:
         median = ctx.stats[n].get("median")
@@ -315,15 +305,6 @@ def _impute(frame: DataFrame, names: Sequence[str], note, detected: bool, buffer
     return out
 
 
-def _modes(ctx: TableContext, names: Sequence[str]) -> dict[str, str]:
-    """Most frequent value per column, the smallest on a tie."""
-    if not names:
-        return {}
-    counted = ctx.frequencies(names)
-    best = counted.groupBy("position").agg(F.min_by("value", F.struct(-F.col("cnt"), F.col("value"))).alias("value"))
-    return {ctx.names[int(r["position"])]: r["value"] for r in best.collect()}
-
-
 def compare_reports(before: Report, after: Report) -> DataFrame:
     from .scoring import compare_dimensions
 

@@ -18,7 +18,7 @@ from ..functions import fixed
 from ..functions.expr import as_number, as_timestamp, fold_missing, is_blank, kind_of, normal_word, percent, quoted
 from ..plans.local import local_frame
 
-VIOLATIONS_KEPT, SAMPLES_KEPT = 500, 5
+SAMPLES_KEPT = 5
 
 
 @dataclass
@@ -215,11 +215,11 @@ def suite_summary(results: DataFrame) -> DataFrame:
 
 
 def violations(
-    frame: DataFrame, rule: Rule, key_columns: Sequence[str], keep: int = VIOLATIONS_KEPT, whole_rows: bool = False
+    frame: DataFrame, rule: Rule, key_columns: Sequence[str], keep: int | None = None, whole_rows: bool = False
 ) -> DataFrame:
-    """The first ``keep`` failing rows in key order (keys only, or whole rows).
+    """Failing rows (keys only, or whole rows): all of them, or with ``keep`` the first ones in key order.
 
-    Sorting is a bounded top-k per task.  For ``unique`` the failing rows are
+    Sorting is then a bounded top-k per task.  For ``unique`` the failing rows are
     those whose value is among the repeated ones; the join is null-safe and
     Spark splits a hot value's partition (AQE) or broadcasts a small side.
     """
@@ -231,7 +231,9 @@ def violations(
     else:
         failing = frame.filter(~test)
     columns = frame.columns if whole_rows else list(key_columns)
-    return failing.orderBy(*[quoted(c) for c in key_columns]).limit(keep).select(*[quoted(c) for c in columns])
+    if keep is not None:
+        failing = failing.orderBy(*[quoted(c) for c in key_columns]).limit(keep)
+    return failing.select(*[quoted(c) for c in columns])
 
 
 def sample_violations(frame: DataFrame, rule: Rule, key_columns: Sequence[str]) -> DataFrame:

@@ -289,13 +289,22 @@ class TableContext:
             {
                 "position": s.position, "column": s.name, "kind": s.kind, "n": self.count,
                 "is_target": s.name == self.target,
-                **{k: s.values.get(k) for k in fields},
+                **{k: None if s.values.get(k) == MANY else s.values.get(k) for k in fields},  # MANY is no count
             }
             for s in (self.stats[n] for n in names)
         ]
         return local_frame(self.spark, rows, schema)
 
 
+def most_frequent(ctx: TableContext, names: Sequence[str]) -> dict[str, str]:
+    """Most frequent value per column as text, the smallest on a tie; columns without values are left out."""
+    if not names:
+        return {}
+    counted = ctx.frequencies(names)
+    best = counted.groupBy("position").agg(F.min_by("value", F.struct(-F.col("cnt"), F.col("value"))).alias("value"))
+    return {ctx.names[int(r["position"])]: r["value"] for r in best.collect()}
+
+
 def top_values(counted: DataFrame, group: str, k: int) -> DataFrame:
     """(group, tops): the k most frequent values per group, ties by value.
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 from collections.abc import Iterable, Mapping
 
 import pyarrow as pa
@@ -34,10 +35,25 @@ def settle(frame: DataFrame) -> DataFrame:
     return local_frame(frame.sparkSession, [r.asDict() for r in frame.collect()], frame.schema)
 
 
+def shared_folder(spark: SparkSession, name: str | None = None) -> str:
+    """A fresh sub-folder of the folder that driver and executors share.
+
+    That is ``spark.checkpoint.dir``.  Only a local master may do without it: a temporary folder would be another one on
+    each machine of a cluster.
+    """
+    context = spark.sparkContext
+    base = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
+    if base is None:
+        if not context.master.startswith("local[") and context.master != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        base = f"file://{tempfile.mkdtemp(prefix='checkpoint-')}"
+        context.setCheckpointDir(base)
+    return f"{base.rstrip('/')}/{name or 'tables'}-{uuid.uuid4().hex}"
+
+
 def durable(frame: DataFrame) -> DataFrame:
     """Cut lineage with a reliable checkpoint in the cluster's shared folder."""
     context = frame.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
-        folder = frame.sparkSession.conf.get("spark.checkpoint.dir", None)
-        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="checkpoint-"))
+        context.setCheckpointDir(shared_folder(frame.sparkSession, "checkpoints"))
     return frame.checkpoint(eager=True)

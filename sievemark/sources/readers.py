@@ -3,6 +3,9 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from dataclasses import dataclass
+from functools import reduce
+from urllib.parse import unquote
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -17,26 +20,76 @@ class EmptyInput(ValueError):
     """The input holds no rows."""
 
 
+@dataclass
+class Lines:
+    """What one scan over a file's lines tells."""
+
+    path: str
+    broken: bool  # bytes that are not UTF-8
+    odd_quotes: bool  # a line that ends inside quotes
+    objects: bool  # every filled line is a whole JSON object
+    openings: int  # lines that begin with a brace, without indent
+    array: bool  # a line that begins with a bracket
+
+
+def look(spark: SparkSession, path: str) -> list[Lines]:
+    """One aggregate over the lines of every file: encoding, quoting and JSON layout are decided per file."""
+    line, bare = F.col("value"), F.trim(F.col("value"))
+    text = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("file"))
+    quotes = F.length(line) - F.length(F.replace(line, F.lit('"')))
+    found = text.groupBy("file").agg(
+        F.bool_or(~F.is_valid_utf8("value")), F.bool_or(quotes % 2 == 1),
+        F.bool_and(F.when(bare != "", bare.startswith("{") & bare.endswith("}"))),
+        F.count_if(line.startswith("{")), F.bool_or(line.startswith("[")),
+    )
+    return [Lines(unquote(r[0]), bool(r[1]), bool(r[2]), bool(r[3]), r[4], bool(r[5])) for r in found.collect()]
+
+
+def _apart(files: list[Lines], path: str, groups: dict) -> dict:
+    """Paths of each group; a single group keeps the path as it was given."""
+    return {key: [path] if len(groups) == 1 else [f.path for f in own] for key, own in groups.items()}
+
+
+def _grouped(files: list[Lines], key) -> dict:
+    groups: dict = {}
+    for file in files:
+        groups.setdefault(key(file), []).append(file)
+    return groups
+
+
 def read_csv(
     spark: SparkSession,
     path: str,
     *,
     schema: T.StructType | str | None = None,
-    encoding: str = "UTF-8",
+    encoding: str | None = None,
+    fallback: str = "ISO-8859-1",
     na_values: Sequence[str] = NA_TOKENS,
     infer: bool = True,
-    multi_line: bool = False,
+    multi_line: bool | None = None,
 ) -> DataFrame:
     """Delimited text with a header.
 
-    Cells are read as text, NA tokens become null, then columns are typed: with
-    the given schema, or by one aggregate over the whole file that finds which
-    columns hold only integers, numbers or booleans.  Give a schema for large
-    inputs: it saves that scan.  ``multi_line`` allows line breaks inside quoted
-    cells, at the price of one task per file.
+    A scan over the lines finds, file by file, whether it is UTF-8 (else ``fallback`` is used for that file) and whether
+    a quoted cell holds a line break; only files with one are read as a whole, by one task each.  Name both ``encoding``
+    and ``multi_line`` to save that scan.  Cells are read as text, NA tokens become null, then columns are typed: with
+    the given schema, or by one aggregate that finds which columns hold only integers, numbers or booleans.
     """
-    reader = spark.read.option("header", True).option("encoding", encoding).option("multiLine", multi_line)
-    raw = reader.option("quote", '"').option("escape", '"').csv(path)
+    def cells(paths: list[str], code: str, whole: bool) -> DataFrame:
+        reader = spark.read.option("header", True).option("encoding", code).option("multiLine", whole)
+        return reader.option("quote", '"').option("escape", '"').csv(paths)
+
+    if encoding is not None and multi_line is not None:
+        raw = cells([path], encoding, multi_line)
+    else:
+        def kind(f: Lines) -> tuple[str, bool]:
+            return encoding or (fallback if f.broken else "UTF-8"), f.odd_quotes if multi_line is None else multi_line
+
+        files = look(spark, path)
+        groups = _apart(files, path, _grouped(files, kind))
+        if not groups:
+            raise EmptyInput(f"{path} holds no rows")
+        raw = reduce(DataFrame.unionByName, [cells(paths, *how) for how, paths in sorted(groups.items())])
     tokens = [t for t in na_values]
     text = raw.select(*[F.when(~quoted(c).isin(*tokens), quoted(c)).alias(c) for c in raw.columns])
     if schema is not None:
@@ -45,6 +98,19 @@ def read_csv(
     return _typed(text) if infer else text
 
 
+def read_json(spark: SparkSession, path: str, schema: T.StructType | str | None = None, **options) -> DataFrame:
+    """JSON Lines, arrays of objects and single objects, told apart file by file; what can't be read whole is an error."""
+    files = look(spark, path)
+    for file in files:
+        if not file.objects and not file.array and file.openings > 1:
+            raise ValueError(f"{file.path} holds several JSON values that span lines: only the first could be read")
+    groups = _apart(files, path, _grouped(files, lambda f: not f.objects))
+    if not groups:
+        raise EmptyInput(f"{path} holds no rows")
+    parts = [spark.read.json(paths, schema=schema, multiLine=whole, **options) for whole, paths in sorted(groups.items())]
+    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
+
+
 def _typed(text: DataFrame) -> DataFrame:
     measures: list[Column] = []
     for c in text.columns:
@@ -71,29 +137,20 @@ def _typed(text: DataFrame) -> DataFrame:
     return text.select(*parts)
 
 
-def read_csv_any_encoding(spark: SparkSession, path: str, fallback: str = "ISO-8859-1", **options) -> DataFrame:
-    """UTF-8 first; the fallback encoding if the text does not decode cleanly."""
-    raw = spark.read.text(path)
-    broken = raw.filter(~F.is_valid_utf8("value")).limit(1)
-    return read_csv(spark, path, encoding="UTF-8" if broken.isEmpty() else fallback, **options)
-
-
 def read_table(spark: SparkSession, path: str, **options) -> DataFrame:
     """Read by suffix (.csv .txt .parquet .json; anything else as CSV); empty input is an error."""
     lowered = path.lower().rstrip("/")
     if lowered.endswith(".parquet"):
         frame = spark.read.parquet(path)
     elif lowered.endswith(".json"):
-        frame = spark.read.json(path, multiLine=True, **options)
-    elif "encoding" in options:
-        frame = read_csv(spark, path, **options)
+        frame = read_json(spark, path, **options)
     else:
-        frame = read_csv_any_encoding(spark, path, **options)
+        frame = read_csv(spark, path, **options)
     if frame.isEmpty():
         raise EmptyInput(f"{path} holds no rows")
     return frame
 
 
 def read_rules(spark: SparkSession, path: str) -> list[Rule]:
-    """Rules from a JSON array of rule objects."""
-    return rules_from(spark.read.schema(RULE_SCHEMA).json(path, multiLine=True))
+    """Rules from a JSON array of rule objects, or one object a line."""
+    return rules_from(read_json(spark, path, RULE_SCHEMA))

@@ -11,58 +11,56 @@ from sievemark.operators.mlbench import benchmark, detect_task
 from sievemark.operators.repair import repair
 from sievemark.operators.rules import Rule, run_rules, suite_summary, template_rules, violations
 from sievemark.plans.context import TableContext
-from sievemark.sources.readers import EmptyInput, read_csv, read_csv_any_encoding, read_rules, read_table
+from sievemark.sources.readers import EmptyInput, read_csv, read_rules, read_table
 from sievemark.sources.writers import write_report, write_table
 
 
-def loans(n=600, seed=42) -> pd.DataFrame:
-    """Loan applications with nulls, sentinels, text amounts, leakage, a constant and repeats."""
+def rides(n=640, seed=7) -> pd.DataFrame:
+    """Bicycle hires: empty cells, sentinels, fares as text, a flag that gives the target away, one depot, repeats."""
     rng = np.random.default_rng(seed)
-    status = (rng.random(n) < 0.84).astype(int)
-    income = np.round(rng.lognormal(10.8, 0.5, n), 2)
-    amount = np.round(income * rng.uniform(0.15, 0.45, n), 2)
+    paid = (np.arange(n) % 6 != 5).astype(int)
+    km = np.round(rng.gamma(4.0, 2.5, n) + 0.5, 3)
+    days = pd.Timestamp("2019-03-01") + pd.to_timedelta(rng.integers(0, 900, n), unit="D")
     frame = pd.DataFrame({
-        "applicant_id": [f"APP-{10000 + i}" for i in range(n)],
-        "age": rng.integers(18, 76, n), "annual_income": income, "loan_amount": amount,
-        "principal_amount": np.round(amount + rng.normal(0, 5, n), 2),
-        "credit_score": rng.integers(350, 851, n),
-        "monthly_payment": [f"${v:,.2f}" for v in amount / 36],
-        "home_ownership": rng.choice(["RENT", "OWN", "MORTGAGE", "OTHER"], n),
-        "application_date": [f"{y}/{m:02d}/{d:02d}" for y, m, d in zip(rng.integers(2020, 2024, n), rng.integers(1, 13, n), rng.integers(1, 29, n))],
-        "country_origin": "US", "underwriting_flag": 1 - status, "loan_status": status,
+        "ride_id": [f"H{7000 + 3 * i}" for i in range(n)], "age": 20 + (np.arange(n) * 7) % 50,
+        "distance_km": km, "distance_mi": np.round(km * 0.621 + rng.normal(0, 0.01, n), 3),
+        "battery": rng.integers(300, 420, n), "fare": [f"${v:,.2f}" for v in 900 + 37 * km],
+        "wheel": rng.choice(["small", "medium", "large"], n), "day": days.strftime("%Y/%m/%d"),
+        "depot": "north", "voided": 1 - paid, "paid": paid,
     })
-    frame.loc[rng.random(n) < 0.16, "annual_income"] = np.nan
-    frame.loc[rng.random(n) < 0.08, "home_ownership"] = None
-    frame.loc[:14, "credit_score"] = -999
-    frame.loc[20, "age"], frame.loc[21, "age"] = -4, 999
-    frame.loc[30, "loan_amount"], frame.loc[31, "loan_amount"] = 8.5e6, 5.2e6
-    return pd.concat([frame, frame.head(15)], ignore_index=True)
+    frame.loc[np.arange(n) % 7 == 2, "distance_mi"] = np.nan
+    frame.loc[np.arange(n) % 11 == 4, "wheel"] = None
+    frame.loc[100:119, "battery"] = -999
+    frame.loc[200, "age"], frame.loc[201, "age"] = -9, 888
+    frame.loc[300, "distance_km"], frame.loc[301, "distance_km"] = 4.0e5, 7.5e5
+    return pd.concat([frame, frame.iloc[40:52]], ignore_index=True)
 
 
 @pytest.fixture(scope="module")
-def loan_report(spark):
-    frame = spark.createDataFrame(loans())
-    return frame, audit(frame, "loan_status", name="loans")
+def ride_report(spark):
+    frame = spark.createDataFrame(rides())
+    return frame, audit(frame, "paid", name="rides")
 
 
-def test_audit_then_repair(spark, loan_report, tmp_path):
-    frame, report = loan_report
-    assert 50 <= report.score() <= 80
+def test_audit_then_repair(spark, ride_report, tmp_path):
+    frame, report = ride_report
+    assert 40 <= report.score() <= 85
     assert report.checker_scores.count() == 9 and report.alerts.count() > 3
     ids = {r["issue_id"] for r in report.issues.select("issue_id").collect()}
-    assert {"data_leakage_direct_target_leakage_underwriting_flag", "constant_columns_constant_column_country_origin",
-            "data_types_currency_as_string_monthly_payment", "data_types_date_as_string_application_date",
-            "suspicious_values_numeric_sentinel_credit_score_-999", "suspicious_values_invalid_age_range_age",
-            "duplicate_rows_exact_duplicates_found", "duplicate_rows_duplicate_key_applicant_id",
-            "outliers_outliers_loan_amount", "outliers_multivariate_anomalies"} <= ids
-    done = repair(frame, target="loan_status", report=report)
-    after = audit(done.frame, "loan_status")
-    assert after.score() > report.score() and after.score() >= 85
-    assert done.stats().collect()[0]["rows_removed"] == 15
-    assert done.stage_rows().collect()[0]["rows_after"] == 600
+    assert {"data_leakage_direct_target_leakage_voided", "constant_columns_constant_column_depot",
+            "data_types_currency_as_string_fare", "data_types_date_as_string_day",
+            "suspicious_values_numeric_sentinel_battery_-999", "suspicious_values_invalid_age_range_age",
+            "duplicate_rows_exact_duplicates_found", "duplicate_rows_duplicate_key_ride_id",
+            "outliers_outliers_distance_km", "outliers_multivariate_anomalies"} <= ids
+    done = repair(frame, target="paid", report=report)
+    after = audit(done.frame, "paid")
+    assert after.score() > report.score()
+    assert done.stats().collect()[0]["rows_removed"] == 12
+    assert done.stage_rows().collect()[0]["rows_after"] == 640
+    assert any("skipped" in (r["detail"] or "") for r in done.log_table().collect())
     write_report(report, str(tmp_path / "report"))
     assert spark.read.json(str(tmp_path / "report" / "issues")).count() == report.issues.count()
-    assert spark.read.json(str(tmp_path / "report" / "profile")).count() == 12
+    assert spark.read.json(str(tmp_path / "report" / "profile")).count() == 11
     row = report.diagnosis.collect()[0]
     assert row["target_leakage"] and row["risk_level"] in ("MODERATE", "HIGH")
 
@@ -103,10 +101,9 @@ def test_isolation_forest_ranks_planted_anomalies_first(spark):
 
 
 def test_currency_text(spark):
-    frame = spark.createDataFrame(
-        [("$1,250,500.00", 1), ("€45,000", 0), ("12,000.50", 1), ("$99.99", 0), ("n/a", 1)], "revenue string, target int")
-    found = [r[0] for r in repair(frame, ["clean_numeric_string:revenue"]).frame.select("revenue").collect()]
-    assert found == [1250500.0, 45000.0, 12000.5, 99.99, None]
+    toll = spark.createDataFrame([("£ 3,300",), ("7.25",), ("$1,000,001.5",), ("free",)], "toll string")
+    found = [r[0] for r in repair(toll, ["clean_numeric_string:toll"]).frame.collect()]
+    assert found == [3300.0, 7.25, 1000001.5, None]
 
 
 def test_dates_and_keys(spark):
@@ -135,30 +132,29 @@ def test_impute_mode_tie_and_empty_column(spark):
 
 def test_rules(spark):
     frame = spark.createDataFrame(
-        [(25, "alice@work.com", "APPROVED"), (45, "bob@gmail.com", "REJECTED"), (12, "invalid-email", "PENDING"),
-         (105, "carol@yahoo.com", "UNKNOWN_STATUS"), (30, "dave@corp.org", "APPROVED")], "age int, email string, status string")
+        [(-3, "A-1", "open"), (4, "B-22", "shut"), (9, "b22", "ajar"), (11, "C-7", "open")], "depth int, code string, lid string")
     results = run_rules(frame, [
-        Rule("r1", "range", "age", min_value=18, max_value=100),
-        Rule("r2", "regex", "email", regex_pattern=r"^[\w\.-]+@[\w\.-]+\.\w+$"),
-        Rule("r3", "allowed_values", "status", allowed_values=["APPROVED", "REJECTED", "PENDING"]),
-        Rule("r4", "regex", "email", regex_pattern="([a-z+"),
-        Rule("r5", "unique", "status"),
+        Rule("deep", "range", "depth", min_value=0, max_value=10),
+        Rule("code", "regex", "code", regex_pattern=r"^[A-Z]-\d+$"),
+        Rule("lid", "allowed_values", "lid", allowed_values=["open", "shut"]),
+        Rule("bad", "regex", "code", regex_pattern="(["),
+        Rule("once", "unique", "lid"),
     ]).collect()
-    assert [r["failed_count"] for r in results] == [2, 1, 1, 5, 2]
+    assert [r["failed_count"] for r in results] == [2, 1, 1, 4, 2]
     assert "Invalid regular expression" in results[3]["message"]
-    assert [r["age"] for r in violations(frame, Rule("r5", "unique", "status"), ["age"]).collect()] == [25, 30]
-    empty = run_rules(frame.limit(0), [Rule("e", "not_null", "age")])
+    assert sorted(r["depth"] for r in violations(frame, Rule("once", "unique", "lid"), ["depth"]).collect()) == [-3, 11]
+    assert [r["depth"] for r in violations(frame, Rule("once", "unique", "lid"), ["depth"], keep=1).collect()] == [-3]
+    empty = run_rules(frame.limit(0), [Rule("e", "not_null", "depth")])
     assert empty.collect()[0]["pass_rate_pct"] == 100.0
     assert suite_summary(empty).collect()[0]["status"] == "PASSED"
-    assert [r.rule_id for r in template_rules("fintech", ["age", "salary", "user_id", "x"])] == [
-        "fin_age_range", "fin_income_positive", "fin_id_unique"]
+    assert [r.rule_id for r in template_rules("ecommerce", ["unit_price", "rating", "weight"])] == ["ecom_price_positive", "ecom_rating_bounds"]
 
 
 def test_repeated_nulls_violate_unique(spark):
     frame = spark.createDataFrame([(1, None), (2, None), (3, "a")], "k int, v string")
     rule = Rule("u", "unique", "v")
     assert run_rules(frame, [rule]).collect()[0]["failed_count"] == 2
-    assert [r["k"] for r in violations(frame, rule, ["k"]).collect()] == [1, 2]
+    assert sorted(r["k"] for r in violations(frame, rule, ["k"]).collect()) == [1, 2]
 
 
 def test_readers_and_writers(spark, tmp_path):
@@ -170,7 +166,7 @@ def test_readers_and_writers(spark, tmp_path):
     assert read_csv(spark, str(path), schema="id int, price double").dtypes == [("id", "int"), ("price", "double")]
     latin = tmp_path / "latin.txt"
     latin.write_bytes("name\ncaf\xe9\n".encode("latin-1"))
-    assert read_csv_any_encoding(spark, str(latin)).collect()[0]["name"] == "café"
+    assert read_csv(spark, str(latin)).collect()[0]["name"] == "café"
     for name in ("out.parquet", "out.csv"):
         write_table(frame, str(tmp_path / name))
         assert sorted(map(tuple, read_table(spark, str(tmp_path / name)).collect()), key=str) == sorted(map(tuple, frame.collect()), key=str)
@@ -178,18 +174,68 @@ def test_readers_and_writers(spark, tmp_path):
     assert read_rules(spark, str(tmp_path / "rules.json")) == [Rule("a", "range", "id", "d", min_value=1.0)]
     (tmp_path / "rows.json").write_text('[{"a": 1}, {"a": 2}]')
     assert read_table(spark, str(tmp_path / "rows.json")).count() == 2
+    (tmp_path / "lines.json").write_text('{"a": 1}\n\n{"a": 2}\n{"a": 3}\n')
+    assert read_table(spark, str(tmp_path / "lines.json")).count() == 3
+    (tmp_path / "one.json").write_text('{\n  "a": 1,\n  "b": [1,\n 2]\n}\n')
+    assert [tuple(r) for r in read_table(spark, str(tmp_path / "one.json")).collect()] == [(1, [1, 2])]
+    (tmp_path / "two.json").write_text('{\n "a": 1\n}\n{\n "a": 2\n}\n')
+    with pytest.raises(ValueError, match="only the first"):
+        read_table(spark, str(tmp_path / "two.json"))
+    (tmp_path / "breaks.csv").write_text('id,note\n1,"two\nlines"\n2,plain\n')
+    assert sorted(tuple(r) for r in read_table(spark, str(tmp_path / "breaks.csv")).collect()) == [(1, "two\nlines"), (2, "plain")]
+    mixed = tmp_path / "mixed.csv"
+    mixed.mkdir()
+    (mixed / "a b.csv").write_bytes("name\ncaf\xe9\n".encode("latin-1"))
+    (mixed / "b.csv").write_text("name\nthé\n", encoding="utf-8")
+    assert sorted(r["name"] for r in read_table(spark, str(mixed)).collect()) == ["café", "thé"]
     (tmp_path / "none.csv").write_text("a,b\n")
     with pytest.raises(EmptyInput):
         read_table(spark, str(tmp_path / "none.csv"))
 
 
 def test_benchmark_before_and_after(spark):
-    raw = spark.createDataFrame(loans(300)).drop("underwriting_flag", "applicant_id", "monthly_payment")
-    raw = raw.withColumn("loan_status", (F.col("loan_amount") > 15000).cast("int"))
-    clean = repair(raw, ["drop_exact_duplicates", "impute:annual_income", "impute:home_ownership"], "loan_status").frame
-    found = benchmark(raw, clean, "loan_status", "decision_tree")
+    raw = spark.createDataFrame(rides(320)).drop("voided", "ride_id", "fare")
+    raw = raw.withColumn("paid", (F.col("distance_km") > 9).cast("int"))
+    clean = repair(raw, ["drop_exact_duplicates", "impute:distance_mi", "impute:wheel"], "paid").frame
+    found = benchmark(raw, clean, "paid", "decision_tree")
     rows = {r["metric"]: r for r in found.table().collect()}
     assert found.task == "classification" and found.binary and rows["accuracy"]["clean"] > 0.9
     assert found.top_features().count() > 0
-    assert detect_task(raw, "annual_income") == ("regression", False)
-    assert benchmark(raw, clean, "annual_income", "ridge").task == "regression"
+    assert detect_task(raw, "distance_mi") == ("regression", False)
+    assert benchmark(raw, clean, "distance_mi", "ridge").task == "regression"
+
+
+def test_forest_counts_repeated_rows(spark):
+    """300 distinct rows many times over, and 6 far-off rows: the far-off ones score highest."""
+    frame = spark.range(60000).select(
+        *[F.when(F.col("id") % 10000 == 1, 500.0 + i).otherwise((F.xxhash64(F.col("id") % 300, F.lit(i)) % 50).cast("double")).alias(f"v{i}") for i in range(3)],
+        (F.col("id") % 10000 == 1).alias("far"))
+    scores = anomaly_scores(TableContext(frame), ["v0", "v1", "v2"], keep=["far"]).toPandas()
+    assert scores[scores["far"]]["anomaly"].min() > scores[~scores["far"]]["anomaly"].max()
+
+
+def test_duplicates_take_one_shuffle(spark):
+    from sievemark.operators.repair import drop_exact_duplicates
+
+    frame = spark.range(1000).select((F.col("id") % 7).alias("a"), F.lit("x").alias("b"))
+    plan = drop_exact_duplicates(frame)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1 and "Join" not in plan and plan.count("Range (") <= 1
+    assert drop_exact_duplicates(frame).count() == 7
+    assert TableContext(frame).repeated_rows() == 993
+
+
+def test_no_local_folder_on_a_cluster(spark, monkeypatch):
+    from sievemark.plans import local
+
+    class Context:
+        master = "spark://host:7077"
+
+        def getCheckpointDir(self):
+            return None
+
+    class Session:
+        sparkContext = Context()
+        conf = type("Conf", (), {"get": staticmethod(lambda *_: None)})
+
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        local.shared_folder(Session())

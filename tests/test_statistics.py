@@ -120,21 +120,20 @@ def test_results_do_not_depend_on_partitioning(spark, sf_dir, parts):
     assert [[r[k] for k in keep] for r in plain] == [[r[k] for k in keep] for r in moved]
 
 
-def test_drift_of_shifted_ages_and_a_new_category(spark):
-    rng = np.random.default_rng(42)
-    ref = pd.DataFrame({"age": rng.normal(35, 5, 200), "income": rng.exponential(50000, 200), "category": rng.choice(list("ABC"), 200)})
-    cur = pd.DataFrame({"age": rng.normal(55, 10, 200), "income": rng.exponential(51000, 200), "category": rng.choice(list("ABD"), 200)})
-    found = drift.compare(spark.createDataFrame(ref), spark.createDataFrame(cur))
+def test_drift_of_a_shifted_column_and_a_new_word(spark):
+    rng = np.random.default_rng(17)
+    old = pd.DataFrame({"pulse": rng.gamma(9.0, 8.0, 260), "steps": rng.uniform(0, 9000, 260), "shoe": rng.choice(["trail", "road", "track", "road"], 260)})
+    new = pd.DataFrame({"pulse": rng.gamma(16.0, 8.0, 310), "steps": rng.uniform(0, 9100, 310), "shoe": rng.choice(["trail", "road", "sandal"], 310)})
+    found = drift.compare(spark.createDataFrame(old), spark.createDataFrame(new))
     rows = {r["column"]: r for r in found.columns_report.collect()}
-    assert len(rows) == 3 and rows["age"]["status"] == "CRITICAL_DRIFT" and rows["category"]["novel"] == ["D"]
-    edges = np.quantile(ref.age, np.linspace(0, 1, 11))
-    edges[0], edges[-1] = -np.inf, np.inf
-    e, a = (np.histogram(v, edges)[0] / 200 for v in (ref.age, cur.age))
-    e, a = np.where(e == 0, 1e-4, e), np.where(a == 0, 1e-4, a)
-    e, a = e / e.sum(), a / a.sum()
-    assert rows["age"]["psi"] == pytest.approx(np.sum((a - e) * np.log(a / e)), abs=1e-4)
+    assert len(rows) == 3 and rows["pulse"]["status"] == "CRITICAL_DRIFT" and rows["shoe"]["novel"] == ["sandal"]
+    edges = np.concatenate([[-np.inf], np.quantile(old.pulse, np.arange(1, 10) / 10), [np.inf]])
+    shares = [np.maximum(np.histogram(v, edges)[0] / len(v), 0) for v in (old.pulse, new.pulse)]
+    shares = [np.where(x == 0, 1e-4, x) for x in shares]
+    e, a = (x / x.sum() for x in shares)
+    assert rows["pulse"]["psi"] == pytest.approx(np.sum((a - e) * np.log(a / e)), abs=1e-4)
     assert found.alerts.count() >= 2
-    same = drift.compare(spark.createDataFrame(ref), spark.createDataFrame(ref))
+    same = drift.compare(spark.createDataFrame(old), spark.createDataFrame(old))
     assert same.report.collect()[0]["overall_status"] == "STABLE" and same.alerts.count() == 1
 
 
