@@ -1398,3 +1398,71 @@ def mlb_split(spark, folder):
     in_train = split_slot([F.col(c) for c in frame.columns]) < TRAIN_SLOTS
     return frame.groupBy("rare_target").agg(
         F.count(F.lit(1)).alias("n"), F.round(F.count_if(in_train) / F.count(F.lit(1)), 4).alias("train_share"))
+
+
+@query("mlb_split_bounds", D + "SELECT rare_target, count(*) AS n, true AS near_three_quarters FROM d GROUP BY 1")
+def mlb_split_bounds(spark, folder):
+    """Each class lends about three quarters of its rows to training: within four standard errors."""
+    from ..operators.mlbench import TRAIN_SLOTS, split_slot
+
+    frame = dirty(spark, folder)
+    n, share = F.count(F.lit(1)), F.avg((split_slot([F.col(c) for c in frame.columns]) < TRAIN_SLOTS).cast("double"))
+    return frame.groupBy("rare_target").agg(n.alias("n"), (F.abs(share - 0.75) <= 4 * F.sqrt(0.1875 / n)).alias("near_three_quarters"))
+
+
+@query("mlb_imputed_scaled", D + """, m AS (SELECT median(total_price) AS m FROM d), f AS (SELECT coalesce(total_price, m) AS x, total_price IS NULL AS hole, m FROM d, m)
+  SELECT round(any_value(m), 4) AS median, count(*) FILTER (hole) AS filled, round((max(x) - avg(x)) / stddev_samp(x), 4) AS highest, round((min(x) - avg(x)) / stddev_samp(x), 4) AS lowest FROM f""")
+def mlb_imputed(spark, folder):
+    """Numbers are filled with the median, then centred and scaled."""
+    from pyspark.ml.functions import vector_to_array
+
+    from ..operators.mlbench import prepare
+
+    frame = dirty(spark, folder).select("total_price")
+    columns, encoding = prepare(frame, ["total_price"])
+    ready = frame.select(F.col("total_price").isNull().alias("hole"), *columns)
+    coded = encoding.fit(ready).transform(ready).withColumn("z", vector_to_array("features")[0])
+    return coded.agg(
+        F.round(F.max(F.when(F.col("hole"), F.col("n_total_price"))), 4).alias("median"), F.count_if("hole").alias("filled"),
+        F.round(F.max("z"), 4).alias("highest"), F.round(F.min("z"), 4).alias("lowest"))
+
+
+@query("mlb_ridge_closed_form", """WITH s AS (SELECT l_quantity AS a, l_discount AS b, l_extendedprice AS y FROM lineitem),
+  c AS (SELECT var_pop(a) + 1.0 / count(*) AS aa, var_pop(b) + 1.0 / count(*) AS bb, covar_pop(a, b) AS ab, covar_pop(a, y) AS ay, covar_pop(b, y) AS yb FROM s)
+  SELECT round((ay * bb - yb * ab) / (aa * bb - ab * ab), 3) AS quantity, round((yb * aa - ay * ab) / (aa * bb - ab * ab), 1) AS discount FROM c""")
+def mlb_ridge_form(spark, folder):
+    """Coefficients of two features equal the normal equations with a penalty of 1/n."""
+    from pyspark.ml.feature import VectorAssembler
+
+    from ..operators.mlbench import estimator_for
+
+    rows = table(spark, folder, "lineitem").select("l_quantity", "l_discount", F.col("l_extendedprice").alias("label"))
+    ready = VectorAssembler(inputCols=["l_quantity", "l_discount"], outputCol="features").transform(rows)
+    size, spread = ready.agg(F.count(F.lit(1)), F.stddev_pop("label")).first()
+    _, ridge = estimator_for("regression", "ridge", size, spread)
+    a, b = ridge.fit(ready).coefficients
+    return rows.agg(F.round(F.lit(float(a)), 3).alias("quantity"), F.round(F.lit(float(b)), 1).alias("discount"))
+
+
+@query("mlb_uplift", """SELECT metric, true AS uplift_is_difference, true AS in_range, (SELECT count(*) FROM labels) AS n
+  FROM (VALUES ('accuracy'), ('precision'), ('recall'), ('f1'), ('roc_auc')) t(metric)""")
+def mlb_uplift(spark, folder):
+    """Uplift is clean minus raw for every metric, and all metrics are shares."""
+    from ..operators.mlbench import benchmark
+
+    features = quality_features(spark, folder)
+    clean = repair(features, ["impute:lang"], "quality").frame
+    found = benchmark(features, clean, "quality", "decision_tree").table()
+    return found.select(
+        "metric", (F.abs(F.col("clean") - F.col("raw") - F.col("uplift")) < 1e-4).alias("uplift_is_difference"),
+        (F.col("clean").between(0, 1) & F.col("raw").between(0, 1)).alias("in_range"), F.lit(table(spark, folder, "labels").count()).cast("bigint").alias("n"))
+
+
+@query("mlb_importance_total", "SELECT round(1.0, 2)::DOUBLE AS total, count(*) AS n FROM labels")
+def mlb_importance(spark, folder):
+    """Feature importances add up to one."""
+    from ..operators.mlbench import benchmark
+
+    features = quality_features(spark, folder)
+    found = benchmark(features, features, "quality", "decision_tree").clean.importances
+    return table(spark, folder, "labels").agg(F.lit(round(sum(found.values()), 2)).alias("total"), F.count(F.lit(1)).alias("n"))

@@ -80,8 +80,12 @@ def split_slot(columns: Sequence[Column]) -> Column:
     return F.pmod(F.xxhash64(*columns, F.lit(SEED)), F.lit(SPLIT_SLOTS))
 
 
-def estimator_for(task: str, model: str, rows: int):
-    """(display name, estimator).  C = 1 and alpha = 1 correspond to a penalty of 1/n."""
+def estimator_for(task: str, model: str, rows: int, label_std: float = 1.0):
+    """(display name, estimator).
+
+    C = 1 and alpha = 1 correspond to a penalty of 1/n; the linear solver divides its penalty by the label's standard
+    deviation, so that is multiplied in.
+    """
     if task == "classification":
         if model == "logistic_regression":
             return "Logistic Regression", LogisticRegression(
@@ -91,7 +95,7 @@ def estimator_for(task: str, model: str, rows: int):
         return "Random Forest Classifier", RandomForestClassifier(numTrees=50, maxDepth=8, seed=SEED)
     if model == "ridge":
         return "Ridge Regressor", LinearRegression(
-            regParam=1.0 / max(1, rows), elasticNetParam=0.0, standardization=False)
+            regParam=label_std / max(1, rows), elasticNetParam=0.0, standardization=False)
     if model == "decision_tree":
         return "Decision Tree Regressor", DecisionTreeRegressor(maxDepth=6, seed=SEED)
     return "Random Forest Regressor", RandomForestRegressor(numTrees=50, maxDepth=8, seed=SEED)
@@ -206,8 +210,8 @@ def fit_baseline(frame: DataFrame, target: str, task: str, binary: bool, model:
 
     def run(train: DataFrame, test: DataFrame) -> Fit:
         columns, encoding = prepare(train, features)
-        size = train.count()
-        name, estimator = estimator_for(task, model, size)
+        size, spread = train.agg(F.count(F.lit(1)), F.stddev_pop("label")).first()
+        name, estimator = estimator_for(task, model, size, spread or 1.0)
         encoder = encoding.fit(train.select("label", *columns))
         ready = encoder.transform(train.select("label", *columns)).select("label", "features").persist()
         try:
