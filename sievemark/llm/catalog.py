@@ -2,6 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import wraps
+from pathlib import Path
+
+from pyspark.sql import DataFrame, SparkSession
+
 from corpus_pipeline import run as pipeline
 from sievemark.llm.op1_quality import op1_quality_rules
 from sievemark.llm.op10_lm import op10_lm_scoring
@@ -14,6 +20,25 @@ from sievemark.llm.op7_bpe import op7_bpe
 from sievemark.llm.op8_secrets import op8_secret_scan
 from sievemark.llm.op9_classifier import op9_quality_classifier
 
+ROOT = str(Path(__file__).resolve().parents[2])
+
+
+def importable(query: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
+    """Let Python workers import this package from where the driver did, whatever folder the driver was started in.
+
+    Where executors don't see that folder, submit the package with ``--py-files`` as usual.
+    """
+
+    @wraps(query)
+    def run(spark: SparkSession, folder: str) -> DataFrame:
+        paths = spark.sparkContext.environment.get("PYTHONPATH", "").split(":")
+        if ROOT not in paths:
+            spark.sparkContext.environment["PYTHONPATH"] = ":".join([*filter(None, paths), ROOT])
+        return query(spark, folder)
+
+    return run
+
+
 QUERIES = {
     "op1_quality_rules": op1_quality_rules,
     "op2_url_filter": op2_url_filter,
@@ -27,5 +52,6 @@ QUERIES = {
     "op10_lm_scoring": op10_lm_scoring,
     "pipeline": pipeline,
 }
+QUERIES = {name: importable(query) for name, query in QUERIES.items()}
 
 SQL = {"op3_line_dedup": OP3_SQL, "op5_decontamination": OP5_SQL}
