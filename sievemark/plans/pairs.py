@@ -13,12 +13,14 @@ import math
 from collections.abc import Sequence
 from dataclasses import dataclass
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .context import TableContext
 
 TILE = 10  # columns per side: a job reads at most 20 columns and holds 100 pairs
+MERGERS = 8  # tasks that add up the sums of all others
 CANCELLED = 1e-6
 
 
@@ -69,17 +71,10 @@ def correlations(frame: DataFrame, pairs: Sequence[tuple[Variable, Variable]]) -
         if len(keys) == 2:
             results.append((float(found[1]), int(found[0])))
             continue
-        n, sx, qx, sy, qy, p = found
-        if n == 0 or qx == 0 or qy == 0:
-            results.append((0.0, int(n)))
-            continue
-        vx, vy = qx - sx * sx / n, qy - sy * sy / n
-        if not (math.isfinite(vx * vy) and vx > CANCELLED * qx and vy > CANCELLED * qy):
+        r = from_sums(*found)
+        if r is None:
             again.append(i)
-            results.append((0.0, int(n)))
-            continue
-        r = (p - sx * sy / n) / math.sqrt(vx) / math.sqrt(vy)
-        results.append((max(-1.0, min(1.0, r)), int(n)))
+        results.append((r or 0.0, int(found[0])))
     if again:
         stable = [f"{stable_sql(f'v{at[pairs[i][0].name]}', f'v{at[pairs[i][1].name]}')} AS r{i}" for i in again]
         raw = frame.select(*[v.value.alias(f"v{i}") for i, v in enumerate(variables)])
@@ -88,6 +83,55 @@ def correlations(frame: DataFrame, pairs: Sequence[tuple[Variable, Variable]]) -
     return results
 
 
+def from_sums(n: float, sx: float, qx: float, sy: float, qy: float, p: float) -> float | None:
+    """r from sums over the common rows; None where cancellation has eaten the digits."""
+    if n == 0 or qx == 0 or qy == 0:
+        return 0.0
+    vx, vy = qx - sx * sx / n, qy - sy * sy / n
+    if not (math.isfinite(vx * vy) and vx > CANCELLED * qx and vy > CANCELLED * qy):
+        return None
+    return max(-1.0, min(1.0, (p - sx * sy / n) / math.sqrt(vx) / math.sqrt(vy)))
+
+
+def _product_tools(count: int):
+    """Functions for Python workers, nested so that they are shipped by value."""
+
+    def add_up(batches):
+        """Per task: sums over common rows of all pairs, four matrices in one row."""
+        import numpy as np
+        import pyarrow as pa
+
+        total = np.zeros((4, count, count))
+        for batch in batches:
+            x = np.column_stack([c.to_numpy(zero_copy_only=False) for c in batch.columns]) if batch.num_rows else np.zeros((0, count))
+            filled = ~np.isnan(x)
+            x, m = np.where(filled, x, 0.0), filled.astype(float)
+            total += np.stack([m.T @ m, x.T @ m, (x * x).T @ m, x.T @ x])
+        yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], names=["sums"])
+
+    def merge(batches):
+        import numpy as np
+        import pyarrow as pa
+
+        total = np.zeros(4 * count * count)
+        for batch in batches:
+            for row in batch["sums"]:
+                total += np.frombuffer(row.as_py())
+        yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], names=["sums"])
+
+    return add_up, merge
+
+
+def product_sums(frame: DataFrame, variables: Sequence[Variable]) -> np.ndarray:
+    """(n, sum x, sum x^2, sum x y) over the common rows of every pair, in one scan; [k, i, j] has x = i and y = j."""
+    views = frame.select(*[(v.value - F.lit(v.mean)).alias(f"v{i}") for i, v in enumerate(variables)])
+    add_up, merge = _product_tools(len(variables))
+    parts = views.mapInArrow(add_up, "sums binary")
+    # each merging task adds the sums of some tasks, one at a time
+    rows = parts.repartition(MERGERS).mapInArrow(merge, "sums binary").collect()
+    return sum(np.frombuffer(r["sums"]) for r in rows).reshape(4, len(variables), len(variables))
+
+
 def stable_sql(a: str, b: str) -> str:
     """Pairwise-complete r that yields 0 for a constant side.
 
@@ -123,6 +167,14 @@ def correlate(ctx: TableContext, names: Sequence[str]) -> dict[tuple[str, str],
     ctx.scan("nulls", "moments", names=names)
     constant = {n for n in names if ctx.stats[n].get("min") == ctx.stats[n].get("max")}
     cache = ctx.__dict__.setdefault("_pearson", {})
+    wide = [v for v in (variable(ctx, n) for n in names if n not in constant) if v.mean is not None]
+    if len(names) > TILE and len(wide) > 1:  # several tiles: one scan for all
+        n, s, q, p = product_sums(ctx.rows, wide)
+        for i, a in enumerate(wide):
+            for j in range(i + 1, len(wide)):
+                r = from_sums(n[i, j], s[i, j], q[i, j], s[j, i], q[j, i], p[i, j])
+                if r is not None:
+                    cache.setdefault((a.name, wide[j].name), r)
     for pairs in tiles(names):
         cache.update({p: 0.0 for p in pairs if p not in cache and constant.intersection(p)})
         todo = [p for p in pairs if p not in cache]

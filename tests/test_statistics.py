@@ -147,3 +147,21 @@ def test_int_and_float_categories_compare_by_value(spark):
 def test_no_shared_column_is_an_error(spark):
     with pytest.raises(ValueError):
         drift.compare(spark.range(1), spark.range(1).toDF("other"))
+
+
+def test_many_columns_are_correlated_in_one_scan(spark, monkeypatch):
+    from sievemark.plans import pairs
+
+    rng = np.random.default_rng(31)
+    data = rng.normal(size=(400, 25)) + rng.normal(size=(400, 1))
+    data[rng.random(data.shape) < 0.1] = np.nan
+    frame = pd.DataFrame(data, columns=[f"m{i}" for i in range(25)])
+    frame["m3"], frame["m7"] = 2.0, frame["m8"] * -3 + 1e6
+    ctx = TableContext(spark.createDataFrame(frame))
+    tiled = []
+    plain = pairs.correlations
+    monkeypatch.setattr(pairs, "correlations", lambda rows, todo: tiled.extend(todo) or plain(rows, todo))
+    found = pairs.correlate(ctx, list(frame.columns))
+    want = frame.corr().fillna(0)
+    assert all(abs(r - want.loc[a, b]) < 1e-9 for (a, b), r in found.items()) and len(found) == 300
+    assert not tiled  # nothing was left to the tiles
