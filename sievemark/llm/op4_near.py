@@ -106,17 +106,24 @@ def _sketcher(words: int, functions: int, picks: int):
     return run
 
 
-def aligned(a: np.ndarray, b: np.ndarray, least: float) -> float:
-    """Similarity of two sequences of labelled shingles; 0 if no alignment inside the band can reach ``least``."""
+CELLS = 32
+
+
+def compared(a: np.ndarray, b: np.ndarray, least: float) -> tuple[float, tuple[list[int], list[int]]]:
+    """Similarity of two sequences of labelled shingles (0 if no alignment inside the band can reach ``least``), and how
+    many shingles only one of them has, counted in CELLS cells by their hash."""
+    both, at, to = np.intersect1d(a, b, assume_unique=True, return_indices=True)
+    cells = lambda x: np.bincount((x % np.uint64(CELLS)).astype(np.int64), minlength=CELLS)
+    shared = cells(both)
+    common = (cells(a) - shared).tolist(), (cells(b) - shared).tolist()
     if min(len(a), len(b)) < least * max(len(a), len(b)):
-        return 0.0
+        return 0.0, common
     band = int((len(a) + len(b)) * (1 - least) / (1 + least)) + 1  # the most unmatched shingles that still give ``least``
-    _, at, to = np.intersect1d(a, b, assume_unique=True, return_indices=True)
     inside = np.abs(at - to) <= band
     at, to = at[inside], to[inside]
     to = to[np.argsort(at)]
     if len(to) < least * max(len(a), len(b)):
-        return 0.0
+        return 0.0, common
     if (to[1:] > to[:-1]).all():
         length = len(to)
     else:
@@ -128,7 +135,7 @@ def aligned(a: np.ndarray, b: np.ndarray, least: float) -> float:
             else:
                 tails[k] = x
         length = len(tails)
-    return length / (len(a) + len(b) - length)
+    return length / (len(a) + len(b) - length), common
 
 
 def _verifier(words: int, least: float, shared: int):
@@ -137,36 +144,50 @@ def _verifier(words: int, least: float, shared: int):
         last: tuple[bytes | None, np.ndarray] = (None, np.zeros(0, np.uint64))
         for batch in batches:
             for part in pieces(batch):
-                found: list[tuple[bytes, bytes, float]] = []
-                for a, b, text_a, text_b, keys_a, keys_b in zip(*[part[c].to_pylist() for c in ("a", "b", "text_a", "text_b", "keys_a", "keys_b")]):
+                found: list[tuple[float, tuple[list[int] | None, list[int] | None]]] = []
+                for a, text_a, text_b, keys_a, keys_b in zip(*[part[c].to_pylist() for c in ("a", "text_a", "text_b", "keys_a", "keys_b")]):
                     if len(set(keys_a) & set(keys_b)) < min(shared, len(keys_a)):
+                        found.append((0.0, (None, None)))
                         continue
                     if a != last[0]:
                         last = a, labelled_shingles(text_a, words)
-                    similarity = aligned(last[1], labelled_shingles(text_b, words), least)
-                    if similarity >= least:
-                        found.append((a, b, similarity))
+                    found.append(compared(last[1], labelled_shingles(text_b, words), least))
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([x[k] for x in found], kind) for k, kind in enumerate((pa.binary(), pa.binary(), pa.float64()))], names=["a", "b", "similarity"])
+                    [part["a"], part["b"], pa.array([x[0] for x in found], pa.float64()), *[pa.array([x[1][k] for x in found], pa.list_(pa.int32())) for k in (0, 1)]],
+                    names=["a", "b", "similarity", "only_a", "only_b"])
+
+    return run
+
+
+def _shingler(words: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        np.seterr(over="ignore")
+        for batch in batches:
+            for part in pieces(batch, 64):
+                lists = [labelled_shingles(t, words).astype(np.int64) for t in part["text"].to_pylist()]
+                owner = np.repeat(np.arange(len(lists)), [len(x) for x in lists])
+                yield pa.RecordBatch.from_arrays([part["node"].take(pa.array(owner)), pa.array(np.concatenate(lists) if lists else [], pa.int64())], names=["node", "shingle"])
 
     return run
 
 
 def components(links: DataFrame) -> DataFrame:
-    """(node, root): the least node of each linked node's component, by alternating large and small stars."""
-    edges = staged(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u != v").distinct())
-    before = None
+    """(node, root): the least node of each linked node's component, by alternating large and small stars.
+
+    Done as soon as the edges are stars: each node has one root, and no root has one.
+    """
+    edges = links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u != v").distinct()
     while True:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e"))
         edges = staged(small.select("e.*").where("u != v").distinct())
-        now = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if now == before:
+        ends = edges.select(F.explode(F.array(F.struct(F.col("u").alias("n"), F.lit(1).alias("up"), F.lit(0).alias("down")), F.struct(F.col("v").alias("n"), F.lit(0).alias("up"), F.lit(1).alias("down")))).alias("e"))
+        ends = ends.groupBy("e.n").agg(F.sum("e.up").alias("up"), F.max("e.down").alias("down"))
+        if ends.where("up > 1 OR up = 1 AND down = 1").isEmpty():
             return edges.select(F.col("u").alias("node"), F.col("v").alias("root"))
-        before = now
 
 
 def near_duplicates(docs: DataFrame, words: int = 5, least: float = 0.8, functions: int = 16, picks: int = 3, shared: int = 2,
@@ -177,10 +198,14 @@ def near_duplicates(docs: DataFrame, words: int = 5, least: float = 0.8, functio
     0.8 a function agrees with probability about 0.51, so two texts miss each other (fewer than ``shared`` of 16 keys)
     in about 2 of 10,000 cases, at 0.85 in 2 of a million.
 
-    In every bucket (texts with one key) the most popular texts, those whose buckets are largest, are pivots.  Members
-    are compared with the first pivot; buckets that still hold several components go on with 8, 64, ... pivots until
-    each pair of different components was compared.  A group of copies around one original takes one round, linear in
-    its size; nothing is capped.  Texts without a word have no node and no class.
+    First every text of a bucket (texts with one key) is compared with the bucket's pivot, the text whose buckets are
+    largest in all: linear in the bucket, and enough for a group of copies around one original.  Then, in buckets that
+    still hold several components, texts of different components are paired unless the first round proves them too far
+    apart.  What a text has and its pivot has not, and the other way round, is counted in cells by hash: two texts with
+    the same pivot differ in at least as many shingles as their cells do in all, and in at least those that no other
+    such text has; ``least`` allows (a + b) * (1 - least) / (1 + least).  These bounds leave out no link, so nothing is
+    capped.  It spares texts that merely share a passage and copies changed at random; pairs near
+    the limit are compared.  Texts without a word have no node and no class.
     """
     rows = keyed(docs, id, text)
     binary, long = F.lit(None).cast("binary"), F.lit(0).cast("long")
@@ -200,33 +225,43 @@ def near_duplicates(docs: DataFrame, words: int = 5, least: float = 0.8, functio
     texts = rows.join(inside, rows["id"].eqNullSafe(inside["pid"]) & (rows["th"] == inside["pth"]))
     texts = staged(texts.select("node", "keys", F.col("text").cast("binary").alias("text")).dropDuplicates(["node"]))
 
-    spark = docs.sparkSession
-    links = spark.createDataFrame([], "a binary, b binary, similarity double")
-    tested = spark.createDataFrame([], "a binary, b binary")
-    roots = spark.createDataFrame([], "node binary, root binary")
-    best = Window.partitionBy("key").orderBy(F.desc("popularity"), "node")
-    mixed_buckets, pivots = multi, 1
-    while True:
-        top = mixed_buckets.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= pivots)
-        top = top.select("key", F.col("node").alias("pivot"), F.col("n").alias("pn"), *([F.col("root").alias("proot")] if "root" in top.columns else []))
-        pairs = mixed_buckets.join(top, "key").where((F.col("node") != F.col("pivot")) & (F.least("n", "pn") >= least * F.greatest("n", "pn")))
-        if "proot" in top.columns:
-            pairs = pairs.where("root != proot")
-        pairs = pairs.select(F.greatest("pivot", "node").alias("a"), F.least("pivot", "node").alias("b")).distinct()
-        pairs = staged(pairs.join(tested, ["a", "b"], "left_anti"))
+    def verified(pairs: DataFrame) -> DataFrame:
         side = lambda c: texts.select(F.col("node").alias(c), F.col("text").alias(f"text_{c}"), F.col("keys").alias(f"keys_{c}"))
         full = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "text_a", "text_b", "keys_a", "keys_b")
-        new = staged(full.mapInArrow(_verifier(words, least, shared), "a binary, b binary, similarity double"))
-        tested, links = tested.unionByName(pairs), links.unionByName(new)
-        if not new.isEmpty():
-            roots = components(links)
-        own = multi.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-        several = own.groupBy("key").agg(F.min("root").alias("x"), F.max("root").alias("y"), F.count(F.lit(1)).alias("left")).where("x != y")
-        mixed_buckets = staged(own.join(several.select("key", "left"), "key"))
-        largest = mixed_buckets.agg(F.max("left")).first()[0]
-        if largest is None or pivots >= largest:  # one component a bucket, or each member was a pivot
-            break
-        pivots *= 8
+        return staged(full.mapInArrow(_verifier(words, least, shared), "a binary, b binary, similarity double, only_a array<int>, only_b array<int>"))
+
+    def pair(x: str, y: str) -> list:
+        return [F.greatest(x, y).alias("a"), F.least(x, y).alias("b")]
+
+    allowed = (1 - least) / (1 + least)
+    best = Window.partitionBy("key").orderBy(F.desc("popularity"), "node")
+    pivots = multi.withColumn("rank", F.row_number().over(best)).where("rank = 1")
+    pivots = staged(pivots.select("key", F.col("node").alias("pivot"), F.col("n").alias("pn")))
+    starred = multi.join(pivots, "key").where((F.col("node") != F.col("pivot")) & (F.least("n", "pn") >= least * F.greatest("n", "pn")))
+    tested = verified(starred.select(*pair("pivot", "node")).distinct())
+    links = tested.where(F.col("similarity") >= least).select("a", "b", "similarity")
+    roots = components(links)
+
+    own = multi.select("key", "node", "n").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    several = own.groupBy("key").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x != y").select("key")
+    open_ = staged(own.join(several, "key"))
+    lone = texts.join(open_.select("node").distinct(), "node").select("node", "text").mapInArrow(_shingler(words), "node binary, shingle long")
+    lone = lone.groupBy("shingle").agg(F.min("node").alias("node"), F.count(F.lit(1)).alias("k")).where("k = 1").groupBy("node").agg(F.count(F.lit(1)).alias("u"))
+    measured = open_.join(pivots, "key").withColumns({"a": F.greatest("pivot", "node"), "b": F.least("pivot", "node")})
+    measured = measured.join(tested.select("a", "b", "only_a", "only_b"), ["a", "b"], "left").join(lone, "node", "left")
+    cells = F.when(F.col("node") == F.col("pivot"), F.array_repeat(F.lit(0), 2 * CELLS))
+    cells = cells.when(F.col("node") == F.col("a"), F.concat("only_a", "only_b")).otherwise(F.concat("only_b", "only_a"))
+    measured = staged(measured.select("key", "node", "n", "root", F.coalesce("u", F.lit(0)).alias("u"), cells.alias("cells")).where(F.col("u") <= (1 - least) * F.col("n") + 1e-6))
+    x, y = measured.alias("x"), measured.alias("y")
+    limit = allowed * (F.col("x.n") + F.col("y.n")) + 1e-6
+    apart = F.aggregate(F.zip_with("x.cells", "y.cells", lambda p, q: F.abs(p - q)), F.lit(0), lambda t, v: t + v)
+    near = (F.col("x.node") > F.col("y.node")) & (F.col("x.root") != F.col("y.root")) & (F.col("x.u") + F.col("y.u") <= limit)
+    near &= (F.least("x.n", "y.n") >= least * F.greatest("x.n", "y.n")) & (F.coalesce(apart, F.lit(0)) <= limit)
+    left = x.join(y, (F.col("x.key") == F.col("y.key")) & near).select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct()
+    more = verified(left.join(tested.select("a", "b"), ["a", "b"], "left_anti")).where(F.col("similarity") >= least).select("a", "b", "similarity")
+    if not more.isEmpty():
+        links = links.unionByName(more)
+        roots = components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(more.select("a", "b")))
     classed = sketched.select("id", "th", "node").join(roots, "node", "left").withColumn("class_key", F.coalesce("root", "node"))
     return classed.select("id", "th", "node", "class_key"), links
 
