@@ -95,7 +95,8 @@ def quality(docs: DataFrame, rules=RULES, id: str = "doc_id", text: str = "text"
     64-bit hash within their own text.
     """
     source = docs.select(docs[id].alias("doc_id"), F.coalesce(docs[text], F.lit("")).alias("_text"))
-    counted = source.select("doc_id", _counts(F.col("_text"), window).alias("c"))
+    # a generator of one row: a filter on the verdict can't be pushed below it, which would count once for each use
+    counted = source.select("doc_id", F.explode(F.array(_counts(F.col("_text"), window))).alias("c"))
     flat = counted.select("doc_id", "c.w.*", "c.l.*", "c.n_symbols")
     one = lambda c: F.greatest(F.col(c), F.lit(1))
     ratios = flat.select(
