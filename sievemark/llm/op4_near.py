@@ -1,8 +1,8 @@
 """Near duplicates by Order MinHash, verified by banded alignment.
 
 A text is the sequence of its five-word shingles, each labelled with how often it occurred before.  A sketch holds, for
-each of ``functions`` hash functions, the ``picks`` labelled shingles of least hash in text order.  Texts that share one
-entry are candidates.  The similarity of two sequences of a and b shingles is L / (a + b - L), L being the length of
+each of ``functions`` hash functions, the ``picks`` labelled shingles of least hash in text order, and for texts of few
+shingles further functions of one shingle.  Texts that share one entry are candidates, and all of them are verified.  The similarity of two sequences of a and b shingles is L / (a + b - L), L being the length of
 their longest common subsequence; as labelled shingles are unique it is a longest increasing run of matched places.
 """
 
@@ -11,6 +11,7 @@ from __future__ import annotations
 from bisect import bisect_left
 from collections.abc import Iterator
 from functools import lru_cache
+from math import ceil, comb, log
 
 import numpy as np
 import pyarrow as pa
@@ -69,9 +70,40 @@ def labelled_shingles(text: bytes, words: int) -> np.ndarray:
     return shingles
 
 
-def sketch(shingles: np.ndarray, functions: int, picks: int) -> list[int]:
-    """One 64-bit key a function: its least labelled shingles, hashed in text order."""
-    seeds = mixed(np.arange(1, functions + 1, dtype=np.uint64) * MULTIPLIER)
+SHORT = 512
+
+
+@lru_cache(maxsize=8)
+def single_keys(functions: int, picks: int, least: float) -> list[int]:
+    """How many functions of one pick a text of so many shingles has besides, longer ones none.
+
+    Of a + b - L shingles, L are common at least, so a function of p picks agrees with probability C(L, p) / C(a + b - L, p)
+    at least: for few shingles clearly less than least ** p.  The further functions keep the chance that two similar
+    texts share no key below twice that of long texts.  The longer text's number never exceeds the shorter one's.
+    """
+    if not 0 < least < 1:
+        return [0] * SHORT
+    allowed, need = log(2) + functions * log(1 - least**picks), [0] * SHORT
+    for a in range(1, SHORT):
+        for b in range(max(1, ceil(least * a - 1e-9)), a + 1):
+            common = ceil(least * (a + b) / (1 + least) - 1e-9)
+            if common > b or common == a == b:  # never similar, or only if equal
+                continue
+            p = comb(common, picks) / comb(a + b - common, picks)
+            missed = functions * log(1 - p) if p < 1 else -float("inf")
+            need[a] = max(need[a], ceil((missed - allowed) / -log(1 - least) - 1e-9))
+    return np.maximum.accumulate(need[::-1])[::-1].tolist()
+
+
+def all_keys(shingles: np.ndarray, functions: int, picks: int, least: float) -> list[int]:
+    """The keys of a text, those of one pick for texts of few shingles last."""
+    more = single_keys(functions, picks, least)[len(shingles)] if len(shingles) < SHORT else 0
+    return sketch(shingles, functions, picks) + (sketch(shingles, more, 1, functions) if more else [])
+
+
+def sketch(shingles: np.ndarray, functions: int, picks: int, after: int = 0) -> list[int]:
+    """One 64-bit key a function: its least labelled shingles, hashed in text order; the first ``after`` functions are left out."""
+    seeds = mixed(np.arange(after + 1, after + functions + 1, dtype=np.uint64) * MULTIPLIER)
     step = max(1, 2_000_000 // len(shingles))
     keys = []
     for k in range(0, functions, step):
@@ -88,7 +120,7 @@ def sketch(shingles: np.ndarray, functions: int, picks: int) -> list[int]:
     return keys
 
 
-def _sketcher(words: int, functions: int, picks: int):
+def _sketcher(words: int, functions: int, picks: int, least: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         np.seterr(over="ignore")
         for batch in batches:
@@ -98,7 +130,7 @@ def _sketcher(words: int, functions: int, picks: int):
                     shingles = labelled_shingles(text or b"", words)
                     sizes.append(len(shingles))
                     nodes.append(xxhash.xxh3_128_digest(b" ".join(text.translate(PLAIN).split())) if len(shingles) else None)
-                    keys.append(sketch(shingles, functions, picks) if len(shingles) else [])
+                    keys.append(all_keys(shingles, functions, picks, least) if len(shingles) else [])
                 yield pa.RecordBatch.from_arrays(
                     [part["id"], part["th"], pa.array(nodes, pa.binary()), pa.array(sizes, pa.int32()), pa.array(keys, pa.list_(pa.int64()))],
                     names=["id", "th", "node", "n", "keys"])
@@ -138,17 +170,14 @@ def compared(a: np.ndarray, b: np.ndarray, least: float) -> tuple[float, tuple[l
     return length / (len(a) + len(b) - length), common
 
 
-def _verifier(words: int, least: float, shared: int):
+def _verifier(words: int, least: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         np.seterr(over="ignore")
         last: tuple[bytes | None, np.ndarray] = (None, np.zeros(0, np.uint64))
         for batch in batches:
             for part in pieces(batch):
-                found: list[tuple[float, tuple[list[int] | None, list[int] | None]]] = []
-                for a, text_a, text_b, keys_a, keys_b in zip(*[part[c].to_pylist() for c in ("a", "text_a", "text_b", "keys_a", "keys_b")]):
-                    if len(set(keys_a) & set(keys_b)) < min(shared, len(keys_a)):
-                        found.append((0.0, (None, None)))
-                        continue
+                found: list[tuple[float, tuple[list[int], list[int]]]] = []
+                for a, text_a, text_b in zip(*[part[c].to_pylist() for c in ("a", "text_a", "text_b")]):
                     if a != last[0]:
                         last = a, labelled_shingles(text_a, words)
                     found.append(compared(last[1], labelled_shingles(text_b, words), least))
@@ -190,13 +219,13 @@ def components(links: DataFrame) -> DataFrame:
             return edges.select(F.col("u").alias("node"), F.col("v").alias("root"))
 
 
-def near_duplicates(docs: DataFrame, words: int = 5, least: float = 0.8, functions: int = 16, picks: int = 3, shared: int = 2,
+def near_duplicates(docs: DataFrame, words: int = 5, least: float = 0.8, functions: int = 16, picks: int = 3,
                     id: str = "doc_id", text: str = "text") -> tuple[DataFrame, DataFrame]:
     """Rows (id, th, node, class_key) in place of the documents, and the verified links (a, b, similarity) between nodes.
 
     A node is a distinct text, compared by its lower-cased words; copies share it and are never paired.  At similarity
-    0.8 a function agrees with probability about 0.51, so two texts miss each other (fewer than ``shared`` of 16 keys)
-    in about 2 of 10,000 cases, at 0.85 in 2 of a million.
+    0.8 a function agrees with probability about 0.51, so two long texts share none of 16 keys in about 1 of 100,000
+    cases; texts of few shingles have further keys (``single_keys``), so that it's at most 2.1 of 100,000 at any length.
 
     First every text of a bucket (texts with one key) is compared with the bucket's pivot, the text whose buckets are
     largest in all: linear in the bucket, and enough for a group of copies around one original.  Then, in buckets that
@@ -210,7 +239,7 @@ def near_duplicates(docs: DataFrame, words: int = 5, least: float = 0.8, functio
     rows = keyed(docs, id, text)
     binary, long = F.lit(None).cast("binary"), F.lit(0).cast("long")
     schema = rows.select("id", "th", binary.alias("node"), F.lit(0).alias("n"), F.array(long).alias("keys")).schema
-    sketched = staged(rows.mapInArrow(_sketcher(words, functions, picks), schema))
+    sketched = staged(rows.mapInArrow(_sketcher(words, functions, picks, least), schema))
 
     place = F.min(F.struct("id", "th")).alias("place")
     nodes = sketched.where("node IS NOT NULL").groupBy("node").agg(F.first("n").alias("n"), F.first("keys").alias("keys"))
@@ -220,15 +249,15 @@ def near_duplicates(docs: DataFrame, words: int = 5, least: float = 0.8, functio
     popular = multi.groupBy("node").agg(F.sum("size").alias("popularity"))
     multi = staged(multi.join(popular, "node"))
 
-    inside = sketched.join(popular.select("node"), "node").groupBy("node").agg(place, F.first("keys").alias("keys"))
-    inside = inside.select("node", "keys", F.col("place.id").alias("pid"), F.col("place.th").alias("pth"))
+    inside = sketched.join(popular.select("node"), "node").groupBy("node").agg(place)
+    inside = inside.select("node", F.col("place.id").alias("pid"), F.col("place.th").alias("pth"))
     texts = rows.join(inside, rows["id"].eqNullSafe(inside["pid"]) & (rows["th"] == inside["pth"]))
-    texts = staged(texts.select("node", "keys", F.col("text").cast("binary").alias("text")).dropDuplicates(["node"]))
+    texts = staged(texts.select("node", F.col("text").cast("binary").alias("text")).dropDuplicates(["node"]))
 
     def verified(pairs: DataFrame) -> DataFrame:
-        side = lambda c: texts.select(F.col("node").alias(c), F.col("text").alias(f"text_{c}"), F.col("keys").alias(f"keys_{c}"))
-        full = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "text_a", "text_b", "keys_a", "keys_b")
-        return staged(full.mapInArrow(_verifier(words, least, shared), "a binary, b binary, similarity double, only_a array<int>, only_b array<int>"))
+        side = lambda c: texts.select(F.col("node").alias(c), F.col("text").alias(f"text_{c}"))
+        full = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "text_a", "text_b")
+        return staged(full.mapInArrow(_verifier(words, least), "a binary, b binary, similarity double, only_a array<int>, only_b array<int>"))
 
     def pair(x: str, y: str) -> list:
         return [F.greatest(x, y).alias("a"), F.least(x, y).alias("b")]
