@@ -17,21 +17,25 @@ PATTERNS = {
     "card": r"[0-9](?:[\x20-]?+[0-9])++",
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
 }
-#: A word with a digit in it, of five letters or more.
-WORD = rf"(?<![^{SPACE}])(?=[^{SPACE}0-9]*+[0-9])[^{SPACE}]{{5,}}+"
+#: A word with a digit or @ in it, of five letters or more: others never have the shape of a base span (a@a.a is the shortest).
+WORD = rf"(?<![^{SPACE}])(?=[^{SPACE}0-9@]*+[0-9@])[^{SPACE}]{{5,}}+"
 EDGES = r"^[^A-Za-z0-9+@]+|[^A-Za-z0-9]+$"
 
 
 def _matches(kind: str, text: Column, pattern: str, guard: Column) -> Column:
-    """All matches in a text: kind, number, letters before it since the last match, match, and the text on both sides."""
+    """All matches in a text: kind, number, letters before it since the last match, match, and the text on both sides,
+    earlier and later matches with it."""
 
-    def zipped(gaps: Column) -> Column:
-        hits = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
+    def zipped(gaps: Column, hits: Column) -> Column:
+        before = lambda part, k: F.right(F.coalesce(F.get(part, k), F.lit("")), F.lit(80))
+        after = lambda part, k: F.left(F.coalesce(F.get(part, k), F.lit("")), F.lit(40))
         return F.transform(hits, lambda h, j: F.struct(
             F.lit(kind).alias("kind"), j.alias("j"), F.length(F.get(gaps, j)).alias("gap"), h.alias("hit"),
-            F.right(F.get(gaps, j), F.lit(80)).alias("left"), F.left(F.get(gaps, j + 1), F.lit(40)).alias("right")))
+            F.right(F.concat(before(gaps, j - 2), before(hits, j - 2), before(gaps, j - 1), before(hits, j - 1), before(gaps, j)), F.lit(80)).alias("left"),
+            F.left(F.concat(after(gaps, j + 1), after(hits, j + 1), after(gaps, j + 2)), F.lit(40)).alias("right")))
 
-    return F.when(guard, let(F.split(text, pattern, -1), zipped))
+    hits = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
+    return F.when(guard, let(F.split(text, pattern, -1), lambda gaps: let(hits, lambda found: zipped(gaps, found))))
 
 
 def _luhn(digits: Column) -> Column:
@@ -49,14 +53,14 @@ def _valid(kind: Column, hit: Column) -> Column:
 
 
 def found_pieces(rows: DataFrame) -> DataFrame:
-    """Base matches and words with digits (kind ``word``) of keyed rows, with their places in code points.
+    """Base matches and words with a digit or @ (kind ``word``) of keyed rows, with their places in code points.
 
     One scan of the texts; places are running sums over a text's matches, so long texts cost no more than their length.
     """
     text = F.coalesce(F.col("text"), F.lit(""))
     digit = text.rlike("[0-9]")
     guards = {"email": F.contains(text, F.lit("@")), "ip": text.rlike(r"[0-9]\.[0-9]"), "card": digit, "phone": F.contains(text, F.lit("+"))}
-    every = [_matches(k, text, PATTERNS[k], guards[k]) for k in KINDS] + [_matches("word", text, WORD, digit)]
+    every = [_matches(k, text, PATTERNS[k], guards[k]) for k in KINDS] + [_matches("word", text, WORD, digit | guards["email"])]
     empty = F.array().cast("array<struct<kind:string,j:int,gap:int,hit:string,left:string,right:string>>")
     listed = F.concat(*[F.coalesce(x, empty) for x in every])
     numbered = rows.where(digit | guards["email"]).withColumn("row", F.monotonically_increasing_id())  # before rows multiply
@@ -72,10 +76,14 @@ def _context(word: Column) -> Column:
 
 
 def _patterns(left: Column, right: Column, word: Column) -> Column:
-    """Lexical patterns of an occurrence: two words before it, or one on each side, or one before, with its shape."""
+    """Lexical patterns of an occurrence: two words before it, or one on each side, or one before, with its shape.
+
+    Marks by themselves, such as a bracket before the occurrence, are no words.
+    """
+    words = lambda side: F.filter(F.split(side, f"[{SPACE}]+"), lambda x: x.rlike("[A-Za-z0-9À-ɏ:=#]"))
     shape = F.regexp_replace(F.regexp_replace(F.regexp_replace(word, "[A-Z]+", "A"), "[a-z]+", "a"), "[0-9]", "0")
-    before = let(F.array_remove(F.split(left, f"[{SPACE}]+"), ""), lambda w: F.transform(F.array(F.get(w, F.size(w) - 2), F.get(w, F.size(w) - 1)), lambda x: _context(F.coalesce(x, F.lit("")))))
-    after = _context(F.coalesce(F.get(F.array_remove(F.split(right, f"[{SPACE}]+"), ""), F.lit(0)), F.lit("")))
+    before = let(words(left), lambda w: F.transform(F.array(F.get(w, F.size(w) - 2), F.get(w, F.size(w) - 1)), lambda x: _context(F.coalesce(x, F.lit("")))))
+    after = _context(F.coalesce(F.get(words(right), F.lit(0)), F.lit("")))
 
     def of(b: Column) -> Column:
         first, last = F.get(b, F.lit(0)), F.get(b, F.lit(1))
@@ -106,24 +114,32 @@ def bootstrap(edges: DataFrame, rounds: int = 3, least: float = 0.7, support: in
 
 
 def pii_spans(docs: DataFrame, id: str = "doc_id", text: str = "text", **options) -> tuple[DataFrame, DataFrame]:
-    """(base spans, added spans), each distinct (id, th, kind, start, end)."""
-    pieces = staged(found_pieces(keyed(docs, id, text)))
-    base = pieces.where((F.col("kind") != "word") & _valid(F.col("kind"), F.col("hit")))
-    words = pieces.where("kind = 'word'")
-    trimmed = F.regexp_replace("hit", EDGES, "")
-    words = words.select("id", "th", "row", "left", "right", trimmed.alias("instance"), (F.col("start") + F.position(trimmed, F.col("hit")) - 1).alias("start"))
-    words = words.withColumn("end", F.col("start") + F.length("instance")).where("length(instance) >= 5")
+    """(base spans, added spans), each distinct (id, th, kind, start, end).
 
-    # which words overlap a base span: the last base span that began before, and the first that begins after
+    Base spans are the seeds, whatever they hold.  As each pattern holds the shape of its instances, a found instance has
+    the shape of some base span.
+    """
+    pieces = staged(found_pieces(keyed(docs, id, text)))
+    valid = (F.col("kind") != "word") & _valid(F.col("kind"), F.col("hit"))
+    base = pieces.where(valid)
+    # candidates: words, and matches of base patterns that aren't valid, with the white space inside them
+    trimmed = F.when(F.col("kind") == "word", F.regexp_replace("hit", EDGES, "")).otherwise(F.col("hit"))
+    others = pieces.where(~valid).select("id", "th", "row", (F.col("kind") == "word").alias("word"), "left", "right", trimmed.alias("instance"), (F.col("start") + F.position(trimmed, F.col("hit")) - 1).alias("start"))
+    others = others.withColumn("end", F.col("start") + F.length("instance")).where("length(instance) >= 5")
+    others = others.groupBy("id", "th", "row", "start", "end").agg(F.min(F.struct("word", "left", "right", "instance")).alias("one"))
+    others = others.select("id", "th", "row", "one.left", "one.right", "one.instance", "start", "end")
+
+    # which of them overlap a base span: the last base span that began before, and the first that begins after
     none = F.lit(None).cast("string")
-    marks = base.select("id", "th", "row", none.alias("left"), none.alias("right"), none.alias("instance"), "start", "end", "kind")
-    both = words.withColumn("kind", none).unionByName(marks)
+    seeds = base.select("id", "th", "row", "left", "right", F.col("hit").alias("instance"), "start", "end", "kind")
+    both = others.withColumn("kind", none).unionByName(seeds)
     up = Window.partitionBy("row").orderBy("start", F.col("kind").isNull()).rowsBetween(Window.unboundedPreceding, 0)
     down = Window.partitionBy("row").orderBy(F.desc("start"), F.col("kind").isNull()).rowsBetween(Window.unboundedPreceding, 0)
-    span = F.when(F.col("kind").isNotNull(), F.struct("end", "kind"))
-    both = both.withColumn("before", F.max(span).over(up)).withColumn("after", F.last(F.when(F.col("kind").isNotNull(), F.struct("start", "kind")), True).over(down))
-    seed = F.when(F.col("before.end") > F.col("start"), F.col("before.kind")).when(F.col("after.start") < F.col("end"), F.col("after.kind"))
-    occurrences = staged(both.where("kind IS NULL").select("id", "th", "instance", "start", "end", seed.alias("kind"), _patterns(F.col("left"), F.col("right"), F.col("instance")).alias("patterns")))
+    both = both.withColumn("before", F.max(F.when(F.col("kind").isNotNull(), F.col("end"))).over(up))
+    both = both.withColumn("after", F.min(F.when(F.col("kind").isNotNull(), F.col("start"))).over(down))
+    free = (F.coalesce("before", F.lit(-1)) <= F.col("start")) & F.coalesce(F.col("after") >= F.col("end"), F.lit(True))
+    both = both.where(F.col("kind").isNotNull() | free)
+    occurrences = staged(both.select("id", "th", "instance", "start", "end", "kind", _patterns(F.col("left"), F.col("right"), F.col("instance")).alias("patterns")))
     edges = staged(occurrences.select("instance", "kind", F.explode("patterns").alias("pattern")).groupBy("pattern", "instance").agg(F.min("kind").alias("kind"), F.count(F.lit(1)).alias("n")))
     patterns = bootstrap(edges, **options)
     unseen = occurrences.where("kind IS NULL").select("id", "th", "start", "end", F.explode("patterns").alias("pattern")).join(patterns, "pattern")
@@ -135,7 +151,8 @@ def personal_data(docs: DataFrame, id: str = "doc_id", text: str = "text", **opt
     """doc_id, counts of base kinds, base_sha256 and ``spans`` (kind:start:end in code points) of every document.
 
     Null and empty texts have no spans.  Spans come by start, then by kind in the order of KINDS.  An added span has the
-    kind whose seeds led to it and never overlaps a base span.  Rows equal in id and text get the same spans; extra
+    kind whose seeds led to it and never overlaps a base span; two added
+    spans may overlap.  Rows equal in id and text get the same spans; extra
     columns are left out.
     """
     base, added = pii_spans(docs, id, text, **options)
