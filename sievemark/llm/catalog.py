@@ -11,6 +11,9 @@ from pyspark.sql import DataFrame, SparkSession
 from corpus_pipeline import run as pipeline
 from sievemark.llm.op1_quality import op1_quality_rules
 from sievemark.llm.op10_lm import op10_lm_scoring
+from sievemark.llm.op11_centroids import OP11_SQL, op11_centroid_clustering
+from sievemark.llm.op12_manifest import OP12_SQL, op12_merkle_manifest
+from sievemark.llm.op13_packing import op13_best_fit_packing
 from sievemark.llm.op2_urls import op2_url_filter
 from sievemark.llm.op3_lines import OP3_SQL, op3_line_dedup
 from sievemark.llm.op4_near import op4_near_duplicates
@@ -50,8 +53,11 @@ QUERIES = {
     "op8_secret_scan": op8_secret_scan,
     "op9_quality_classifier": op9_quality_classifier,
     "op10_lm_scoring": op10_lm_scoring,
+    "op11_centroid_clustering": op11_centroid_clustering,
+    "op12_merkle_manifest": op12_merkle_manifest,
+    "op13_best_fit_packing": op13_best_fit_packing,
     "pipeline": pipeline,
 }
 QUERIES = {name: importable(query) for name, query in QUERIES.items()}
 
-SQL = {"op3_line_dedup": OP3_SQL, "op5_decontamination": OP5_SQL}
+SQL = {"op3_line_dedup": OP3_SQL, "op5_decontamination": OP5_SQL, "op11_centroid_clustering": OP11_SQL, "op12_merkle_manifest": OP12_SQL}
