@@ -107,10 +107,63 @@ def src_json_array(spark, folder):
     object_ = F.to_json(F.struct(*orders.columns))
     # an array per 2,000 order keys and file, so that no collected list grows with the table
     groups = orders.filter(odd).groupBy(F.floor(F.col("o_orderkey") / 2000).alias("g")).agg(F.concat(F.lit("[\n"), F.array_join(F.collect_list(object_), ",\n"), F.lit("\n]")).alias("value"))
-    groups.select("value").coalesce(1).write.option("lineSep", "\n").option("maxRecordsPerFile", 1).mode("append").text(path)
+    groups.select("value").write.option("lineSep", "\n").option("maxRecordsPerFile", 1).mode("append").text(path)
     return _orders_summary(readers.read_table(spark, path))
 
 
+def _at_range_sizes(spark, read, sizes):
+    """A bounded aggregate of what ``read`` gives, at several sizes of the ranges that files are read in."""
+    from ..plans.local import settle
+
+    kept, found = spark.conf.get("spark.sql.files.maxPartitionBytes"), None
+    try:
+        for size in sizes:
+            spark.conf.set("spark.sql.files.maxPartitionBytes", str(size))
+            part = settle(read().withColumn("range_size", F.lit(size).cast("bigint")))
+            found = part if found is None else found.unionByName(part)
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", kept)
+    return found
+
+
+RANGE_SIZES = (100_003, 1_000_000, 128_000_000)
+_SIZES = "(VALUES " + ", ".join(f"({n}::BIGINT)" for n in RANGE_SIZES) + ") r(range_size)"
+
+
+@query("src_csv_one_large_file", f"""SELECT range_size, o_orderstatus AS status, count(*) AS n, sum(o_custkey)::BIGINT AS customers, sum(length(o_orderpriority) + 27 + (o_orderkey % 3))::BIGINT AS letters
+  FROM orders, {_SIZES} GROUP BY 1, 2""")
+def src_one_csv(spark, folder):
+    """One CSV file, cells with line breaks of both kinds, commas and doubled quotes, read in ranges of several sizes.
+
+    That it is one file is the point, so one task writes it; as many tasks read it as it has ranges.
+    """
+    path = f"{shared_folder(spark)}/one.csv"
+    note = F.concat(F.lit("said \"\"\nand, on line two:\r\n"), F.repeat(F.lit("\n"), (F.col("o_orderkey") % 3).cast("int")), "o_orderpriority")
+    frame = table(spark, folder, "orders").select("o_orderstatus", note.alias("note"), "o_custkey")
+    frame.coalesce(1).write.option("header", True).option("quoteAll", True).option("escape", '"').csv(path)
+
+    def read():
+        found = readers.read_table(spark, path)
+        return found.groupBy(F.col("o_orderstatus").alias("status")).agg(
+            F.count(F.lit(1)).alias("n"), F.sum("o_custkey").cast("bigint").alias("customers"), F.sum(F.length("note")).cast("bigint").alias("letters"))
+
+    return _at_range_sizes(spark, read, RANGE_SIZES)
+
+
+@query("src_json_one_large_array", f"""SELECT range_size, o_orderstatus, count(*) AS n, sum(o_custkey)::BIGINT AS customers, round(sum(o_totalprice), 2) AS total FROM orders, {_SIZES} GROUP BY 1, 2""")
+def src_one_array(spark, folder):
+    """One file that is one array in one line, with braces and quotes inside texts, read in ranges of several sizes.
+
+    The text writer puts brackets and commas between the records of its only file; as many tasks read it as it has ranges.
+    """
+    path, orders = f"{shared_folder(spark)}/one.json", table(spark, folder, "orders")
+    note = F.concat(F.lit("}, {\"a\": [\\"), "o_orderpriority")
+    objects = orders.select(F.to_json(F.struct("o_orderstatus", F.struct(note.alias("note")).alias("deep"), "o_custkey", "o_totalprice")).alias("value"))
+    whole = spark.createDataFrame([("[",)], "value string").unionByName(objects.select(F.concat("value", F.lit(",")).alias("value"))).unionByName(spark.createDataFrame([('{"o_custkey": -1}]',)], "value string"))
+    whole.coalesce(1).write.option("lineSep", " ").text(path)
+    return _at_range_sizes(spark, lambda: _orders_summary(readers.read_table(spark, path).where("o_custkey >= 0")), RANGE_SIZES)
+
+
 @query("src_csv_line_breaks", "SELECT o_orderstatus AS status, count(*) AS n, sum(o_custkey)::BIGINT AS customers FROM orders GROUP BY 1")
 def src_line_breaks(spark, folder):
     """A quoted cell with a line break and a doubled quote keeps its row, and the columns after it their types."""
@@ -202,6 +255,30 @@ def pro_lineitem(spark, folder):
     )
 
 
+@query("pro_distinct_sketches", """SELECT c AS "column", count(*) AS parts, sum(filled)::BIGINT AS non_null, true AS merges_exactly, true AS within_error FROM (
+  SELECT 'l_orderkey' AS c, strftime(l_shipdate, '%Y-%m') AS part, count(l_orderkey) AS filled FROM lineitem GROUP BY 2
+  UNION ALL SELECT 'l_partkey', strftime(l_shipdate, '%Y-%m'), count(l_partkey) FROM lineitem GROUP BY 2
+  UNION ALL SELECT 'l_extendedprice', strftime(l_shipdate, '%Y-%m'), count(l_extendedprice) FROM lineitem GROUP BY 2
+  UNION ALL SELECT 'l_shipmonth', strftime(l_shipdate, '%Y-%m'), count(l_shipdate) FROM lineitem GROUP BY 2) x GROUP BY 1""")
+def pro_sketches(spark, folder):
+    """A stored sketch per month and column: merged they tell what a sketch of all rows tells, near the exact count."""
+    from ..plans.sketches import distinct_sketches, estimates, largest_error, merged
+
+    month = F.date_format("l_shipdate", "yyyy-MM")
+    lines = table(spark, folder, "lineitem").select("l_orderkey", "l_partkey", "l_extendedprice", month.alias("l_shipmonth"))
+    path = f"{shared_folder(spark)}/sketches"
+    distinct_sketches(lines, part=F.col("l_shipmonth")).write.parquet(path)
+    stored = spark.read.parquet(path)
+    parts = stored.groupBy("column").agg(F.count(F.lit(1)).alias("parts"))
+    whole = estimates(distinct_sketches(lines)).select("column", F.col("distinct").alias("of_all"))
+    exact = lines.agg(*[F.countDistinct(c).alias(c) for c in lines.columns]).unpivot([], lines.columns, "column", "exact")
+    found = estimates(merged(stored)).join(parts, "column").join(whole, "column").join(exact, "column")
+    near = F.abs(F.col("distinct") - F.col("exact")) <= largest_error() * F.col("exact")
+    # union of sketches may round otherwise than one sketch that saw all rows
+    same = F.abs(F.col("distinct") - F.col("of_all")) <= largest_error() * F.col("of_all")
+    return found.select("column", "parts", "non_null", same.alias("merges_exactly"), near.alias("within_error"))
+
+
 @query("pro_numeric_summary", D + sql.numeric_summary(COLS))
 def pro_numeric(spark, folder):
     return profile.numeric_summary(context(spark, folder)).select("column", *profile.NUMBERS)
@@ -555,6 +632,27 @@ def typ_mixed(spark, folder):
 _WHOLE = "(SELECT (o_orderkey % 4)::DOUBLE AS quarter, o_totalprice FROM orders) x"
 
 
+_BAGS = """(SELECT (o_orderkey % 5) AS turn, o_orderstatus FROM orders) x"""
+
+
+@query("typ_mixed_json", f"""SELECT 'bag' AS "column", count(*) FILTER (turn = 0) AS numbers, count(*) FILTER (turn = 1) AS booleans, count(*) FILTER (turn IN (2, 4)) AS words,
+  0::BIGINT AS objects, 0::BIGINT AS arrays, count(*) FILTER (turn = 3) AS voids, 'mixed' AS verdict, 'HIGH' AS severity FROM {_BAGS}
+  UNION ALL SELECT 'deep', 0, 0, 0, count(*) FILTER (turn % 2 = 0), count(*) FILTER (turn % 2 = 1), 0, 'mixed', 'HIGH' FROM {_BAGS}
+  UNION ALL SELECT 'status', 0, 0, count(*), 0, 0, 0, NULL, NULL FROM {_BAGS}""")
+def typ_json(spark, folder):
+    """Fields of JSON texts whose values are numbers, booleans, words and nulls by turns, or objects and arrays; and a clean one."""
+    turn, status = F.col("o_orderkey") % 5, F.col("o_orderstatus")
+    value = F.when(turn == 0, F.col("o_orderkey").cast("string")).when(turn == 1, "true").when(turn == 2, '"12"').when(turn == 3, "null").otherwise(F.concat(F.lit('"'), status, F.lit('"')))
+    deep = F.when(turn % 2 == 0, '{"a": 1}').otherwise("[1, 2]")
+    text = F.concat(F.lit('{"bag": '), value, F.lit(', "deep": '), deep, F.lit(', "status": "'), status, F.lit('"}'))
+    line = table(spark, folder, "orders").select(F.parse_json(text).alias("v"))
+    frame = line.select(*[F.variant_get("v", f"$.{c}", "variant").alias(c) for c in ("bag", "deep", "status")])
+    ctx = TableContext(frame)
+    issues = types.check_types(ctx).issues.select(F.get("affected_columns", F.lit(0)).alias("column"), "severity")
+    found = types.variant_shapes(ctx).select("column", "numbers", "booleans", "words", "objects", "arrays", "voids", "verdict")
+    return found.join(issues, "column", "left")
+
+
 @query("typ_whole_floats", f"""SELECT col AS "column", as_integer FROM (
   {sql.whole_floats([('quarter', sql.NUM, True), ('o_totalprice', sql.NUM, True)], _WHOLE)}) s""")
 def typ_whole(spark, folder):
@@ -965,6 +1063,17 @@ def cln_stages(spark, folder):
     return done.stage_rows().select("stage", "rows_after")
 
 
+@query("cln_stage_rows_of_every_kind", D + """, a AS (SELECT DISTINCT * FROM d), b AS (SELECT * FROM a WHERE total_price IS NOT NULL), c AS (SELECT status, count(*) AS n FROM b GROUP BY 1), e AS (
+  SELECT target, count(*) AS n FROM (SELECT target, status, row_number() OVER (PARTITION BY status ORDER BY k NULLS FIRST, total_price) AS r FROM b) x WHERE r = 1 GROUP BY 1)
+  SELECT 1 AS step, 'drop_exact_duplicates' AS stage, count(*) AS rows_after FROM a UNION ALL SELECT 2, 'drop_target_na', count(*) FROM b
+  UNION ALL SELECT 3, 'drop_duplicates_by_key', count(*) FROM c UNION ALL SELECT 4, 'drop_duplicates_by_key', count(*) FROM e""")
+def cln_every_stage(spark, folder):
+    """Repeats, a filter and two keys one after the other, counted in one pass."""
+    actions = ["drop_exact_duplicates", "drop_target_na:total_price", "drop_duplicates_by_key:status", "drop_duplicates_by_key:target"]
+    done = repair(dirty(spark, folder), actions, "total_price", order_by=["k", "total_price"])
+    return done.stage_rows().select("step", "stage", "rows_after")
+
+
 # ---- drift -----------------------------------------------------------------------------
 _LATER = "o_orderdate >= TIMESTAMP '1998-06-01'"
 PAIR = f"""WITH o AS (SELECT *, (o_orderkey % 4)::INTEGER AS n_items FROM orders),
@@ -1354,19 +1463,35 @@ def mlb_value_metrics(spark, folder):
     return local_frame(spark, [found], ", ".join(f"{k} double" for k in found))
 
 
+def _one_hot(frame, column):
+    from ..operators.mlbench import prepare
+
+    columns, encoding = prepare(frame, [column])
+    ready = frame.select(F.col(column).isNull().alias("hole"), *columns)
+    encoded = encoding.fit(ready)
+    return encoded.transform(ready), encoded
+
+
 @query("mlb_many_levels", """WITH t AS (SELECT concat('clerk', o_custkey) AS level FROM orders WHERE o_orderkey % 9 <> 0), m AS (SELECT level FROM t GROUP BY 1 ORDER BY count(*) DESC, level LIMIT 1)
   SELECT (SELECT count(DISTINCT level) FROM t) AS levels, (SELECT level FROM m) AS filled_with, count(*) FILTER (o_orderkey % 9 = 0) AS filled FROM orders""")
 def mlb_levels(spark, folder):
     """A text column of any number of levels is filled with its mode and one-hot encoded, one slot a level."""
-    from ..operators.mlbench import prepare
-
     frame = table(spark, folder, "orders").select(
         F.when(F.col("o_orderkey") % 9 != 0, F.concat(F.lit("clerk"), F.col("o_custkey"))).alias("clerk"), "o_orderkey")
-    columns, encoding = prepare(frame, ["clerk"])
-    ready = frame.select(F.col("clerk").isNull().alias("hole"), *columns)
-    coded = encoding.fit(ready).transform(ready)
-    slots = coded.schema["features"].metadata["ml_attr"]["num_attrs"]
-    return coded.agg(F.lit(slots).cast("bigint").alias("levels"), F.max(F.when(F.col("hole"), F.col("t_clerk"))).alias("filled_with"), F.count_if("hole").alias("filled"))
+    coded, encoded = _one_hot(frame, "clerk")
+    return coded.agg(F.lit(encoded.size).cast("bigint").alias("levels"), F.max(F.when(F.col("hole"), F.col("t_clerk"))).alias("filled_with"), F.count_if("hole").alias("filled"))
+
+
+@query("mlb_near_unique_levels", """WITH t AS (SELECT concat('order', o_orderkey) AS level FROM orders WHERE o_orderkey % 50 <> 0), r AS (SELECT level, row_number() OVER (ORDER BY level) - 1 AS slot FROM t)
+  SELECT (SELECT count(*) FROM r) AS slots, count(*) AS n, (SELECT sum(slot) FROM r)::BIGINT + count(*) FILTER (o_orderkey % 50 = 0) * (SELECT min(slot) FROM r) AS slot_sum FROM orders""")
+def mlb_unique_levels(spark, folder):
+    """A text column with nearly as many levels as rows: numbered and joined in Spark, each row has its level's one slot."""
+    frame = table(spark, folder, "orders").select(F.when(F.col("o_orderkey") % 50 != 0, F.concat(F.lit("order"), F.col("o_orderkey"))).alias("name"))
+    coded, encoded = _one_hot(frame, "name")
+    # the place of a vector's only entry
+    held = coded.select(F.transform(F.array("features"), lambda v: v.cast("string"))[0].alias("v"))
+    place = F.regexp_extract("v", r"^\(\d+,\[(\d+)\],\[1\.0\]\)$", 1).cast("bigint")
+    return held.agg(F.lit(encoded.size).cast("bigint").alias("slots"), F.count(place).alias("n"), F.sum(place).alias("slot_sum"))
 
 
 @query("mlb_many_classes", "SELECT count(*) AS n, count(DISTINCT o_custkey) AS classes, 'test rows' AS judged_on FROM orders")
@@ -1379,35 +1504,146 @@ def mlb_classes(spark, folder):
     return frame.agg(F.count(F.lit(1)).alias("n"), F.countDistinct("who").alias("classes"), F.lit(fit.judged_on).alias("judged_on"))
 
 
-@query("mlb_all_rows_fallback", "SELECT count(*) AS n, 'training rows' AS judged_on FROM nation WHERE n_nationkey < 2")
+@query("mlb_all_rows_fallback", "SELECT count(*) AS n, count(DISTINCT s_name) AS classes, 'training rows' AS judged_on FROM supplier")
 def mlb_fallback(spark, folder):
-    """With too few rows for both sides of the split the model is judged on its training rows, and says so."""
+    """Where every class has one row, none is left to test: the model is judged on its training rows, and says so."""
     from ..operators.mlbench import fit_baseline
 
-    frame = table(spark, folder, "nation").filter("n_nationkey < 2").select("n_nationkey", F.col("n_regionkey").cast("string").alias("y"))
-    fit = fit_baseline(frame, "y", "classification", True, "decision_tree")
-    return frame.agg(F.count(F.lit(1)).alias("n"), F.lit(fit.judged_on).alias("judged_on"))
+    frame = table(spark, folder, "supplier").select("s_acctbal", "s_name")
+    fit = fit_baseline(frame, "s_name", "classification", False, "decision_tree")
+    return frame.agg(F.count(F.lit(1)).alias("n"), F.countDistinct("s_name").alias("classes"), F.lit(fit.judged_on).alias("judged_on"))
 
 
-@query("mlb_split_shares")
+@query("mlb_split_shares", D + "SELECT rare_target, count(*) AS n, round(floor(count(*) * 0.75 + 0.5) / count(*), 4) AS train_share FROM d GROUP BY 1")
 def mlb_split(spark, folder):
-    """Share of training rows per class under the row-local split."""
-    from ..operators.mlbench import TRAIN_SLOTS, split_slot
+    """Share of training rows per class: three quarters, rounded to a row."""
+    from ..operators.mlbench import split
 
-    frame = dirty(spark, folder)
-    in_train = split_slot([F.col(c) for c in frame.columns]) < TRAIN_SLOTS
-    return frame.groupBy("rare_target").agg(
-        F.count(F.lit(1)).alias("n"), F.round(F.count_if(in_train) / F.count(F.lit(1)), 4).alias("train_share"))
+    return split(dirty(spark, folder), "rare_target").groupBy("rare_target").agg(
+        F.count(F.lit(1)).alias("n"), F.round(F.count_if("train") / F.count(F.lit(1)), 4).alias("train_share"))
 
 
-@query("mlb_split_bounds", D + "SELECT rare_target, count(*) AS n, true AS near_three_quarters FROM d GROUP BY 1")
+@query("mlb_split_bounds", D + "SELECT rare_target, count(*) AS n, abs(floor(count(*) * 0.75 + 0.5) / count(*) - 0.75) <= 4 * sqrt(0.1875 / count(*)) AS near_three_quarters FROM d GROUP BY 1")
 def mlb_split_bounds(spark, folder):
     """Each class lends about three quarters of its rows to training: within four standard errors."""
-    from ..operators.mlbench import TRAIN_SLOTS, split_slot
+    from ..operators.mlbench import split
 
-    frame = dirty(spark, folder)
-    n, share = F.count(F.lit(1)), F.avg((split_slot([F.col(c) for c in frame.columns]) < TRAIN_SLOTS).cast("double"))
-    return frame.groupBy("rare_target").agg(n.alias("n"), (F.abs(share - 0.75) <= 4 * F.sqrt(0.1875 / n)).alias("near_three_quarters"))
+    n, share = F.count(F.lit(1)), F.avg(F.col("train").cast("double"))
+    return split(dirty(spark, folder), "rare_target").groupBy("rare_target").agg(n.alias("n"), (F.abs(share - 0.75) <= 4 * F.sqrt(0.1875 / n)).alias("near_three_quarters"))
+
+
+@query("mlb_exact_split", """SELECT kind, count(*) AS n, CAST(floor(count(*) * 0.75 + 0.5) AS BIGINT) AS train FROM (
+  SELECT 'many ' || l_partkey AS kind FROM lineitem UNION ALL SELECT 'hot' FROM lineitem UNION ALL SELECT 'one ' || l_orderkey FROM lineitem WHERE l_linenumber = 1) t GROUP BY kind""")
+def mlb_exact(spark, folder):
+    """A hot class of equal rows, thousands of small classes and classes of one row: each gives exactly its rounded share."""
+    from ..operators.mlbench import split
+
+    lines = table(spark, folder, "lineitem")
+    kinds = lines.select(F.explode(F.array(
+        F.concat(F.lit("many "), F.col("l_partkey")), F.lit("hot"), F.when(F.col("l_linenumber") == 1, F.concat(F.lit("one "), F.col("l_orderkey"))))).alias("kind")).where("kind IS NOT NULL")
+    return split(kinds, "kind").groupBy("kind").agg(F.count(F.lit(1)).alias("n"), F.count_if("train").alias("train"))
+
+
+_RANKED = "rank() OVER (PARTITION BY flag ORDER BY score) + (count(*) OVER (PARTITION BY flag, score) - 1) / 2.0"
+
+
+@query("mlb_exact_auc", f"""WITH s AS (SELECT f.flag, round(l_quantity + l_discount * 100, 0) AS score, l_returnflag = f.flag AS hit FROM lineitem, (VALUES ('A'), ('N'), ('R'), ('Z')) f(flag)),
+  r AS (SELECT flag, hit, {_RANKED} AS place FROM s), t AS (SELECT flag, sum(place) FILTER (hit) AS places, count(*) FILTER (hit) AS p, count(*) FILTER (NOT hit) AS n FROM r GROUP BY flag)
+  SELECT flag, p + n AS n, round(CASE WHEN p = 0 OR n = 0 THEN 0.5 ELSE (places - p * (p + 1) / 2.0) / (p::DOUBLE * n) END, 4) AS auc FROM t""")
+def mlb_auc(spark, folder):
+    """Exact area under the curve with many ties, for each return flag against the others, and for a flag that no row has."""
+    from ..operators.curves import roc_auc
+    from ..plans.local import local_frame
+
+    lines = table(spark, folder, "lineitem").select(F.round(F.col("l_quantity") + F.col("l_discount") * 100, 0).alias("score"), "l_returnflag")
+    n = lines.count()
+    rows = [{"flag": f, "n": n, "auc": round(roc_auc(lines.withColumn("positive", F.col("l_returnflag") == f)), 4)} for f in ("A", "N", "R", "Z")]
+    return local_frame(spark, rows, "flag string, n bigint, auc double")
+
+
+def _newton_sql(rounds: int = 12) -> str:
+    """Newton steps for two features and an intercept, a 3 x 3 system each, solved by determinants."""
+    steps = ["""s AS MATERIALIZED (SELECT l_quantity / 50 AS a, l_discount * 10 AS b, (l_returnflag = 'R')::INTEGER::DOUBLE AS y FROM lineitem)""",
+             "w0 AS (SELECT 0.0::DOUBLE AS u, 0.0::DOUBLE AS v, 0.0::DOUBLE AS c)"]
+    for k in range(rounds):
+        steps.append(f"""g{k} AS MATERIALIZED (SELECT any_value(u) AS u, any_value(v) AS v, any_value(c) AS c, avg((p - y) * a) + any_value(u) / count(*) AS g1, avg((p - y) * b) + any_value(v) / count(*) AS g2, avg(p - y) AS g3,
+    avg(q * a * a) + 1.0 / count(*) AS h11, avg(q * a * b) AS h12, avg(q * a) AS h13, avg(q * b * b) + 1.0 / count(*) AS h22, avg(q * b) AS h23, avg(q) AS h33
+    FROM (SELECT *, p * (1 - p) AS q FROM (SELECT *, 1 / (1 + exp(-(u * a + v * b + c))) AS p FROM s, w{k})))""")
+        steps.append(f"""w{k + 1} AS MATERIALIZED (SELECT
+    u - (g1 * (h22 * h33 - h23 * h23) - h12 * (g2 * h33 - h23 * g3) + h13 * (g2 * h23 - h22 * g3)) / det AS u,
+    v - (h11 * (g2 * h33 - g3 * h23) - g1 * (h12 * h33 - h23 * h13) + h13 * (h12 * g3 - g2 * h13)) / det AS v,
+    c - (h11 * (h22 * g3 - h23 * g2) - h12 * (h12 * g3 - g2 * h13) + g1 * (h12 * h23 - h22 * h13)) / det AS c
+    FROM (SELECT *, h11 * (h22 * h33 - h23 * h23) - h12 * (h12 * h33 - h23 * h13) + h13 * (h12 * h23 - h22 * h13) AS det FROM g{k}))""")
+    return "WITH " + ",\n".join(steps) + f"""
+  SELECT round(u, 4) + 0.0 AS quantity, round(v, 4) + 0.0 AS discount, round(c, 4) + 0.0 AS intercept, round(avg(ln(1 + exp(u * a + v * b + c)) - y * (u * a + v * b + c)) + (u * u + v * v) / 2 / count(*), 6) AS loss,
+    round(abs(avg((1 / (1 + exp(-(u * a + v * b + c))) - y) * a) + u / count(*)), 6) + 0.0 AS steepest, true AS solver_agrees FROM s, w{rounds} GROUP BY u, v, c"""
+
+
+@query("mlb_logistic_newton", _newton_sql())
+def mlb_newton(spark, folder):
+    """Newton steps end where the gradient is zero, and the benchmark's solver at the same coefficients, by its certificate too."""
+    from pyspark.ml.feature import VectorAssembler
+    from pyspark.ml.functions import vector_to_array
+
+    from ..operators.logistic import certificate, newton
+    from ..operators.mlbench import estimator_for
+
+    lines = table(spark, folder, "lineitem").select((F.col("l_quantity") / 50).alias("a"), (F.col("l_discount") * 10).alias("b"), (F.col("l_returnflag") == "R").cast("double").alias("label"))
+    n = lines.count()
+    (u, v), c, found = newton(lines, [F.col("a"), F.col("b")], F.col("label"), 1.0 / n)
+    ready = VectorAssembler(inputCols=["a", "b"], outputCol="features").transform(lines)
+    fitted = estimator_for("classification", "logistic_regression", n)[1].fit(ready)
+    told = certificate(fitted.transform(ready).withColumn("p", vector_to_array("probability")[1]), fitted.coefficients.toArray(), 1.0 / n)
+    agrees = max(abs(x - y) for x, y in zip([*fitted.coefficients, fitted.intercept], [u, v, c])) < 1e-3 and told.steepest < 1e-5 and abs(told.loss - found.loss) < 1e-8
+    figures = {"quantity": round(u, 4), "discount": round(v, 4), "intercept": round(c, 4), "loss": round(found.loss, 6), "steepest": round(found.steepest, 6)}
+    return spark.range(1).select(*[F.lit(x + 0.0).alias(k) for k, x in figures.items()], F.lit(agrees).alias("solver_agrees"))
+
+
+def _labelled_vectors(spark, folder):
+    from ..operators.mlbench import prepare
+
+    frame = quality_features(spark, folder).withColumn("label", F.col("quality").cast("double")).drop("quality")
+    columns, encoding = prepare(frame.drop("label"), [c for c in frame.columns if c != "label"])
+    ready = frame.select("label", *columns)
+    return encoding.fit(ready).transform(ready).select("label", "features", F.monotonically_increasing_id().alias("row"))
+
+
+@query("mlb_tree_nodes", """SELECT quality::DOUBLE AS label, count(*) AS n, count(*)::DOUBLE AS in_leaves, 0::BIGINT AS other_leaves, 0::BIGINT AS other_gains FROM labels l JOIN documents USING (doc_id) GROUP BY 1""")
+def mlb_nodes(spark, folder):
+    """A tree as a node table: rows walked down by joins give every leaf the class counts it was fitted with, and every split its gain."""
+    from ..operators import treetables
+    from ..operators.mlbench import estimator_for
+    from ..plans.local import durable
+
+    ready = durable(_labelled_vectors(spark, folder))
+    fitted = estimator_for("classification", "decision_tree", 1)[1].fit(ready)
+    nodes = durable(treetables.node_table(fitted))
+    here = treetables.walk(ready, nodes, fitted.getMaxDepth()).groupBy("node", "label").agg(F.count(F.lit(1)).alias("n"))
+    leaves = nodes.where("feature IS NULL").select("node", F.posexplode("stats").alias("label", "stat")).withColumn("label", F.col("label").cast("double"))
+    both = leaves.join(here, ["node", "label"], "full").withColumns({"n": F.coalesce("n", F.lit(0)), "stat": F.coalesce("stat", F.lit(0.0))})
+    other_gains = treetables.gains(nodes).where("abs(gain - again) > 1e-9").count()
+    return both.groupBy("label").agg(
+        F.sum("n").alias("n"), F.round(F.sum("stat"), 6).alias("in_leaves"), F.count_if(F.abs(F.col("n") - F.col("stat")) > 1e-6).alias("other_leaves"),
+        F.lit(other_gains).cast("bigint").alias("other_gains"))
+
+
+@query("mlb_forest_nodes", "SELECT count(*) AS n, (count(*) * 50)::BIGINT AS walks, 0::BIGINT AS other_scores FROM labels l JOIN documents USING (doc_id)")
+def mlb_forest_walk(spark, folder):
+    """A forest as a node table: the mean of the leaves' class shares is the model's own probability for every row."""
+    from pyspark.ml.functions import vector_to_array
+
+    from ..operators import treetables
+    from ..operators.mlbench import estimator_for
+    from ..plans.local import durable
+
+    ready = durable(_labelled_vectors(spark, folder))
+    fitted = estimator_for("classification", "random_forest", 1)[1].fit(ready)
+    nodes = durable(treetables.node_table(fitted))
+    walked = durable(treetables.walk(ready.select("row", "features"), nodes, fitted.getMaxDepth()).select("row", "tree", "node"))
+    own = fitted.transform(ready).select("row", vector_to_array("probability").alias("p"))
+    joined = treetables.class_shares(walked, nodes, "row", 2).join(own, "row")
+    other = F.count_if(F.abs(F.col("p")[1] - F.col("probability")[1]) > 1e-9)
+    return joined.agg(F.count(F.lit(1)).alias("n"), F.lit(walked.count()).cast("bigint").alias("walks"), other.alias("other_scores"))
 
 
 @query("mlb_imputed_scaled", D + """, m AS (SELECT median(total_price) AS m FROM d), f AS (SELECT coalesce(total_price, m) AS x, total_price IS NULL AS hole, m FROM d, m)

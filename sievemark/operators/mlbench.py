@@ -6,20 +6,24 @@ import logging
 from collections.abc import Sequence
 from dataclasses import dataclass, field
 
-from pyspark.ml import Pipeline, Transformer
+from pyspark.ml import Pipeline, PipelineModel, Transformer
 from pyspark.ml.classification import DecisionTreeClassifier, LogisticRegression, RandomForestClassifier
-from pyspark.ml.evaluation import BinaryClassificationEvaluator
-from pyspark.ml.feature import OneHotEncoder, StandardScaler, StringIndexer, VectorAssembler
+from pyspark.ml.feature import OneHotEncoder, StandardScaler, VectorAssembler
+from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import DecisionTreeRegressor, LinearRegression, RandomForestRegressor
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.expr import fold_missing, kind_of, quoted
 from ..plans.context import TableContext, most_frequent
-from ..plans.local import local_frame
+from ..plans.local import durable, local_frame
+from ..plans.ranking import dense_codes
+from ..plans.strata import drawn, lowest_share
+from .curves import roc_auc
+from .logistic import certificate
 
 SEED = 42
-SPLIT_SLOTS, TRAIN_SLOTS, HALF_SLOTS, SMALL_TABLE = 10_000, 7_500, 5_000, 50
+TRAIN_SHARE, HALF_SHARE, SMALL_TABLE = 0.75, 0.5, 50
 MAX_CLASSES = 10
 CLASS_METRICS = ("accuracy", "precision", "recall", "f1", "roc_auc")
 VALUE_METRICS = ("r2", "mae", "rmse")
@@ -33,6 +37,8 @@ class Fit:
     metrics: dict[str, float]
     importances: dict[str, float] = field(default_factory=dict)
     judged_on: str = "test rows"
+    #: Largest entry of the penalised loss's gradient at a logistic regression's coefficients.
+    steepest: float | None = None
 
 
 @dataclass
@@ -75,9 +81,23 @@ def detect_task(frame: DataFrame, target: str) -> tuple[str, bool]:
     return "regression", False
 
 
-def split_slot(columns: Sequence[Column]) -> Column:
-    """Row-local, repeatable split: a hash of the whole row, spread evenly in every class."""
-    return F.pmod(F.xxhash64(*columns, F.lit(SEED)), F.lit(SPLIT_SLOTS))
+def split(rows: DataFrame, label: str, share: float = TRAIN_SHARE) -> DataFrame:
+    """The rows with ``train``: true for exactly floor(share * n + 0.5) rows of each class of n, drawn by content.
+
+    ``label`` names the classes; one constant gives a plain split.
+    """
+    ready = drawn(rows, [quoted(c) for c in rows.columns], SEED)
+    return lowest_share(ready, label, share).withColumnRenamed("chosen", "train")
+
+
+def numbered_classes(rows: DataFrame, label: str) -> tuple[DataFrame, int]:
+    """Alphabetical class numbers in ``label``, and how many there are; the names stay in Spark."""
+    codes = durable(dense_codes(rows.select(quoted(label).alias("value"))))
+    count = codes.count()
+    known = codes.select(F.col("value").alias("_name"), F.col("code").alias("_code"))
+    number = F.col("_code").alias(label, metadata={"ml_attr": {"type": "nominal", "num_vals": count}})
+    others = [quoted(c) for c in rows.columns if c != label]
+    return rows.join(known, rows[label] == F.col("_name")).select(*others, number), count
 
 
 def estimator_for(task: str, model: str, rows: int, label_std: float = 1.0):
@@ -89,7 +109,7 @@ def estimator_for(task: str, model: str, rows: int, label_std: float = 1.0):
     if task == "classification":
         if model == "logistic_regression":
             return "Logistic Regression", LogisticRegression(
-                maxIter=500, regParam=1.0 / max(1, rows), elasticNetParam=0.0, standardization=False)
+                maxIter=500, tol=1e-9, regParam=1.0 / max(1, rows), elasticNetParam=0.0, standardization=False)
         if model == "decision_tree":
             return "Decision Tree Classifier", DecisionTreeClassifier(maxDepth=6, seed=SEED)
         return "Random Forest Classifier", RandomForestClassifier(numTrees=50, maxDepth=8, seed=SEED)
@@ -101,48 +121,98 @@ def estimator_for(task: str, model: str, rows: int, label_std: float = 1.0):
     return "Random Forest Regressor", RandomForestRegressor(numTrees=50, maxDepth=8, seed=SEED)
 
 
-def prepare(train: DataFrame, features: Sequence[str]) -> tuple[list[Column], Pipeline]:
-    """Imputing projection (medians, modes of the training rows) and encoding pipeline."""
+class Encoding:
+    """One slot a number, then one slot a level of each text column, in alphabetical order.
+
+    The levels of all text columns are numbered by one distributed ranking and joined to the rows; a level that training
+    rows don't have gives zeros.  What grows with the levels on the driver is the vector's length, as in every model on
+    it, not their names.
+    """
+
+    def __init__(self, numbers: Sequence[str], texts: Sequence[str]):
+        self.numbers, self.texts = list(numbers), list(texts)
+
+    def fit(self, train: DataFrame) -> Encoded:
+        slots = None
+        sizes = [0] * len(self.texts)
+        if self.texts:
+            level = F.explode(F.array(*[F.struct(F.lit(i).alias("column"), quoted(f"t_{c}").alias("level")) for i, c in enumerate(self.texts)]))
+            ranks = dense_codes(train.select(level.alias("value")))
+            slots = durable(ranks.select(F.col("value.column").alias("column"), F.col("value.level").alias("level"), F.col("code").cast("long").alias("slot")))
+            for column, size in slots.groupBy("column").agg(F.count(F.lit(1))).collect():  # one row a text column
+                sizes[column] = size
+        scaler = None
+        if self.numbers:
+            scaler = Pipeline(stages=[
+                VectorAssembler(inputCols=[f"n_{c}" for c in self.numbers], outputCol="numbers"),
+                StandardScaler(inputCol="numbers", outputCol="scaled", withMean=True, withStd=True),
+            ]).fit(train)
+        return Encoded(self.numbers, self.texts, sizes, slots, scaler)
+
+
+class Encoded:
+    """A fitted ``Encoding``; ``size`` is the vector's length."""
+
+    def __init__(self, numbers: list[str], texts: list[str], sizes: list[int], slots: DataFrame | None, scaler: PipelineModel | None):
+        self.numbers, self.texts, self.sizes, self.slots, self.scaler = numbers, texts, sizes, slots, scaler
+        self.size = len(numbers) + sum(sizes)
+
+    def transform(self, rows: DataFrame) -> DataFrame:
+        kept, inputs, first = rows.columns, [], 0
+        if self.scaler is not None:
+            rows = self.scaler.transform(rows)
+            inputs.append("scaled")
+        for i, (c, size) in enumerate(zip(self.texts, self.sizes)):
+            known = self.slots.where(F.col("column") == i).select(F.col("level").alias("_level"), (F.col("slot") - first).cast("double").alias("_index"))
+            index = F.coalesce("_index", F.lit(float(size))).alias(f"i_{i}", metadata={"ml_attr": {"type": "nominal", "num_vals": size + 1}})
+            rows = rows.join(known, quoted(f"t_{c}") == F.col("_level"), "left").select(*[quoted(n) for n in rows.columns], index)
+            # the last category, a level unknown to training, has no slot
+            coder = OneHotEncoder(inputCol=f"i_{i}", outputCol=f"o_{i}", dropLast=True)
+            rows = coder.fit(rows.limit(0)).transform(rows)
+            rows = rows.withColumn(f"o_{i}", F.col(f"o_{i}").alias(f"o_{i}", metadata={"ml_attr": {"num_attrs": size}}))
+            inputs.append(f"o_{i}")
+            first += size
+        ready = VectorAssembler(inputCols=inputs, outputCol="features", handleInvalid="keep").transform(rows)
+        vector = F.col("features").alias("features", metadata={"ml_attr": {"num_attrs": self.size}})
+        return ready.select(*[quoted(n) for n in kept], vector)
+
+    def names(self, places: Sequence[int]) -> dict[int, str]:
+        """Names of a few slots: the column, for a level with the level behind it."""
+        found = {i: self.numbers[i] for i in places if i < len(self.numbers)}
+        wanted = [int(i) - len(self.numbers) for i in places if i >= len(self.numbers)]
+        if wanted:
+            for column, level, slot in self.slots.where(F.col("slot").isin(wanted)).select("column", "level", "slot").collect():
+                found[slot + len(self.numbers)] = f"{self.texts[column]}_{level}"
+        return found
+
+
+def prepare(train: DataFrame, features: Sequence[str]) -> tuple[list[Column], Encoding]:
+    """Imputing projection (medians, modes of the training rows) and encoding."""
     ctx = TableContext(train.select(*[quoted(c) for c in features]))
     numbers = [c for c in features if ctx.stats[c].kind == "numeric"]
     others = [c for c in features if ctx.stats[c].kind not in ("numeric", "other")]
     ctx.scan("nulls").quantiles(numbers)
     numbers = [c for c in numbers if ctx.stats[c]["non_null"] > 0]
-    columns, stages, inputs = [], [], []
+    columns = []
     for c in numbers:
         value = fold_missing(quoted(c), train.schema[c].dataType).cast("double")
         columns.append(F.coalesce(value, F.lit(ctx.stats[c]["median"])).alias(f"n_{c}"))
-    if numbers:
-        stages += [
-            VectorAssembler(inputCols=[f"n_{c}" for c in numbers], outputCol="numbers"),
-            StandardScaler(inputCol="numbers", outputCol="scaled", withMean=True, withStd=True),
-        ]
-        inputs.append("scaled")
     modes = most_frequent(ctx, others)
     levels = [c for c in others if c in modes]
     for c in levels:
         text = F.coalesce(quoted(c).cast("string"), F.lit(modes[c]))
         columns.append(F.when(text == "", "(empty)").otherwise(text).alias(f"t_{c}"))  # levels need a name
-    for c in levels:
-        stages += [
-            StringIndexer(inputCol=f"t_{c}", outputCol=f"i_{c}", handleInvalid="keep", stringOrderType="alphabetAsc"),
-            OneHotEncoder(inputCol=f"i_{c}", outputCol=f"o_{c}", dropLast=True),
-        ]
-        inputs.append(f"o_{c}")
-    stages.append(VectorAssembler(inputCols=inputs, outputCol="features", handleInvalid="keep"))
-    return columns, Pipeline(stages=stages)
+    return columns, Encoding(numbers, levels)
 
 
-def importances(model: Transformer, transformed: DataFrame) -> dict[str, float]:
-    """Feature importance by expanded feature name, from the assembler's metadata."""
+def importances(model: Transformer, encoded: Encoded) -> dict[str, float]:
+    """Feature importance by expanded feature name; slots without any are left out if the vector is sparse."""
     weights = getattr(model, "featureImportances", None)
     if weights is None:
         return {}
-    slots = transformed.schema["features"].metadata.get("ml_attr", {}).get("attrs", {})
-    names = {a["idx"]: a.get("name", f"slot_{a['idx']}") for group in slots.values() for a in group}
-    return {
-        names.get(int(i), f"slot_{i}"): round(float(v), 4) for i, v in zip(*_sparse(weights))
-    }
+    places, values = _sparse(weights)
+    names = encoded.names([int(i) for i in places])
+    return {names.get(int(i), f"slot_{i}"): round(float(v), 4) for i, v in zip(places, values)}
 
 
 def _sparse(vector):
@@ -167,11 +237,8 @@ def class_metrics(scored: DataFrame, binary: bool) -> dict[str, float]:
     found = {k: round(float(row[k] or 0.0), 4) for k in CLASS_METRICS[:4]}
     found["roc_auc"] = 0.0
     if binary:
-        try:
-            judge = BinaryClassificationEvaluator(rawPredictionCol="rawPrediction", labelCol="label")
-            found["roc_auc"] = round(float(judge.evaluate(scored)), 4)
-        except Exception:  # noqa: BLE001 - e.g. one class only in the test rows
-            found["roc_auc"] = 0.5
+        ranked = scored.select(vector_to_array("rawPrediction")[1].alias("score"), (F.col("label") == 1).alias("positive"))
+        found["roc_auc"] = round(roc_auc(ranked), 4)
     return found
 
 
@@ -193,49 +260,49 @@ def fit_baseline(frame: DataFrame, target: str, task: str, binary: bool, model:
     features = [c for c in frame.columns if c != target and kind_of(frame.schema[c].dataType) != "other"]
     if task == "classification":
         text = y.cast("string")
-        classes = rows.select(text.alias("c")).distinct()
-        if classes.limit(2).count() < 2:
+        if rows.select(text.alias("c")).distinct().limit(2).count() < 2:
             return Fit("Baseline Classifier", {k: 1.0 for k in CLASS_METRICS})
         label = F.when(text == "", "(empty)").otherwise(text)
     else:
         label = y.cast("double")
-    slot = split_slot([quoted(c) for c in [*features, target]])
-    rows = rows.select(*[quoted(c) for c in features], label.alias("label"), slot.alias("slot"))
-    if task == "classification":  # alphabetical class numbers, any number of them
-        names = StringIndexer(inputCol="label", outputCol="label_no", stringOrderType="alphabetAsc").fit(rows)
-        rows = names.transform(rows).drop("label").withColumnRenamed("label_no", "label")
+    rows = rows.select(*[quoted(c) for c in features], label.alias("label"))
+    classes = 0
+    if task == "classification":
+        rows, classes = numbered_classes(rows, "label")
     total = rows.count()
-    edge = TRAIN_SLOTS if total >= SMALL_TABLE else HALF_SLOTS
-    train, test = rows.filter(F.col("slot") < edge), rows.filter(F.col("slot") >= edge)
-
-    def run(train: DataFrame, test: DataFrame) -> Fit:
-        columns, encoding = prepare(train, features)
-        size, spread = train.agg(F.count(F.lit(1)), F.stddev_pop("label")).first()
-        name, estimator = estimator_for(task, model, size, spread or 1.0)
-        encoder = encoding.fit(train.select("label", *columns))
-        ready = encoder.transform(train.select("label", *columns)).select("label", "features").persist()
+    by_class = rows.withColumn("stratum", F.col("label") if classes else F.lit(0.0))
+    halves = durable(split(by_class, "stratum", TRAIN_SHARE if total >= SMALL_TABLE else HALF_SHARE).drop("stratum"))
+    if classes:  # columns read back have lost what the estimators need to know of the label
+        kept = F.col("label").alias("label", metadata={"ml_attr": {"type": "nominal", "num_vals": classes}})
+        halves = halves.select(*[quoted(c) for c in features], kept, "train")
+    train, test = halves.filter("train"), halves.filter("NOT train")
+    judged_on = "test rows"
+    if train.isEmpty() or test.isEmpty():
+        logging.getLogger(__name__).warning("the split left one side empty: all rows are used for both")
+        train, test, judged_on = halves, halves, "training rows"
+
+    columns, encoding = prepare(train, features)
+    size, spread = train.agg(F.count(F.lit(1)), F.stddev_pop("label")).first()
+    name, estimator = estimator_for(task, model, size, spread or 1.0)
+    inputs = train.select(train["label"], *columns)
+    encoded = encoding.fit(inputs)
+    ready = encoded.transform(inputs).persist()
+    try:
+        fitted = estimator.fit(ready)
+        scored = fitted.transform(encoded.transform(test.select(test["label"], *columns)))
+        kept = ["label", "prediction"] + [c for c in ("rawPrediction",) if c in scored.columns]
+        scored = scored.select(*kept).persist()
         try:
-            fitted = estimator.fit(ready)
-            scored = fitted.transform(encoder.transform(test.select("label", *columns)))
-            kept = ["label", "prediction"] + [c for c in ("rawPrediction",) if c in scored.columns]
-            scored = scored.select(*kept).persist()
-            try:
-                found = class_metrics(scored, binary) if task == "classification" else value_metrics(scored)
-            finally:
-                scored.unpersist()
-            return Fit(name, found, importances(fitted, ready))
+            found = class_metrics(scored, binary) if task == "classification" else value_metrics(scored)
         finally:
-            ready.unpersist()
-
-    try:
-        if train.isEmpty() or test.isEmpty():
-            raise ValueError("the split left one side empty")
-        return run(train, test)
-    except Exception as problem:  # noqa: BLE001 - score on the training rows instead
-        logging.getLogger(__name__).warning("split fit failed, using all rows: %s", str(problem).splitlines()[0])
-        fit = run(rows, rows)
-        fit.judged_on = "training rows"
+            scored.unpersist()
+        fit = Fit(name, found, importances(fitted, encoded), judged_on)
+        if model == "logistic_regression" and classes == 2:
+            told = fitted.transform(ready).select("features", "label", vector_to_array("probability")[1].alias("p"))
+            fit.steepest = certificate(told, fitted.coefficients.toArray(), 1.0 / max(1, size)).steepest
         return fit
+    finally:
+        ready.unpersist()
 
 
 def benchmark(raw: DataFrame, clean: DataFrame, target: str, model: str = "random_forest") -> Benchmark:

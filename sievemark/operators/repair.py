@@ -13,6 +13,7 @@ from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions import fixed
 from ..functions.expr import as_number, as_timestamp, fold_missing, is_blank, kind_of, normal_word, quoted
@@ -50,7 +51,8 @@ class Repair:
     before: DataFrame
     actions: list[str]
     log: list[dict] = field(default_factory=list)
-    stages: list[tuple[str, str | None, DataFrame]] = field(default_factory=list)
+    #: Row stages: name, column and effect, see ``lost_rows``.
+    stages: list[tuple[str, str | None, tuple]] = field(default_factory=list)
 
     def stats(self) -> DataFrame:
         """One row: shapes before and after.  Runs the repair once."""
@@ -65,24 +67,20 @@ class Repair:
         return local_frame(self.frame.sparkSession, [row], ", ".join(f"{k} bigint" for k in row))
 
     def stage_rows(self) -> DataFrame:
-        """Rows left after each row stage, counted in one job.
+        """Rows left after each row stage, of one pass over the table before the repair.
 
         Counts instead of an ``Observation``: once a session has used one, Spark
         cannot serialise the summaries of binary ML models in that session.
         """
-        spark = self.frame.sparkSession
+        schema = "step int, stage string, `column` string, rows_after bigint"
         if not self.stages:
-            return local_frame(spark, [], "step int, stage string, `column` string, rows_after bigint")
-        counts = None
-        for i, (_, _, left) in enumerate(self.stages):
-            one = left.agg(F.count(F.lit(1)).alias("n")).withColumn("i", F.lit(i))
-            counts = one if counts is None else counts.unionByName(one)
-        left_after = {r["i"]: r["n"] for r in counts.collect()}
-        rows = [
-            {"step": i + 1, "stage": stage, "column": column, "rows_after": left_after[i]}
-            for i, (stage, column, _) in enumerate(self.stages)
-        ]
-        return local_frame(self.frame.sparkSession, rows, "step int, stage string, `column` string, rows_after bigint")
+            return local_frame(self.frame.sparkSession, [], schema)
+        gone = lost_rows(self.before, [effect for _, _, effect in self.stages]).collect()[0]
+        left, rows = gone["n"], []
+        for i, (stage, column, _) in enumerate(self.stages):
+            left -= gone["lost"][i]
+            rows.append({"step": i + 1, "stage": stage, "column": column, "rows_after": left})
+        return local_frame(self.frame.sparkSession, rows, schema)
 
     def log_table(self) -> DataFrame:
         """Stage log: step, stage, column, detail."""
@@ -102,13 +100,57 @@ def drop_exact_duplicates(frame: DataFrame) -> DataFrame:
     return reduced.select(*[quoted(n) for n in names])
 
 
+def lost_rows(frame: DataFrame, effects: Sequence[tuple]) -> DataFrame:
+    """One row: ``n`` and ``lost``, how many rows each stage takes away.
+
+    An effect is ("repeats",), ("filter", condition) or ("first", key, order columns).  Every row carries how many input
+    rows it stands for and at which stage those went, so that the stages follow each other in one plan: a filter marks
+    rows and shuffles nothing, the others are aggregates combined before their shuffle, whatever the key's skew.
+    """
+    none = F.array(*[F.lit(0).cast("bigint")] * len(effects))
+    rows = frame.select(F.struct(*[quoted(c) for c in frame.columns]).alias("row"), none.alias("lost"), F.lit(True).alias("alive"))
+    cell = lambda c: F.col("row").getField(c)
+
+    def at(i: int, n: Column) -> Column:
+        return F.array(*[F.lit(0).cast("bigint") if k != i else n for k in range(len(effects))])
+
+    def added(one: Column, other: Column) -> Column:
+        return F.zip_with(one, other, lambda x, y: x + y)
+
+    totals = F.array(*[F.sum(F.col("lost")[k]) for k in range(len(effects))])
+    for i, (kind, *what) in enumerate(effects):
+        if kind == "filter":
+            kept = F.coalesce(what[0](cell), F.lit(False))
+            rows = rows.select("row", added(F.col("lost"), at(i, (F.col("alive") & ~kept).cast("bigint"))).alias("lost"), (F.col("alive") & kept).alias("alive"))
+            continue
+        if kind == "repeats":
+            flat = rows.select("row.*")
+            keys = [(F.to_json(cell(c)) if isinstance(flat.schema[c].dataType, (T.MapType, T.VariantType)) else cell(c)).alias(f"k{j}") for j, c in enumerate(frame.columns)]
+            pick = F.first("row")
+        else:
+            key, order = what
+            keys = [cell(key).alias("k0")]
+            pick = F.min_by("row", F.struct(*[c for o in order for c in (cell(o).isNotNull(), cell(o))]))
+        # rows that are gone already are no repeats of anything; each stays by itself
+        lone = F.when(~F.col("alive"), F.monotonically_increasing_id()).alias("lone")
+        keys = [F.when(F.col("alive"), k).alias(f"k{j}") for j, k in enumerate(keys)]
+        grouped = rows.select("*", *keys, lone).groupBy("alive", "lone", *[f"k{j}" for j in range(len(keys))]).agg(
+            pick.alias("row"), totals.alias("lost"), (F.count(F.lit(1)) - 1).alias("more"))
+        rows = grouped.select("row", added(F.col("lost"), at(i, F.col("more"))).alias("lost"), "alive")
+    left = F.count_if("alive")
+    return rows.agg(totals.alias("lost"), left.alias("left")).select(
+        (F.aggregate(F.coalesce(F.col("lost"), none), F.lit(0).cast("bigint"), lambda a, x: a + F.coalesce(x, F.lit(0).cast("bigint"))) + F.col("left")).alias("n"),
+        F.transform(F.coalesce(F.col("lost"), none), lambda x: F.coalesce(x, F.lit(0).cast("bigint"))).alias("lost"))
+
+
+def filled_cells(schema: T.StructType, cell) -> Column:
+    return sum((fold_missing(cell(f.name), f.dataType).isNotNull().cast("int") for f in schema.fields), F.lit(0))
+
+
 def drop_sparse(frame: DataFrame) -> DataFrame:
     """Rows with at least int(half of the columns) non-null cells."""
     need = int(len(frame.columns) * 0.5)
-    filled = sum(
-        (fold_missing(quoted(f.name), f.dataType).isNotNull().cast("int") for f in frame.schema.fields), F.lit(0)
-    )
-    return frame.filter(filled >= need)
+    return frame.filter(filled_cells(frame.schema, quoted) >= need)
 
 
 def keep_first_by_key(frame: DataFrame, key: str, order_by: Sequence[str]) -> DataFrame:
@@ -181,27 +223,28 @@ def repair(
     def note(stage: str, column: str | None = None, detail: str = "") -> None:
         done.log.append({"stage": stage, "column": column, "detail": detail})
 
-    def rows_left(table: DataFrame, stage: str, column: str | None = None) -> DataFrame:
-        done.stages.append((stage, column, table))
+    def rows_left(table: DataFrame, effect: tuple, stage: str, column: str | None = None) -> DataFrame:
+        done.stages.append((stage, column, effect))
         note(stage, column)
         return table
 
     out = frame
     # 1-4: rows
     if "drop_exact_duplicates" in by_verb:
-        out = rows_left(drop_exact_duplicates(out), "drop_exact_duplicates")
+        out = rows_left(drop_exact_duplicates(out), ("repeats",), "drop_exact_duplicates")
     for c in columns_for("drop_target_na", out):
-        kept = out.filter(fold_missing(quoted(c), out.schema[c].dataType).isNotNull())
-        out = rows_left(kept, "drop_target_na", c)
+        filled = lambda cell, c=c: fold_missing(cell(c), frame.schema[c].dataType).isNotNull()
+        out = rows_left(out.filter(filled(quoted)), ("filter", filled), "drop_target_na", c)
     if "drop_sparse_rows" in by_verb:
-        out = rows_left(drop_sparse(out), "drop_sparse_rows")
+        dense = lambda cell: filled_cells(frame.schema, cell) >= int(len(frame.columns) * 0.5)
+        out = rows_left(drop_sparse(out), ("filter", dense), "drop_sparse_rows")
     for c in columns_for("drop_duplicates_by_key", out):
         if not explicit and c not in primary_keys:
             note("drop_duplicates_by_key", c, "skipped: not named in primary_keys")
             continue
         if not order_by:
             raise ValueError(f"drop_duplicates_by_key:{c} needs order_by to tell which row is first")
-        out = rows_left(keep_first_by_key(out, c, order_by), "drop_duplicates_by_key", c)
+        out = rows_left(keep_first_by_key(out, c, order_by), ("first", c, list(order_by)), "drop_duplicates_by_key", c)
 
     # 5-7: values, each fused into the same projection
     for c in columns_for("replace_sentinels_with_nan", out):

@@ -11,6 +11,7 @@ from .issues import Check, make_issues, no_issues
 
 CHECKER = "data_types"
 SHAPES = ("numbers", "dates", "booleans", "words")
+VARIANT_SHAPES = (*SHAPES, "objects", "arrays")
 
 
 def text_shapes(ctx: TableContext) -> DataFrame:
@@ -33,6 +34,18 @@ def text_shapes(ctx: TableContext) -> DataFrame:
     )
 
 
+def variant_shapes(ctx: TableContext) -> DataFrame:
+    """Variant columns, as JSON gives them: how many values are of each type; ``verdict`` is mixed with two or more.
+
+    Every value is asked for its own type, so 1 and "1" differ.  JSON nulls (``voids``) and nulls are of no type.
+    """
+    names = [n for n in ctx.names if ctx.stats[n].physical_type == "variant"]
+    ctx.scan("nulls", "variants", names=names)
+    fields = {"non_null": "bigint", "voids": "bigint", **{s: "bigint" for s in VARIANT_SHAPES}}
+    classes = sum((F.when(F.col(s) > 0, 1).otherwise(0) for s in VARIANT_SHAPES), F.lit(0))
+    return ctx.table(names, fields).withColumn("classes", classes).withColumn("verdict", F.when(F.col("classes") > 1, "mixed"))
+
+
 def whole_floats(ctx: TableContext) -> DataFrame:
     """Floating columns that hold at most five distinct whole numbers."""
     names = [n for n in ctx.names if ctx.stats[n].floating]
@@ -78,4 +91,11 @@ def check_types(ctx: TableContext) -> Check:
         details={"distinct_values": F.col("ndv")},
         fix_action=F.concat(F.lit("cast_to_int:"), name), seq=F.col("position"), penalty=6.0,
     )
-    return Check(CHECKER, [text, whole], {"columns_audited": len(ctx.names)}, cap=50.0)
+    variants = make_issues(
+        variant_shapes(ctx).filter("verdict IS NOT NULL"), CHECKER,
+        issue_id=F.concat(F.lit("mixed_types_"), name), severity="HIGH",
+        title=F.format_string("%s mixes kinds of values", name), remediation="Settle on one representation", columns=F.array(name),
+        details={"verdict": verdict, **{s: F.col(s) for s in VARIANT_SHAPES}},
+        fix_action=F.concat(F.lit("standardize_types:"), name), seq=F.col("position"), penalty=6.0,
+    )
+    return Check(CHECKER, [text, variants, whole], {"columns_audited": len(ctx.names)}, cap=50.0)

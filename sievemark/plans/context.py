@@ -109,6 +109,15 @@ class TableContext:
                 "booleans": f"count_if({boolean})",
                 "words": f"count_if(NOT ({number} OR {date} OR {boolean}) AND s{i} <> '')",
             }
+        if group == "variants" and stats.physical_type == "variant":
+            # the type of each value; a JSON null is a void and counts for no class
+            shape = f"schema_of_variant(c{i})"
+            return {
+                "numbers": f"count_if({shape} RLIKE '^(BIGINT|DOUBLE|FLOAT|DECIMAL)')", "booleans": f"count_if({shape} = 'BOOLEAN')",
+                "words": f"count_if({shape} = 'STRING')", "dates": f"count_if({shape} RLIKE '^(DATE|TIMESTAMP)')",
+                "objects": f"count_if({shape} RLIKE '^OBJECT')", "arrays": f"count_if({shape} RLIKE '^ARRAY')",
+                "voids": f"count_if({shape} = 'VOID')",
+            }
         if group == "sentinels" and kind in ("numeric", "string"):
             codes = ", ".join(f"{s}D" for s in fixed.NUMERIC_SENTINELS)
             found = {

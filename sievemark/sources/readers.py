@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import csv
+import io
+import re
+from collections import Counter
 from collections.abc import Sequence
 from dataclasses import dataclass
-from functools import reduce
-from urllib.parse import unquote
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -14,6 +16,7 @@ from pyspark.sql import types as T
 from ..functions.expr import quoted, strip
 from ..functions.fixed import NA_TOKENS, NUMBER_PATTERN
 from ..operators.rules import RULE_SCHEMA, Rule, rules_from
+from .ranges import csv_records, decoded, json_records
 
 
 class EmptyInput(ValueError):
@@ -21,40 +24,47 @@ class EmptyInput(ValueError):
 
 
 @dataclass
-class Lines:
-    """What one scan over a file's lines tells."""
+class Look:
+    """What one scan over the lines of all files tells."""
 
-    path: str
+    files: int
     broken: bool  # bytes that are not UTF-8
     odd_quotes: bool  # a line that ends inside quotes
     objects: bool  # every filled line is a whole JSON object
-    openings: int  # lines that begin with a brace, without indent
-    array: bool  # a line that begins with a bracket
 
 
-def look(spark: SparkSession, path: str) -> list[Lines]:
-    """One aggregate over the lines of every file: encoding, quoting and JSON layout are decided per file."""
+def look(spark: SparkSession, path: str) -> Look:
+    """One aggregate over all lines; a single row reaches the driver, however many files there are."""
     line, bare = F.col("value"), F.trim(F.col("value"))
-    text = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("file"))
     quotes = F.length(line) - F.length(F.replace(line, F.lit('"')))
-    found = text.groupBy("file").agg(
-        F.bool_or(~F.is_valid_utf8("value")), F.bool_or(quotes % 2 == 1),
-        F.bool_and(F.when(bare != "", bare.startswith("{") & bare.endswith("}"))),
-        F.count_if(line.startswith("{")), F.bool_or(line.startswith("[")),
-    )
-    return [Lines(unquote(r[0]), bool(r[1]), bool(r[2]), bool(r[3]), r[4], bool(r[5])) for r in found.collect()]
+    row = spark.read.text(path).select("value").agg(
+        F.count(F.lit(1)), F.bool_or(~F.is_valid_utf8("value")), F.bool_or(quotes % 2 == 1),
+        F.bool_and(F.when(bare != "", bare.startswith("{") & bare.endswith("}")))).collect()[0]
+    return Look(row[0], bool(row[1]), bool(row[2]), bool(row[3]))
 
 
-def _apart(files: list[Lines], path: str, groups: dict) -> dict:
-    """Paths of each group; a single group keeps the path as it was given."""
-    return {key: [path] if len(groups) == 1 else [f.path for f in own] for key, own in groups.items()}
+#: Encodings in which line breaks, commas and quotes are the bytes that ASCII has for them, and no other letter's.
+ASCII_LIKE = ("utf8", "ascii", "usascii", "latin1", "iso88591", "iso885915", "windows1252", "cp1252", "windows1250", "windows1251")
 
 
-def _grouped(files: list[Lines], key) -> dict:
-    groups: dict = {}
-    for file in files:
-        groups.setdefault(key(file), []).append(file)
-    return groups
+def column_names(header: str) -> list[str]:
+    """Names of a header record, as Spark's reader gives them: _c and the place for a blank one, the place after repeated ones."""
+    cells = next(csv.reader(io.StringIO(header, newline="")), [])
+    seen = Counter(c.lower() for c in cells)
+    return [f"_c{i}" if not c else f"{c}{i}" if seen[c.lower()] > 1 else c for i, c in enumerate(cells)]
+
+
+def _from_ranges(spark: SparkSession, path: str, encoding: str | None, fallback: str, quotes: bool) -> DataFrame:
+    """Cells of CSV files as text, every file read by as many tasks as it has ranges."""
+    found = csv_records(spark, path, quotes)
+    record = decoded(F.col("record"), F.col("broken"), encoding, fallback)
+    heads = found.where("first").select(record.alias("r")).agg(F.min("r")).first()[0]
+    if heads is None:
+        raise EmptyInput(f"{path} holds no rows")
+    names = column_names(heads.removeprefix("\ufeff"))
+    struct = ", ".join(f"`{n.replace('`', '``')}` string" for n in names)
+    cells = F.from_csv(record, struct, {"quote": '"', "escape": '"', "maxCharsPerColumn": "-1"})
+    return found.where(~F.col("first")).select(cells.alias("c")).select("c.*")
 
 
 def read_csv(
@@ -70,26 +80,24 @@ def read_csv(
 ) -> DataFrame:
     """Delimited text with a header.
 
-    A scan over the lines finds, file by file, whether it is UTF-8 (else ``fallback`` is used for that file) and whether
-    a quoted cell holds a line break; only files with one are read as a whole, by one task each.  Name both ``encoding``
-    and ``multi_line`` to save that scan.  Cells are read as text, NA tokens become null, then columns are typed: with
-    the given schema, or by one aggregate that finds which columns hold only integers, numbers or booleans.
+    A scan over the lines finds whether all files are UTF-8 and whether a quoted cell holds a line break.  If so and if not,
+    Spark's reader takes the folder as it is.  Else records are found in byte ranges, all files at once and every file by
+    many tasks (``ranges.csv_records``); a file that isn't UTF-8 is decoded by ``fallback``, each file by itself.  Name
+    both ``encoding`` and ``multi_line`` to save the scan.  Encodings in which a line break isn't one byte, such as UTF-16,
+    are left to Spark's reader, which reads a file with line breaks in cells by one task.  Cells are read as text, NA
+    tokens become null, then columns are typed: with the given schema, or by one aggregate that finds which columns hold
+    only integers, numbers or booleans.
     """
-    def cells(paths: list[str], code: str, whole: bool) -> DataFrame:
-        reader = spark.read.option("header", True).option("encoding", code).option("multiLine", whole)
-        return reader.option("quote", '"').option("escape", '"').csv(paths)
-
-    if encoding is not None and multi_line is not None:
-        raw = cells([path], encoding, multi_line)
+    ascii_like = encoding is None or re.sub("[^a-z0-9]", "", encoding.lower()) in ASCII_LIKE
+    found = Look(1, False, bool(multi_line), False) if encoding is not None and multi_line is not None else look(spark, path)
+    if not found.files:
+        raise EmptyInput(f"{path} holds no rows")
+    quotes = found.odd_quotes if multi_line is None else multi_line
+    if ascii_like and (quotes or found.broken and encoding is None):
+        raw = _from_ranges(spark, path, encoding, fallback, quotes)
     else:
-        def kind(f: Lines) -> tuple[str, bool]:
-            return encoding or (fallback if f.broken else "UTF-8"), f.odd_quotes if multi_line is None else multi_line
-
-        files = look(spark, path)
-        groups = _apart(files, path, _grouped(files, kind))
-        if not groups:
-            raise EmptyInput(f"{path} holds no rows")
-        raw = reduce(DataFrame.unionByName, [cells(paths, *how) for how, paths in sorted(groups.items())])
+        reader = spark.read.option("header", True).option("encoding", encoding or "UTF-8").option("multiLine", quotes)
+        raw = reader.option("quote", '"').option("escape", '"').csv(path)
     tokens = [t for t in na_values]
     text = raw.select(*[F.when(~quoted(c).isin(*tokens), quoted(c)).alias(c) for c in raw.columns])
     if schema is not None:
@@ -99,16 +107,16 @@ def read_csv(
 
 
 def read_json(spark: SparkSession, path: str, schema: T.StructType | str | None = None, **options) -> DataFrame:
-    """JSON Lines, arrays of objects and single objects, told apart file by file; what can't be read whole is an error."""
-    files = look(spark, path)
-    for file in files:
-        if not file.objects and not file.array and file.openings > 1:
-            raise ValueError(f"{file.path} holds several JSON values that span lines: only the first could be read")
-    groups = _apart(files, path, _grouped(files, lambda f: not f.objects))
-    if not groups:
+    """JSON Lines, arrays of objects, single objects and objects one after the other, also mixed in one folder.
+
+    Where all is JSON Lines, Spark's reader takes the folder as it is.  Else objects are found in byte ranges, every file
+    by many tasks, and written as JSON Lines to the shared folder (``ranges.json_records``).  A file that ends inside a
+    value is an error; what is no object is left to Spark's reader, as a corrupt record.
+    """
+    found = look(spark, path)
+    if not found.files:
         raise EmptyInput(f"{path} holds no rows")
-    parts = [spark.read.json(paths, schema=schema, multiLine=whole, **options) for whole, paths in sorted(groups.items())]
-    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
+    return spark.read.json(path if found.objects else json_records(spark, path), schema=schema, **options)
 
 
 def _typed(text: DataFrame) -> DataFrame:
