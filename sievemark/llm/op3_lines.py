@@ -57,8 +57,9 @@ def _kept_text(text: Column, gone: Column) -> Column:
         blank = F.transform(lines, lambda x: F.btrim(x, F.lit(TRIM)) == "")
         numbers = F.filter(F.transform(blank, lambda b, i: F.when(~b, i)), lambda i: i.isNotNull())
         drop = let(numbers, lambda n: F.transform(gone, lambda g: F.get(n, g)))
-        kept = let(drop, lambda d: F.filter(lines, lambda x, i: ~F.array_contains(d, i)))
-        return F.array_join(kept, "\n")
+        # line numbers are unique: the set difference keeps their order and looks each up once
+        kept = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), drop)
+        return F.array_join(F.transform(kept, lambda i: F.get(lines, i)), "\n")
 
     return let(F.split(text, "\n"), of)
 

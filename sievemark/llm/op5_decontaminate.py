@@ -27,25 +27,25 @@ class ItemAutomaton:
     state, ``short`` the shorter-than-window items that a state's longest string equals.
     """
 
-    def __init__(self, items: Iterable[tuple[str, list[bytes]]], window: int):
+    def __init__(self, items: Iterable[tuple[str | None, list[bytes]]], window: int):
         self.window = window
         self.step: list[dict[bytes, int]] = [{}]
         self.length, self.link = [0], [-1]
         own: list[set[str]] = [set()]
-        ends: list[tuple[int, int, str]] = []
+        ends: list[tuple[list[bytes], set[str]]] = []
         for name, words in items:
-            last = 0
+            names, last = {name} - {None}, 0
             for word in words:
                 last = self._extend(last, word, own)
-                own[last].add(name)
+                own[last] |= names
             if 0 < len(words) < window:
-                ends.append((last, len(words), name))
+                ends.append((words, names))
         self.short: dict[int, tuple[int, set[str]]] = {}
-        for _, size, name in ends:  # the state of a whole short item: walk it again, clones may have split it
+        for words, names in ends:  # the state of a whole short item: walk it again, clones may have split it
             state = 0
-            for word in next(w for n, w in items if n == name and len(w) == size):
+            for word in words:
                 state = self.step[state][word]
-            self.short.setdefault(state, (size, set()))[1].add(name)
+            self.short.setdefault(state, (len(words), set()))[1].update(names)
         order = sorted(range(1, len(self.step)), key=lambda s: self.length[s])
         #: Nearest state on the way to the root, itself included, that is a short item; 0 if none.
         self.near_short = [0] * len(self.step)
@@ -123,9 +123,9 @@ class ItemAutomaton:
         return spans, found
 
 
-def _blocks(benchmark: DataFrame, id: str, text: str, block_bytes: int) -> Iterator[list[tuple[str, list[bytes]]]]:
+def _blocks(benchmark: DataFrame, id: str, text: str, block_bytes: int) -> Iterator[list[tuple[str | None, list[bytes]]]]:
     """Distinct items in blocks of at most ``block_bytes`` of text (a longer item alone), a partition at a time."""
-    items = benchmark.select(benchmark[id].cast("string").alias("i"), benchmark[text].cast("binary").alias("t")).where("t IS NOT NULL AND i IS NOT NULL").distinct()
+    items = benchmark.select(benchmark[id].cast("string").alias("i"), benchmark[text].cast("binary").alias("t")).where("t IS NOT NULL").distinct()
     block, size = [], 0
     for row in items.toLocalIterator():
         words = words_of(bytes(row["t"]))
@@ -185,7 +185,8 @@ def find_spans(rows: DataFrame, benchmark: DataFrame, window: int = 10, block_by
 def contamination(docs: DataFrame, benchmark: DataFrame, window: int = 10, id: str = "doc_id", text: str = "text", **options) -> DataFrame:
     """Per document the words inside any occurrence of an item window, and the items met.
 
-    Null and empty texts have no words and no hits; items without words or id are none; equal items count once by id;
+    Null and empty texts have no words and no hits; items without words are none; equal items count once by id; an item
+    without id hits words, but is neither counted nor named;
     an empty benchmark hits nothing.  Repeated rows are reported as often as they occur; extra columns are left out.
     """
     rows = docs.select(docs[id].alias("_row"), docs[text].cast("binary").alias("_bytes"))
@@ -269,7 +270,7 @@ places AS (SELECT doc_id, n, i, array_to_string(w[i:i + n - 1], ' ') AS t
 hits AS (SELECT doc_id, places.n, i, item_id FROM places JOIN windows USING (n, t)),
 words AS (SELECT doc_id, count(*) AS n FROM dw GROUP BY doc_id),
 covered AS (SELECT doc_id, count(DISTINCT k) AS n FROM (SELECT doc_id, unnest(range(i, i + n)) AS k FROM hits) GROUP BY doc_id),
-met AS (SELECT doc_id, count(*) AS n, string_agg(item_id, ',' ORDER BY item_id) AS s FROM (SELECT DISTINCT doc_id, item_id::VARCHAR AS item_id FROM hits) GROUP BY doc_id)
+met AS (SELECT doc_id, count(item_id) AS n, string_agg(item_id, ',' ORDER BY item_id) AS s FROM (SELECT DISTINCT doc_id, item_id::VARCHAR AS item_id FROM hits) GROUP BY doc_id)
 SELECT d.doc_id, coalesce(words.n, 0) AS n_words, coalesce(covered.n, 0) AS n_hit, coalesce(met.n, 0) AS n_items,
   sha256(coalesce(met.s, '')) AS items_sha256, coalesce(covered.n, 0) > 0 AS contaminated
 FROM documents d LEFT JOIN words USING (doc_id) LEFT JOIN covered USING (doc_id) LEFT JOIN met USING (doc_id)"""
