@@ -219,7 +219,15 @@ def components(links: DataFrame) -> DataFrame:
             return edges.select(F.col("u").alias("node"), F.col("v").alias("root"))
 
 
-def near_duplicates(docs: DataFrame, words: int = 5, least: float = 0.8, functions: int = 16, picks: int = 3,
+def joined_roots(roots: DataFrame, links: DataFrame) -> DataFrame:
+    """(node, root) of every node after further links, whose ends are nodes; only their components' roots are looked at."""
+    side = lambda c: roots.select(F.col("node").alias(c), F.col("root").alias(f"root_{c}"))
+    between = links.select("a", "b").join(side("a"), "a").join(side("b"), "b").select(F.col("root_a").alias("a"), F.col("root_b").alias("b"))
+    up = components(between).select(F.col("node").alias("root"), F.col("root").alias("up"))
+    return staged(roots.join(up, "root", "left").select("node", F.coalesce("up", "root").alias("root")))
+
+
+def near_duplicates(docs: DataFrame, words: int = 5, least: float = 0.8, functions: int = 16, picks: int = 3, rounds: int = 8,
                     id: str = "doc_id", text: str = "text") -> tuple[DataFrame, DataFrame]:
     """Rows (id, th, node, class_key) in place of the documents, and the verified links (a, b, similarity) between nodes.
 
@@ -228,13 +236,15 @@ def near_duplicates(docs: DataFrame, words: int = 5, least: float = 0.8, functio
     cases; texts of few shingles have further keys (``single_keys``), so that it's at most 2.1 of 100,000 at any length.
 
     First every text of a bucket (texts with one key) is compared with the bucket's pivot, the text whose buckets are
-    largest in all: linear in the bucket, and enough for a group of copies around one original.  Then, in buckets that
-    still hold several components, texts of different components are paired unless the first round proves them too far
-    apart.  What a text has and its pivot has not, and the other way round, is counted in cells by hash: two texts with
-    the same pivot differ in at least as many shingles as their cells do in all, and in at least those that no other
-    such text has; ``least`` allows (a + b) * (1 - least) / (1 + least).  These bounds leave out no link, so nothing is
-    capped.  It spares texts that merely share a passage and copies changed at random; pairs near
-    the limit are compared.  Texts without a word have no node and no class.
+    largest in all: linear in the bucket, and enough for a group of copies around one original.  Then, for ``rounds``
+    rounds at most, buckets that still hold several components elect another pivot in their largest one, and the texts
+    outside it are compared with that: copies that are near the limit by chance find another copy close enough, a good
+    part of them in each round.  The few texts that are left are paired with those of other components in their bucket,
+    unless the first round proves them too far apart.  What a text has and its pivot has not, and the other way round, is
+    counted in cells by hash: two texts with the same pivot differ in at least as many shingles as their cells do in all,
+    and in at least those that no other such text has; ``least`` allows (a + b) * (1 - least) / (1 + least).  These bounds
+    leave out no link, and the pairing looks at all that the rounds left, so nothing is capped.  Texts without a word
+    have no node and no class.
     """
     rows = keyed(docs, id, text)
     binary, long = F.lit(None).cast("binary"), F.lit(0).cast("long")
@@ -269,11 +279,29 @@ def near_duplicates(docs: DataFrame, words: int = 5, least: float = 0.8, functio
     starred = multi.join(pivots, "key").where((F.col("node") != F.col("pivot")) & (F.least("n", "pn") >= least * F.greatest("n", "pn")))
     tested = verified(starred.select(*pair("pivot", "node")).distinct())
     links = tested.where(F.col("similarity") >= least).select("a", "b", "similarity")
-    roots = components(links)
-
-    own = multi.select("key", "node", "n").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    several = own.groupBy("key").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x != y").select("key")
-    open_ = staged(own.join(several, "key"))
+    known = components(links)
+    roots = staged(popular.select("node").join(known, "node", "left").select("node", F.coalesce("root", "node").alias("root")))
+
+    def still_open() -> DataFrame:
+        """Rows of the buckets that hold several components."""
+        own = multi.select("key", "node", "n").join(roots, "node")
+        several = own.groupBy("key").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x != y").select("key")
+        return staged(own.join(several, "key"))
+
+    seen = tested.select("a", "b")
+    open_ = still_open()
+    for turn in range(rounds):
+        sizes = open_.groupBy("key", "root").agg(F.count(F.lit(1)).alias("size"), F.min(F.struct(F.xxhash64("node", F.lit(turn)), "node", "n")).alias("head"))
+        main = sizes.groupBy("key").agg(F.max_by(F.struct("root", "head"), F.struct("size", "root")).alias("m"))
+        main = main.select("key", F.col("m.root").alias("main"), F.col("m.head.node").alias("pivot"), F.col("m.head.n").alias("pn"))
+        outside = open_.join(main, "key").where((F.col("root") != F.col("main")) & (F.least("n", "pn") >= least * F.greatest("n", "pn")))
+        found = verified(outside.select(*pair("pivot", "node")).distinct().join(seen, ["a", "b"], "left_anti"))
+        more = staged(found.where(F.col("similarity") >= least).select("a", "b", "similarity"))
+        seen = seen.unionByName(found.select("a", "b"))
+        if more.isEmpty():
+            break
+        links, roots = links.unionByName(more), joined_roots(roots, more)
+        open_ = still_open()
     lone = texts.join(open_.select("node").distinct(), "node").select("node", "text").mapInArrow(_shingler(words), "node binary, shingle long")
     lone = lone.groupBy("shingle").agg(F.min("node").alias("node"), F.count(F.lit(1)).alias("k")).where("k = 1").groupBy("node").agg(F.count(F.lit(1)).alias("u"))
     measured = open_.join(pivots, "key").withColumns({"a": F.greatest("pivot", "node"), "b": F.least("pivot", "node")})
@@ -287,12 +315,15 @@ def near_duplicates(docs: DataFrame, words: int = 5, least: float = 0.8, functio
     near = (F.col("x.node") > F.col("y.node")) & (F.col("x.root") != F.col("y.root")) & (F.col("x.u") + F.col("y.u") <= limit)
     near &= (F.least("x.n", "y.n") >= least * F.greatest("x.n", "y.n")) & (F.coalesce(apart, F.lit(0)) <= limit)
     left = x.join(y, (F.col("x.key") == F.col("y.key")) & near).select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct()
-    more = verified(left.join(tested.select("a", "b"), ["a", "b"], "left_anti")).where(F.col("similarity") >= least).select("a", "b", "similarity")
+    more = verified(left.join(seen, ["a", "b"], "left_anti")).where(F.col("similarity") >= least).select("a", "b", "similarity")
     if not more.isEmpty():
         links = links.unionByName(more)
-        roots = components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(more.select("a", "b")))
-    classed = sketched.select("id", "th", "node").join(roots, "node", "left").withColumn("class_key", F.coalesce("root", "node"))
-    return classed.select("id", "th", "node", "class_key"), links
+        roots = joined_roots(roots, more)
+    # a root is told of nodes with company only; texts without a word stay out of the join, where they would all meet
+    own = sketched.select("id", "th", "node")
+    classed = own.where("node IS NOT NULL").join(roots, "node", "left").withColumn("class_key", F.coalesce("root", "node"))
+    classed = classed.select("id", "th", "node", "class_key").unionByName(own.where("node IS NULL").withColumn("class_key", binary))
+    return classed, links
 
 
 def near_classes(docs: DataFrame, id: str = "doc_id", text: str = "text", **options) -> DataFrame:
@@ -304,8 +335,11 @@ def near_classes(docs: DataFrame, id: str = "doc_id", text: str = "text", **opti
     classed, _ = near_duplicates(docs, id=id, text=text, **options)
     classed = staged(classed)
     order = F.struct(F.col("id").isNull().alias("none"), "id", "th")
-    heads = classed.where("class_key IS NOT NULL").groupBy("class_key").agg(F.min(order).alias("head"), F.count(F.lit(1)).alias("size"))
-    all_rows = classed.join(heads, "class_key", "left")
+    some = classed.where("class_key IS NOT NULL")
+    heads = some.groupBy("class_key").agg(F.min(order).alias("head"), F.count(F.lit(1)).alias("size"))
+    all_rows = some.join(heads, "class_key")
+    none = [F.lit(None).cast(all_rows.schema[c].dataType).alias(c) for c in ("head", "size")]
+    all_rows = all_rows.unionByName(classed.where("class_key IS NULL").select("*", *none))
     alone = F.col("head").isNull()
     return all_rows.select(
         F.col("id").alias("doc_id"), "th", F.when(alone, F.col("id")).otherwise(F.col("head.id")).alias("class_id"),
