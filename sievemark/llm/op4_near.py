@@ -220,14 +220,17 @@ def components(links: DataFrame) -> DataFrame:
 
 
 def joined_roots(roots: DataFrame, links: DataFrame) -> DataFrame:
-    """(node, root) of every node after further links, whose ends are nodes; only their components' roots are looked at."""
+    """(root, up): the new root of each root whose component further links join; ``roots`` holds the (node, root) of the links' ends."""
     side = lambda c: roots.select(F.col("node").alias(c), F.col("root").alias(f"root_{c}"))
     between = links.select("a", "b").join(side("a"), "a").join(side("b"), "b").select(F.col("root_a").alias("a"), F.col("root_b").alias("b"))
-    up = components(between).select(F.col("node").alias("root"), F.col("root").alias("up"))
-    return staged(roots.join(up, "root", "left").select("node", F.coalesce("up", "root").alias("root")))
+    return components(between).select(F.col("node").alias("root"), F.col("root").alias("up"))
 
 
-def near_duplicates(docs: DataFrame, words: int = 5, least: float = 0.8, functions: int = 16, picks: int = 3, rounds: int = 8,
+def with_new_roots(rows: DataFrame, up: DataFrame) -> DataFrame:
+    return rows.join(up, "root", "left").withColumn("root", F.coalesce("up", "root")).drop("up")
+
+
+def near_duplicates(docs: DataFrame, words: int = 5, least: float = 0.8, functions: int = 16, picks: int = 3, rounds: int = 3,
                     id: str = "doc_id", text: str = "text") -> tuple[DataFrame, DataFrame]:
     """Rows (id, th, node, class_key) in place of the documents, and the verified links (a, b, similarity) between nodes.
 
@@ -282,26 +285,25 @@ def near_duplicates(docs: DataFrame, words: int = 5, least: float = 0.8, functio
     known = components(links)
     roots = staged(popular.select("node").join(known, "node", "left").select("node", F.coalesce("root", "node").alias("root")))
 
-    def still_open() -> DataFrame:
+    def still_open(own: DataFrame) -> DataFrame:
         """Rows of the buckets that hold several components."""
-        own = multi.select("key", "node", "n").join(roots, "node")
         several = own.groupBy("key").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x != y").select("key")
         return staged(own.join(several, "key"))
 
-    seen = tested.select("a", "b")
-    open_ = still_open()
+    open_ = still_open(multi.select("key", "node", "n").join(roots, "node"))
     for turn in range(rounds):
         sizes = open_.groupBy("key", "root").agg(F.count(F.lit(1)).alias("size"), F.min(F.struct(F.xxhash64("node", F.lit(turn)), "node", "n")).alias("head"))
         main = sizes.groupBy("key").agg(F.max_by(F.struct("root", "head"), F.struct("size", "root")).alias("m"))
         main = main.select("key", F.col("m.root").alias("main"), F.col("m.head.node").alias("pivot"), F.col("m.head.n").alias("pn"))
         outside = open_.join(main, "key").where((F.col("root") != F.col("main")) & (F.least("n", "pn") >= least * F.greatest("n", "pn")))
-        found = verified(outside.select(*pair("pivot", "node")).distinct().join(seen, ["a", "b"], "left_anti"))
-        more = staged(found.where(F.col("similarity") >= least).select("a", "b", "similarity"))
-        seen = seen.unionByName(found.select("a", "b"))
+        found = verified(outside.select(*pair("pivot", "node")).distinct())
+        more = found.where(F.col("similarity") >= least).select("a", "b", "similarity")
         if more.isEmpty():
             break
-        links, roots = links.unionByName(more), joined_roots(roots, more)
-        open_ = still_open()
+        up = joined_roots(open_.select("node", "root").distinct(), more)
+        links, roots = links.unionByName(more), with_new_roots(roots, up)
+        open_ = still_open(staged(with_new_roots(open_, up)))
+    roots = staged(roots)
     lone = texts.join(open_.select("node").distinct(), "node").select("node", "text").mapInArrow(_shingler(words), "node binary, shingle long")
     lone = lone.groupBy("shingle").agg(F.min("node").alias("node"), F.count(F.lit(1)).alias("k")).where("k = 1").groupBy("node").agg(F.count(F.lit(1)).alias("u"))
     measured = open_.join(pivots, "key").withColumns({"a": F.greatest("pivot", "node"), "b": F.least("pivot", "node")})
@@ -315,10 +317,10 @@ def near_duplicates(docs: DataFrame, words: int = 5, least: float = 0.8, functio
     near = (F.col("x.node") > F.col("y.node")) & (F.col("x.root") != F.col("y.root")) & (F.col("x.u") + F.col("y.u") <= limit)
     near &= (F.least("x.n", "y.n") >= least * F.greatest("x.n", "y.n")) & (F.coalesce(apart, F.lit(0)) <= limit)
     left = x.join(y, (F.col("x.key") == F.col("y.key")) & near).select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct()
-    more = verified(left.join(seen, ["a", "b"], "left_anti")).where(F.col("similarity") >= least).select("a", "b", "similarity")
+    more = verified(left.join(tested.select("a", "b"), ["a", "b"], "left_anti")).where(F.col("similarity") >= least).select("a", "b", "similarity")
     if not more.isEmpty():
         links = links.unionByName(more)
-        roots = joined_roots(roots, more)
+        roots = with_new_roots(roots, joined_roots(roots, more))
     # a root is told of nodes with company only; texts without a word stay out of the join, where they would all meet
     own = sketched.select("id", "th", "node")
     classed = own.where("node IS NOT NULL").join(roots, "node", "left").withColumn("class_key", F.coalesce("root", "node"))
