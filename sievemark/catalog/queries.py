@@ -581,6 +581,29 @@ def sus_columns(spark, folder):
     return issues.agg(F.count_distinct(F.get("affected_columns", F.lit(0))).alias("suspicious_columns"))
 
 
+@query("out_forest_nodes", "SELECT count(*) AS n, 100::BIGINT AS trees, 0::BIGINT AS other_scores, 0::BIGINT AS bad_nodes FROM lineitem")
+def out_forest(spark, folder):
+    """The forest as a node table: walking rows down it by joins gives the scores of the numpy walk, and every split has two children."""
+    from ..operators import iforest
+    from ..plans.local import durable
+
+    lines = table(spark, folder, "lineitem").select("l_quantity", "l_extendedprice", "l_discount", F.monotonically_increasing_id().alias("row"))
+    lines = durable(lines)
+    names = ["l_quantity", "l_extendedprice", "l_discount"]
+    ctx = TableContext(lines)
+    filled, points, plain = iforest.filled_points(ctx, names)
+    values = [f"v{i}" for i in range(3)]
+    nodes = durable(iforest.grow_forest(points, values, plain, ctx.count))
+    by_table = iforest.scores_by_table(ctx.rows.select(*filled, ctx.column("row").alias("row")), "row", values, nodes, ctx.count)
+    both = iforest.anomaly_scores(ctx, names, ["row"]).join(by_table.withColumnRenamed("anomaly", "again"), "row")
+    inner = nodes.where("feature >= 0")
+    children = inner.select("tree", F.explode(F.array(2 * F.col("node") + 1, 2 * F.col("node") + 2)).alias("node"))
+    bad = children.join(nodes, ["tree", "node"], "left_anti").count() + nodes.where("node > 0").join(children, ["tree", "node"], "left_anti").count()
+    return both.agg(
+        F.count(F.lit(1)).alias("n"), F.lit(nodes.select("tree").distinct().count()).cast("bigint").alias("trees"),
+        F.count_if(F.abs(F.col("anomaly") - F.col("again")) > 1e-9).alias("other_scores"), F.lit(bad).cast("bigint").alias("bad_nodes"))
+
+
 # ---- correlation, types ---------------------------------------------------------------
 @query("cor_pairs", D + f"SELECT col_a, col_b, round(r, 4) AS r FROM ({sql.pairs(COLS, TARGET)}) s")
 def cor_pairs(spark, folder):
@@ -1694,6 +1717,26 @@ def mlb_uplift(spark, folder):
         (F.col("clean").between(0, 1) & F.col("raw").between(0, 1)).alias("in_range"), F.lit(table(spark, folder, "labels").count()).cast("bigint").alias("n"))
 
 
+@query("mlb_importance_by_gain", "SELECT count(*) AS n, 0::BIGINT AS other_importances FROM labels l JOIN documents USING (doc_id)")
+def mlb_gains(spark, folder):
+    """A tree's feature importances are its splits' gains weighted by their rows, added up by feature: worked out from the node table."""
+    from ..operators import treetables
+    from ..operators.mlbench import estimator_for
+    from ..plans.local import durable, local_frame
+
+    ready = durable(_labelled_vectors(spark, folder))
+    fitted = estimator_for("classification", "decision_tree", 1)[1].fit(ready)
+    splits = treetables.node_table(fitted).where("feature IS NOT NULL")
+    weight = F.aggregate("stats", F.lit(0.0), lambda a, b: a + b)
+    own = splits.groupBy("feature").agg(F.sum(F.col("gain") * weight).alias("g"))
+    own = own.join(own.agg(F.sum("g").alias("all")).hint("broadcast")).select("feature", (F.col("g") / F.col("all")).alias("again"))  # one row
+    told = fitted.featureImportances
+    said = local_frame(spark, [{"feature": int(i), "said": float(told[int(i)])} for i in range(len(told)) if told[int(i)]], "feature int, said double")
+    both = own.join(said, "feature", "full")
+    other = both.agg(F.count_if(F.abs(F.coalesce("again", F.lit(0.0)) - F.coalesce("said", F.lit(0.0))) > 1e-9).alias("other_importances"))
+    return other.select(F.lit(ready.count()).cast("bigint").alias("n"), "other_importances")
+
+
 @query("mlb_importance_total", "SELECT round(1.0, 2)::DOUBLE AS total, count(*) AS n FROM labels")
 def mlb_importance(spark, folder):
     """Feature importances add up to one."""

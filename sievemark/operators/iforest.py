@@ -95,14 +95,35 @@ def grow_forest(points: DataFrame, names: Sequence[str], identity: Sequence[str]
     return chosen.select(*columns).groupBy("tree").applyInPandas(_grow, NODE_SCHEMA)
 
 
-def anomaly_scores(ctx: TableContext, names: Sequence[str], keep: Sequence[str] = ()) -> DataFrame:
-    """Isolation score in (0, 1) per row (column ``anomaly``), plus the kept columns."""
+def filled_points(ctx: TableContext, names: Sequence[str]) -> tuple[list[Column], DataFrame, list[str]]:
+    """The forest's inputs (v0, v1, ..., nulls as medians), and the table with them and the columns that tell a row's content."""
     ctx.quantiles(names)
     filled = [
         F.coalesce(ctx.number(n), F.lit(ctx.stats[n].get("median", 0.0))).alias(f"v{i}") for i, n in enumerate(names)
     ]
     plain = [c for n in ctx.names if ctx.stats[n].kind != "other" for c in [f"c{ctx.stats[n].position}"]]
-    points = ctx.rows.select(*filled, *plain)
+    return filled, ctx.rows.select(*filled, *plain), plain
+
+
+def scores_by_table(points: DataFrame, row: str, values: Sequence[str], nodes: DataFrame, count: int) -> DataFrame:
+    """(row, anomaly) from the forest's node table alone: rows are walked down the levels of all trees by joins.
+
+    One join a level on tree and node with a table of a few thousand rows; what ``anomaly_scores`` does in numpy, said in
+    relations.  ``row`` names a column that tells rows apart.
+    """
+    here = points.select(row, F.array(*[F.col(v) for v in values]).alias("_x")).join(nodes.select("tree").distinct()).withColumn("node", F.lit(0))
+    inner = nodes.where("feature >= 0").select("tree", "node", "feature", "cut")
+    for _ in range(math.ceil(math.log2(SAMPLE))):
+        right = F.when(F.get("_x", "feature") > F.col("cut"), 1).otherwise(0)
+        here = here.join(inner, ["tree", "node"], "left").withColumn("node", F.when(F.col("feature").isNull(), F.col("node")).otherwise(2 * F.col("node") + 1 + right)).drop("feature", "cut")
+    reached = here.join(nodes.where("feature < 0").select("tree", "node", "path"), ["tree", "node"])
+    usual = expected_depth(min(SAMPLE, count)) or 1.0
+    return reached.groupBy(row).agg(F.pow(F.lit(2.0), -F.avg("path") / usual).alias("anomaly"))
+
+
+def anomaly_scores(ctx: TableContext, names: Sequence[str], keep: Sequence[str] = ()) -> DataFrame:
+    """Isolation score in (0, 1) per row (column ``anomaly``), plus the kept columns."""
+    filled, points, plain = filled_points(ctx, names)
     values = [f"v{i}" for i in range(len(names))]
     nodes = grow_forest(points, values, plain, ctx.count).toArrow().to_pandas()
     trees = sorted(nodes["tree"].unique())

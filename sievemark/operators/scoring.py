@@ -123,19 +123,19 @@ def alerts(scores: DataFrame, issues: DataFrame) -> DataFrame:
     repeats = metric["exact_duplicates_count"].try_cast("bigint")
     cases = [
         ("missing_values", missing_pct > 0, missing_pct,
-         F.format_string("%s%% missing values across %s columns", missing_pct, metric["columns_with_missing"])),
+         F.format_string("%s%% of all cells are empty; %s columns have gaps", missing_pct, metric["columns_with_missing"])),
         ("duplicate_rows", repeats > 0, repeats.cast("double"),
-         F.format_string("%s duplicate rows (%s%%)", repeats, metric["exact_duplicates_percentage"])),
+         F.format_string("%s rows repeat earlier ones exactly (%s%%)", repeats, metric["exact_duplicates_percentage"])),
         ("class_imbalance", F.col("severe"), metric["minority_pct"].try_cast("double"),
-         F.format_string("Severe class imbalance (ratio %s, minority %s%%)", metric["imbalance_ratio"], metric["minority_pct"])),
+         F.format_string("The classes differ in size by %s, the smallest holds %s%% of the rows", metric["imbalance_ratio"], metric["minority_pct"])),
         ("data_leakage", F.col("leaks") > 0, F.col("leaks").cast("double"),
-         F.format_string("Critical data leakage in %s", F.col("leak_names"))),
+         F.format_string("The target can be read off %s", F.col("leak_names"))),
         ("outliers", F.col("extremes") > 0, F.col("extremes").cast("double"),
-         F.format_string("Extreme outliers in %s columns", F.col("extremes"))),
+         F.format_string("%s columns hold values far from all others", F.col("extremes"))),
         ("suspicious_values", F.col("touched") > 0, F.col("touched").cast("double"),
          F.format_string("%s columns hold sentinels or impossible values", F.col("touched"))),
         ("high_correlation", F.col("found") > 0, F.col("found").cast("double"),
-         F.format_string("%s highly correlated column pairs", F.col("found"))),
+         F.format_string("%s pairs of columns say nearly the same", F.col("found"))),
         ("data_types", F.col("mistyped") > 0, F.col("mistyped").cast("double"),
          F.format_string("%s columns store amounts or dates as text", F.col("mistyped"))),
         ("constant_columns", F.col("constants") > 0, F.col("constants").cast("double"),
