@@ -138,7 +138,7 @@ def _sketcher(words: int, functions: int, picks: int, least: float):
     return run
 
 
-CELLS = 32
+CELLS = 128
 
 
 def compared(a: np.ndarray, b: np.ndarray, least: float) -> tuple[float, tuple[list[int], list[int]]]:
@@ -230,7 +230,7 @@ def with_new_roots(rows: DataFrame, up: DataFrame) -> DataFrame:
     return rows.join(up, "root", "left").withColumn("root", F.coalesce("up", "root")).drop("up")
 
 
-def near_duplicates(docs: DataFrame, words: int = 5, least: float = 0.8, functions: int = 16, picks: int = 3, rounds: int = 3,
+def near_duplicates(docs: DataFrame, words: int = 5, least: float = 0.8, functions: int = 16, picks: int = 3, rounds: int = 2,
                     id: str = "doc_id", text: str = "text") -> tuple[DataFrame, DataFrame]:
     """Rows (id, th, node, class_key) in place of the documents, and the verified links (a, b, similarity) between nodes.
 
