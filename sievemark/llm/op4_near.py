@@ -246,7 +246,8 @@ def near_duplicates(docs: DataFrame, words: int = 5, least: float = 0.8, functio
     unless the first round proves them too far apart.  What a text has and its pivot has not, and the other way round, is
     counted in cells by hash: two texts with the same pivot differ in at least as many shingles as their cells do in all,
     and in at least those that no other such text has; ``least`` allows (a + b) * (1 - least) / (1 + least).  These bounds
-    leave out no link, and the pairing looks at all that the rounds left, so nothing is capped.  Texts without a word
+    leave out no link, and the pairing looks at all that the rounds left, so nothing is capped.  A pair of several common
+    buckets is met in that of their least common key only.  Texts without a word
     have no node and no class.
     """
     rows = keyed(docs, id, text)
@@ -311,12 +312,14 @@ def near_duplicates(docs: DataFrame, words: int = 5, least: float = 0.8, functio
     cells = F.when(F.col("node") == F.col("pivot"), F.array_repeat(F.lit(0), 2 * CELLS))
     cells = cells.when(F.col("node") == F.col("a"), F.concat("only_a", "only_b")).otherwise(F.concat("only_b", "only_a"))
     measured = staged(measured.select("key", "node", "n", "root", F.coalesce("u", F.lit(0)).alias("u"), cells.alias("cells")).where(F.col("u") <= (1 - least) * F.col("n") + 1e-6))
+    measured = measured.join(measured.groupBy("node").agg(F.collect_list("key").alias("keys")), "node")
     x, y = measured.alias("x"), measured.alias("y")
     limit = allowed * (F.col("x.n") + F.col("y.n")) + 1e-6
     apart = F.aggregate(F.zip_with("x.cells", "y.cells", lambda p, q: F.abs(p - q)), F.lit(0), lambda t, v: t + v)
     near = (F.col("x.node") > F.col("y.node")) & (F.col("x.root") != F.col("y.root")) & (F.col("x.u") + F.col("y.u") <= limit)
     near &= (F.least("x.n", "y.n") >= least * F.greatest("x.n", "y.n")) & (F.coalesce(apart, F.lit(0)) <= limit)
-    left = x.join(y, (F.col("x.key") == F.col("y.key")) & near).select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct()
+    near &= F.col("x.key") == F.array_min(F.array_intersect("x.keys", "y.keys"))
+    left = x.join(y, (F.col("x.key") == F.col("y.key")) & near).select(F.col("x.node").alias("a"), F.col("y.node").alias("b"))
     more = verified(left.join(tested.select("a", "b"), ["a", "b"], "left_anti")).where(F.col("similarity") >= least).select("a", "b", "similarity")
     if not more.isEmpty():
         links = links.unionByName(more)

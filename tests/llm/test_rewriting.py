@@ -110,6 +110,12 @@ def test_near_duplicates(spark):
     assert all(r["class_size"] == sizes[r["class_id"]] and r["kept"] == (r["doc_id"] == r["class_id"]) for r in found.values())
 
 
+def test_near_duplicates_without_rounds(spark):
+    """What the pivot rounds find, the pairing of all that they would leave finds as well."""
+    classes = lambda n: {r["doc_id"]: r["class_id"] for r in collected(op4_near.near_classes(frame(spark, near_rows()), rounds=n))}
+    assert classes(0) == classes(3)
+
+
 def test_near_duplicates_of_odd_rows(spark):
     found = collected(op4_near.near_classes(frame(spark)))
     assert ids(found) == ids([{"doc_id": r[0]} for r in TEXTS])
