@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.expr import percent
 from ..plans.context import TableContext
+from ..plans.heavy import heavy_values
 from ..plans.local import local_frame
 
 SAMPLES, TOP_SHOWN, BINS = 5, 3, 30
@@ -60,10 +61,13 @@ def numeric_summary(ctx: TableContext) -> DataFrame:
 def frequent_values(ctx: TableContext, k: int = TOP_SHOWN, kinds=("string", "datetime")) -> DataFrame:
     """The k most frequent values per column, ties by value: column, place, value, cnt."""
     names = ctx.of_kind(*kinds)
-    ctx.distinct(names, tops=True)
+    unknown = [n for n in names if "tops" not in ctx.stats[n].values]
+    found = heavy_values(ctx.rows, {n: ctx.column(n) for n in unknown}, k)
+    ctx.distinct([n for n in unknown if n not in found], tops=True)
+    found |= {n: ctx.stats[n]["tops"][:k] for n in names if n not in found}
     rows = [
         {"position": ctx.stats[n].position, "column": n, "place": i + 1, "value": v, "cnt": c}
-        for n in names for i, (v, c) in enumerate(ctx.stats[n]["tops"][:k])
+        for n in names for i, (v, c) in enumerate(found[n])
     ]
     return local_frame(ctx.spark, rows, "position bigint, `column` string, place int, value string, cnt bigint")
 

@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 from ..functions import fixed
 from ..functions.expr import as_number, fold_missing, is_floating, kind_of, quoted, strip
+from .heavy import heavy_values
 from .local import local_frame
 from .quantiles import BUFFER_LIMIT, exact_quantiles
 from .repeats import surplus_rows
@@ -307,11 +308,14 @@ class TableContext:
 
 def most_frequent(ctx: TableContext, names: Sequence[str]) -> dict[str, str]:
     """Most frequent value per column as text, the smallest on a tie; columns without values are left out."""
+    heavy = heavy_values(ctx.rows, {n: ctx.column(n) for n in names}, 1)
+    known = {n: tops[0][0] for n, tops in heavy.items() if tops}
+    names = [n for n in names if n not in heavy]
     if not names:
-        return {}
+        return known
     counted = ctx.frequencies(names)
     best = counted.groupBy("position").agg(F.min_by("value", F.struct(-F.col("cnt"), F.col("value"))).alias("value"))
-    return {ctx.names[int(r["position"])]: r["value"] for r in best.collect()}
+    return known | {ctx.names[int(r["position"])]: r["value"] for r in best.collect()}
 
 
 def top_values(counted: DataFrame, group: str, k: int) -> DataFrame:
