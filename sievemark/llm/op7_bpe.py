@@ -60,6 +60,10 @@ class Bpe:
     def __getstate__(self):
         return self.__dict__ | {"words": {}, "chunks": {}, "old_words": {}, "old_chunks": {}, "prepare": None}
 
+    def forget(self):
+        """Give the caches back: a worker outlives its task, and would hold them while other stages need the memory."""
+        self.words, self.chunks, self.old_words, self.old_chunks = {}, {}, {}, {}
+
     def fragments_of(self, word: str) -> list[str]:
         cuts = [i for i in range(1, len(word)) if word[i - 1:i + 1] not in self.joined]
         return [word[a:b] for a, b in zip([0, *cuts], [*cuts, len(word)])]
@@ -173,6 +177,8 @@ def _coder(shared, digests: bool):
                         pa.Array.from_buffers(pa.uint32(), sum(len(ids) // 4 for ids, _ in coded), [None, pa.py_buffer(b"".join(ids for ids, _ in coded))]).cast(pa.int32()))
                     rest = [lists, pa.array([text.decode() for _, text in coded], pa.string())]
                 yield pa.RecordBatch.from_arrays([part["_row"], n, *rest], names=["_row", "n_tokens", "ids", "decoded"])
+        bpe.forget()
+        pa.default_memory_pool().release_unused()
 
     return code
 
