@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from sievemark import audit
+from sievemark.operators import scoring
 from sievemark.operators.iforest import anomaly_scores
 from sievemark.operators.mlbench import benchmark, detect_task
 from sievemark.operators.repair import repair
@@ -238,3 +239,10 @@ def test_no_local_folder_on_a_cluster(spark, monkeypatch):
 
     with pytest.raises(ValueError, match="spark.checkpoint.dir"):
         local.shared_folder(Session())
+
+
+@pytest.mark.parametrize("order", [(0, 1, 2, 3, 4), (4, 3, 2, 1, 0), (2, 0, 4, 1, 3), (3, 4, 0, 2, 1), (1, 4, 2, 0, 3)])
+def test_overall_score_does_not_depend_on_the_order_of_its_parts(spark, order):
+    parts = (16.75, 14.26, 14.66, 11.4, 19.38)
+    rows = spark.createDataFrame([(parts[i],) for i in order], "weighted_score double").coalesce(1)
+    assert scoring.overall_score(rows).first()["overall_score"] == 76.5
