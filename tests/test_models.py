@@ -10,7 +10,7 @@ from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
-from sievemark.operators import curves, logistic, treetables
+from sievemark.operators import countedtree, curves, logistic, mlbench, treetables
 from sievemark.operators.mlbench import Encoding, fit_baseline, numbered_classes, prepare, split
 from sievemark.operators.repair import repair
 from sievemark.plans import strata
@@ -160,3 +160,60 @@ def test_rows_of_every_stage_in_one_pass(spark):
         wanted.append(len(left))
     assert found == wanted and done.frame.count() == wanted[-1]
     assert [r["rows_after"] for r in repair(made.where("false"), actions, "t", order_by=["o"]).stage_rows().collect()] == [0] * 5
+
+
+def test_large_classes_are_split_without_being_dealt_by_class(spark, monkeypatch):
+    monkeypatch.setattr(strata, "NARROW", 50)
+    kept = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        made = spark.range(2000).selectExpr("CASE WHEN id < 1500 THEN 'hot' WHEN id < 1900 THEN 'warm' WHEN id < 1990 THEN NULL ELSE concat('k', id % 4) END AS c", "id % 7 AS x")
+        found = split(made, "c")
+        plan = found._jdf.queryExecution().executedPlan().toString()
+        counts = {r["c"]: (r["n"], r["t"]) for r in found.groupBy("c").agg(F.count("*").alias("n"), F.count_if("train").alias("t")).collect()}
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", kept)
+    assert "SortMergeJoin" not in plan
+    assert counts == {"hot": (1500, 1125), "warm": (400, 300), None: (90, 68), "k0": (2, 2), "k1": (2, 2), "k2": (3, 2), "k3": (3, 2)}
+
+
+def test_wide_vectors_describe_no_slot_on_the_driver(spark, monkeypatch):
+    monkeypatch.setattr(mlbench, "OneHotEncoder", None)  # it makes an attribute a slot
+    rows = spark.createDataFrame([(float(i), f"a{i:05d}", "even" if i % 2 == 0 else "odd") for i in range(10_500)], "x double, name string, kind string")
+    columns, encoding = mlbench.prepare(rows, ["x", "name", "kind"])
+    ready = rows.select("x", *columns)
+    encoded = encoding.fit(ready)
+    extra = ready.limit(1).select(F.lit(0.0).alias("x"), F.lit(5249.5).alias("n_x"), F.lit("new").alias("t_name"), F.lit("odd").alias("t_kind"))
+    coded = encoded.transform(ready.unionByName(extra))
+    assert len(coded.schema.json()) < 2000
+    got = {(r["x"], r["t_name"]): r["features"] for r in coded.where("x < 3").collect()}
+    assert encoded.size == 10_503 and all(v.size == 10_503 for v in got.values())
+    assert [list(got[i, f"a{i:05.0f}"].indices) for i in (0.0, 1.0, 2.0)] == [[0, 1, 10_501], [0, 2, 10_502], [0, 3, 10_501]]
+    assert list(got[0.0, "new"].indices) in ([0, 10_502], [10_502]) and got[0.0, "new"].values[-1] == 1.0
+    assert got[1.0, "a00001"].values[0] == pytest.approx((1 - 5249.5) / np.std(np.arange(10_500), ddof=1))
+
+
+def test_counted_tree_takes_the_best_split_and_any_number_of_classes(spark):
+    """Against all splits of the first node by hand, and the library's tree where both can be grown."""
+    draw = np.random.default_rng(3)
+    data = [(float(draw.integers(0, 12)), float(draw.integers(0, 20)), "abc"[draw.integers(0, 3)]) for _ in range(400)]
+    rows = [(float((a > 6) * 4 + (t == "b") * 2 + (b > 15)), a, b, t) for a, b, t in data]
+    made = spark.createDataFrame(rows, "label double, a double, b double, t string")
+    tree = countedtree.grow(made, ["a", "b"], ["t"], depth=3)
+
+    def gini(labels):
+        return 1 - sum((labels.count(v) / len(labels)) ** 2 for v in set(labels))
+
+    def gain(test):
+        left, right = [r[0] for r in rows if test(r)], [r[0] for r in rows if not test(r)]
+        return gini([r[0] for r in rows]) - (len(left) * gini(left) + len(right) * gini(right)) / len(rows) if left and right else 0
+
+    best = max([gain(lambda r: r[k] < c) for k in (1, 2) for c in range(1, 20)] + [gain(lambda r: r[3] != v) for v in "abc"])
+    assert tree.splits[0].gain == pytest.approx(best)
+    assert made.where(tree.label() == F.col("label")).count() == 400  # three splits tell all classes apart
+    assert sum(tree.importances().values()) == pytest.approx(1.0)
+    many = spark.range(3000).selectExpr("concat('c', id % 1500) AS who", "CAST(id % 1500 AS DOUBLE) AS x")
+    fit = mlbench.fit_baseline(many, "who", "classification", False, "decision_tree")
+    # each class has two rows, both in training, so all rows judge: 64 leaves name 64 of 1,500 classes
+    assert fit.judged_on == "training rows" and fit.importances == {"x": 1.0}
+    assert 32 / 1500 <= fit.metrics["accuracy"] + 5e-5 and fit.metrics["accuracy"] <= 64 / 1500 + 5e-5
