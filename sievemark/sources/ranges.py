@@ -17,10 +17,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..plans.local import shared_folder
+from ..plans.local import shared_folder, stored
 
 PLACE = "file string, block long"
-WHOLE, PART = 0, 1
+#: States of at most so many ranges are broadcast.
+FEW_RANGES = 500_000
 
 
 def pieces_of(spark: SparkSession, path: str, separator: str) -> DataFrame:
@@ -49,27 +50,34 @@ def _durable(frame: DataFrame) -> DataFrame:
     return frame.sparkSession.read.schema(frame.schema).parquet(path)
 
 
-CUT = f"{PLACE}, line long, begins boolean, first boolean, broken boolean, record binary"
+CUT = f"{PLACE}, line long, begins boolean, first boolean, broken boolean, complete boolean, record binary"
 
 
 def _sent(rows: list[tuple]) -> pa.RecordBatch:
-    kinds = [pa.string(), pa.int64(), pa.int64(), pa.bool_(), pa.bool_(), pa.bool_(), pa.binary()]
-    names = ["file", "block", "line", "begins", "first", "broken", "record"]
+    kinds = [pa.string(), pa.int64(), pa.int64(), pa.bool_(), pa.bool_(), pa.bool_(), pa.bool_(), pa.binary()]
+    names = ["file", "block", "line", "begins", "first", "broken", "complete", "record"]
     return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], kind) for k, kind in enumerate(kinds)], names=names)
 
 
 def _records(pieces: DataFrame, states: DataFrame, cutter) -> DataFrame:
     """(first, broken, record): records inside a range, and those put together from the parts that ranges hold of them.
 
-    The states are one row a range; Spark broadcasts them if they are small and else deals the pieces out by range.
+    The states are one row a range and broadcast, so every range is cut where it is read and in its order; beyond FEW_RANGES
+    Spark chooses the join and the pieces are put in order again.  The ranges are cut once and what is found is kept in
+    Parquet, however often the records are read.
     """
-    placed = pieces.drop("size").join(states, ["file", "block"]).sortWithinPartitions("file", "block", "line")
+    if states.count() <= FEW_RANGES:
+        placed = pieces.drop("size").join(F.broadcast(states), ["file", "block"])
+    else:
+        placed = pieces.drop("size").join(states, ["file", "block"]).sortWithinPartitions("file", "block", "line")
+    found = stored(placed.mapInArrow(cutter, CUT))
     order = Window.partitionBy("file").orderBy("block", "line")
-    parts = placed.mapInArrow(cutter(PART), CUT).withColumn("number", F.sum(F.col("begins").cast("long")).over(order))
+    parts = found.where("NOT complete").withColumn("number", F.sum(F.col("begins").cast("long")).over(order))
     parts = parts.groupBy("file", "number").agg(
         F.bool_or("first").alias("first"), F.first("broken").alias("broken"), F.sort_array(F.collect_list(F.struct("block", "line", "record"))).alias("p"))
     glue = F.aggregate("p", F.lit(b""), lambda done, p: F.concat(done, p["record"]))
-    return placed.mapInArrow(cutter(WHOLE), CUT).select("first", "broken", "record").unionByName(parts.select("first", "broken", glue.alias("record")))
+    parts = stored(parts.select("first", "broken", glue.alias("record")))
+    return found.where("complete").select("first", "broken", "record").unionByName(parts)
 
 
 # ---- CSV --------------------------------------------------------------------------
@@ -110,40 +118,38 @@ def _csv_effects(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_pydict({"file": [file], "block": [block], "line": [rows["line"][0].as_py()], "out": [out], "inside": [inside], "broken": [broken]})
 
 
-def _csv_cutter(wanted: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, held, whole, inside, at_start, broken, made = None, [], True, False, False, False, []
-
-        def ended(done: bool) -> list[tuple]:
-            """What is held, if it is of the wanted kind; a part keeps the line break at its end."""
-            if not held or (whole and done) != (wanted == WHOLE):
-                return []
-            text = b"\n".join(x for _, x in held)
-            if whole and done and not text.strip():
-                return []
-            return [(*key, held[0][0], whole, whole and at_start, broken, text if done else text + b"\n")]
-
-        for place, rows in _stretches(batches):
-            if place != key:
-                made += ended(False)
-                key, held = place, []
-                inside, broken = rows["started"][0].as_py(), rows["broken"][0].as_py()
-                whole, at_start = not inside, place[1] == 0
-            for number, line in zip(rows["line"].to_pylist(), rows["piece"].to_pylist()):
-                held.append((number, line))
-                inside = inside_after(line, inside)
-                if not inside:
-                    made += ended(True)
-                    at_start = at_start and not b"".join(x for _, x in held).strip()
-                    held, whole = [], True
-            if len(made) >= 1000:
-                yield _sent(made)
-                made = []
-        made += ended(False)
-        if made:
+def _csv_cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Records and parts of records of every range."""
+    key, held, whole, inside, at_start, broken, made = None, [], True, False, False, False, []
+
+    def ended(done: bool) -> list[tuple]:
+        """What is held; a part keeps the line break at its end."""
+        if not held:
+            return []
+        text = b"\n".join(x for _, x in held)
+        if whole and done and not text.strip():
+            return []
+        return [(*key, held[0][0], whole, whole and at_start, broken, whole and done, text if done else text + b"\n")]
+
+    for place, rows in _stretches(batches):
+        if place != key:
+            made += ended(False)
+            key, held = place, []
+            inside, broken = rows["started"][0].as_py(), rows["broken"][0].as_py()
+            whole, at_start = not inside, place[1] == 0
+        for number, line in zip(rows["line"].to_pylist(), rows["piece"].to_pylist()):
+            held.append((number, line))
+            inside = inside_after(line, inside)
+            if not inside:
+                made += ended(True)
+                at_start = at_start and not b"".join(x for _, x in held).strip()
+                held, whole = [], True
+        if len(made) >= 1000:
             yield _sent(made)
-
-    return run
+            made = []
+    made += ended(False)
+    if made:
+        yield _sent(made)
 
 
 def csv_records(spark: SparkSession, path: str, quotes: bool = True) -> DataFrame:
@@ -169,7 +175,7 @@ def csv_records(spark: SparkSession, path: str, quotes: bool = True) -> DataFram
     states = effects.withColumns({"started": started, "broken": F.max("broken").over(Window.partitionBy("file"))})
     # a range that reached Python in several batches is several stretches: the first tells its state
     states = states.groupBy("file", "block").agg(F.min_by("started", "line").alias("started"), F.first("broken").alias("broken"))
-    return _records(lines, _durable(states), _csv_cutter)
+    return _records(lines, _durable(states), _csv_cut)
 
 
 def decoded(record: Column, broken: Column, encoding: str | None, fallback: str) -> Column:
@@ -216,42 +222,39 @@ def _json_effects(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
             names=["file", "block", "line", "size", "bytes", "array", "out", "inside", "grown_out", "grown_inside"])
 
 
-def _json_cutter(wanted: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, held, whole, inside, depth, base, at, made = None, [], True, False, 0, 0, 0, []
-
-        def ended(done: bool) -> list[tuple]:
-            if not held or (whole and done) != (wanted == WHOLE):
-                return []
-            return [(*key, at, whole, False, False, b"}".join([*held, b""]).replace(b"\n", b" ").replace(b"\r", b" "))]
-
-        for place, rows in _stretches(batches):
-            if place != key:
-                made += ended(False)
-                key, held = place, []
-                inside, depth, base = (rows[c][0].as_py() for c in ("started", "depth", "base"))
-                whole = not inside and depth <= base
-            for number, piece in zip(rows["line"].to_pylist(), rows["piece"].to_pylist()):
-                if whole and not held:  # between values
-                    start = BETWEEN.match(piece).end()
-                    depth += piece.count(b"[", 0, start) - piece.count(b"]", 0, start)
-                    piece, at = piece[start:], number
-                    if not piece:
-                        continue  # what follows the last value
-                held.append(piece)
-                inside, grown = nested(piece, inside)
-                depth += grown
-                if not inside and depth <= base:
-                    made += ended(True)
-                    held, whole = [], True
-            if len(made) >= 1000:
-                yield _sent(made)
-                made = []
-        made += ended(False)
-        if made:
+def _json_cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    key, held, whole, inside, depth, base, at, made = None, [], True, False, 0, 0, 0, []
+
+    def ended(done: bool) -> list[tuple]:
+        if not held:
+            return []
+        return [(*key, at, whole, False, False, whole and done, b"}".join([*held, b""]).replace(b"\n", b" ").replace(b"\r", b" "))]
+
+    for place, rows in _stretches(batches):
+        if place != key:
+            made += ended(False)
+            key, held = place, []
+            inside, depth, base = (rows[c][0].as_py() for c in ("started", "depth", "base"))
+            whole = not inside and depth <= base
+        for number, piece in zip(rows["line"].to_pylist(), rows["piece"].to_pylist()):
+            if whole and not held:  # between values
+                start = BETWEEN.match(piece).end()
+                depth += piece.count(b"[", 0, start) - piece.count(b"]", 0, start)
+                piece, at = piece[start:], number
+                if not piece:
+                    continue  # what follows the last value
+            held.append(piece)
+            inside, grown = nested(piece, inside)
+            depth += grown
+            if not inside and depth <= base:
+                made += ended(True)
+                held, whole = [], True
+        if len(made) >= 1000:
             yield _sent(made)
-
-    return run
+            made = []
+    made += ended(False)
+    if made:
+        yield _sent(made)
 
 
 def json_records(spark: SparkSession, path: str) -> str:
@@ -276,7 +279,7 @@ def json_records(spark: SparkSession, path: str) -> str:
     if bad[1]:
         raise ValueError(f"{bad[1]} files end inside a JSON value, {bad[0]} for one")
     states = _durable(effects.groupBy("file", "block").agg(*[F.min_by(c, "line").alias(c) for c in ("started", "depth", "base")]))
-    whole = _records(pieces, states, _json_cutter)
+    whole = _records(pieces, states, _json_cut)
     folder = shared_folder(spark, "records")
     whole.select(F.col("record").cast("string").alias("value")).write.text(folder)
     return folder

@@ -7,7 +7,7 @@ import random
 
 import pytest
 
-from sievemark.sources.ranges import inside_after, nested
+from sievemark.sources.ranges import csv_records, inside_after, nested
 from sievemark.sources.readers import column_names, read_csv, read_json
 
 CELLS = ["plain", "", "with, comma", 'say ""twice""', "two\nlines", "dos\r\nlines", 'quote " inside', "\n", '"', '""', "end\n", "é漢", " blank ", ",", '",\n"', "a" * 90]
@@ -150,3 +150,11 @@ def test_json_that_ends_too_soon_is_an_error(spark, tmp_path, range_size, text):
         range_size(size)
         with pytest.raises(ValueError, match="bad.json"):
             read_json(spark, str(tmp_path))
+
+
+def test_ranges_are_cut_once_however_often_the_records_are_read(spark, tmp_path):
+    (tmp_path / "a.csv").write_bytes(b'k,t\n1,"x\ny"\n2,z\n')
+    found = csv_records(spark, str(tmp_path / "a.csv"))
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "MapInArrow" not in plan and "Sort" not in plan
+    assert sorted(bytes(r["record"]) for r in found.collect()) == [b'1,"x\ny"', b"2,z", b"k,t"]
