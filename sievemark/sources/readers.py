@@ -16,7 +16,7 @@ from pyspark.sql import types as T
 from ..functions.expr import quoted, strip
 from ..functions.fixed import NA_TOKENS, NUMBER_PATTERN
 from ..operators.rules import RULE_SCHEMA, Rule, rules_from
-from .ranges import csv_records, decoded, json_records
+from .ranges import csv_records, decoded, json_records, pieces_of
 
 
 class EmptyInput(ValueError):
@@ -30,17 +30,46 @@ class Look:
     files: int
     broken: bool  # bytes that are not UTF-8
     odd_quotes: bool  # a line that ends inside quotes
-    objects: bool  # every filled line is a whole JSON object
 
 
 def look(spark: SparkSession, path: str) -> Look:
     """One aggregate over all lines; a single row reaches the driver, however many files there are."""
-    line, bare = F.col("value"), F.trim(F.col("value"))
+    line = F.col("value")
     quotes = F.length(line) - F.length(F.replace(line, F.lit('"')))
     row = spark.read.text(path).select("value").agg(
-        F.count(F.lit(1)), F.bool_or(~F.is_valid_utf8("value")), F.bool_or(quotes % 2 == 1),
-        F.bool_and(F.when(bare != "", bare.startswith("{") & bare.endswith("}")))).collect()[0]
-    return Look(row[0], bool(row[1]), bool(row[2]), bool(row[3]))
+        F.count(F.lit(1)), F.bool_or(~F.is_valid_utf8("value")), F.bool_or(quotes % 2 == 1)).collect()[0]
+    return Look(row[0], bool(row[1]), bool(row[2]))
+
+
+def json_lines(spark: SparkSession, path: str) -> bool | None:
+    """Whether every filled line of all files begins and ends as a JSON object; None if there is nothing to read.
+
+    A line may be a whole file, so none is read whole: files are cut after closing braces, as ``ranges.json_records`` cuts
+    them.  A line break then has blanks only between it and the brace before it, and an object's start behind it; a file
+    begins so too, and what follows its last brace is blank.  A single row reaches the driver.
+    """
+    text, blanks = F.col("piece").cast("string"), F.lit(" \r\n")
+    pieces = pieces_of(spark, path, "}").select(
+        "file", "size", F.struct("block", "line").alias("place"), F.octet_length("piece").alias("bytes"),
+        text.rlike(r"[\r\n]").alias("breaks"), F.ltrim(text, blanks).alias("rest"))
+    starts = F.col("rest").startswith("{") & ~F.col("rest").rlike(r"[\r\n]")
+    empty = F.col("rest") == ""
+    pieces = pieces.select("file", "size", "place", "bytes", "breaks", starts.alias("starts"), empty.alias("empty"))
+    files = pieces.groupBy("file").agg(
+        (F.sum("bytes") + F.count(F.lit(1)) - F.first("size")).alias("over"),
+        F.bool_and(~F.col("breaks") | F.col("starts") | F.col("empty")).alias("fit"),
+        F.min_by(F.col("starts") | F.col("empty"), "place").alias("begun"),
+        F.max_by("empty", "place").alias("ended"), F.max_by(F.col("breaks") & F.col("empty"), "place").alias("last"),
+        F.count_if(F.col("breaks") & F.col("empty")).alias("bare"))
+    # only a file's last piece may lack a brace; a byte order mark isn't read, a compressed file's size tells nothing
+    whole = F.when(F.col("over").isin(1, -2), F.col("ended") & (F.col("bare") == F.col("last").cast("long"))).when(F.col("over").isin(0, -3), F.col("bare") == 0)
+    row = files.agg(F.count(F.lit(1)), F.bool_and(F.col("fit") & F.col("begun") & F.coalesce(whole, F.lit(True))), F.count_if(whole.isNull())).collect()[0]
+    if not row[0]:
+        return None
+    if row[1] and row[2]:
+        bare = F.trim(F.col("value"))
+        return bool(spark.read.text(path).agg(F.bool_and(F.when(bare != "", bare.startswith("{") & bare.endswith("}")))).collect()[0][0])
+    return row[1]
 
 
 #: Encodings in which line breaks, commas and quotes are the bytes that ASCII has for them, and no other letter's.
@@ -89,7 +118,7 @@ def read_csv(
     only integers, numbers or booleans.
     """
     ascii_like = encoding is None or re.sub("[^a-z0-9]", "", encoding.lower()) in ASCII_LIKE
-    found = Look(1, False, bool(multi_line), False) if encoding is not None and multi_line is not None else look(spark, path)
+    found = Look(1, False, bool(multi_line)) if encoding is not None and multi_line is not None else look(spark, path)
     if not found.files:
         raise EmptyInput(f"{path} holds no rows")
     quotes = found.odd_quotes if multi_line is None else multi_line
@@ -113,10 +142,10 @@ def read_json(spark: SparkSession, path: str, schema: T.StructType | str | None
     by many tasks, and written as JSON Lines to the shared folder (``ranges.json_records``).  A file that ends inside a
     value is an error; what is no object is left to Spark's reader, as a corrupt record.
     """
-    found = look(spark, path)
-    if not found.files:
+    lines = json_lines(spark, path)
+    if lines is None:
         raise EmptyInput(f"{path} holds no rows")
-    return spark.read.json(path if found.objects else json_records(spark, path), schema=schema, **options)
+    return spark.read.json(path if lines else json_records(spark, path), schema=schema, **options)
 
 
 def _typed(text: DataFrame) -> DataFrame:

@@ -8,7 +8,7 @@ import random
 import pytest
 
 from sievemark.sources.ranges import csv_records, inside_after, nested
-from sievemark.sources.readers import column_names, read_csv, read_json
+from sievemark.sources.readers import column_names, json_lines, read_csv, read_json
 
 CELLS = ["plain", "", "with, comma", 'say ""twice""', "two\nlines", "dos\r\nlines", 'quote " inside', "\n", '"', '""', "end\n", "é漢", " blank ", ",", '",\n"', "a" * 90]
 
@@ -158,3 +158,44 @@ def test_ranges_are_cut_once_however_often_the_records_are_read(spark, tmp_path)
     plan = found._jdf.queryExecution().executedPlan().toString()
     assert "MapInArrow" not in plan and "Sort" not in plan
     assert sorted(bytes(r["record"]) for r in found.collect()) == [b'1,"x\ny"', b"2,z", b"k,t"]
+
+
+LAYOUTS = {
+    "": None, "\n": True, " \r\n\n": True, '{"a": 1}': True, '{"a": 1}\n': True, '{"a": 1}  \n\n  {"a": "\u00e9"} ': True, '\n {"a": {"b": 1}}\r\n{"a": {}}': True,
+    '{"a": 1}\r{"a": 2}\r': True, '[{"a": 1}, {"a": 2}]': False, '{"a": {"b": 1}\n}': False, '{"a": {"b": 1}\n}\n': False, '{\n"a": 1}': False, '{"a": 1}\n{"a":\n2}': False,
+    '{"a": 1}\n1\n{"a": 2}': False, '{"a": 1}\n{"a": 2': False, '{"a": 1}\n[{"a": 2}]': False, '{"a": {"b": 1}\n, "c": {}}': False, '{"a": 1} 2': False, '{"a": 1}\n\n}\n': False,
+}
+
+
+def test_json_lines_are_told_from_other_layouts_without_reading_a_line_whole(spark, tmp_path, range_size):
+    import gzip
+
+    for k, (text, wanted) in enumerate(LAYOUTS.items()):
+        (tmp_path / f"{k}").mkdir()
+        (tmp_path / f"{k}/a.json").write_bytes(text.encode())
+        (tmp_path / f"{k}z").mkdir()
+        (tmp_path / f"{k}z/a.json.gz").write_bytes(gzip.compress(text.encode()))
+        range_size(7 if k % 2 else 1000)
+        assert json_lines(spark, str(tmp_path / f"{k}")) is wanted, text
+        assert bool(json_lines(spark, str(tmp_path / f"{k}z"))) is bool(wanted and text.strip()), text
+    (tmp_path / "mark.json").write_bytes(b"\xef\xbb\xbf" + b'{"a": 1}\n{"a": 2}\n')
+    assert json_lines(spark, str(tmp_path / "mark.json"))
+
+
+def test_an_array_in_one_line_is_no_single_row_of_any_pass(spark, tmp_path, range_size, monkeypatch):
+    (tmp_path / "a.json").write_text(json.dumps([{"id": i} for i in range(500)]))
+    range_size(300)
+    read = type(spark.read)
+
+    def by_line(reader, path, *rest, made=read.text):
+        assert getattr(reader, "_sep", None) or not str(path).endswith("a.json"), "read by lines"
+        return made(reader, path, *rest)
+
+    def option(reader, key, value, made=read.option):
+        made(reader, key, value)
+        reader._sep = key == "lineSep" or getattr(reader, "_sep", None)
+        return reader
+
+    monkeypatch.setattr(read, "text", by_line)
+    monkeypatch.setattr(read, "option", option)
+    assert read_json(spark, str(tmp_path / "a.json")).count() == 500
