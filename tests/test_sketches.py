@@ -46,3 +46,30 @@ def test_forest_scores_from_its_node_table(spark):
     again = iforest.scores_by_table(ctx.rows.select(*filled, ctx.column("id").alias("id")), "id", ["v0", "v1", "v2"], nodes, ctx.count)
     both = iforest.anomaly_scores(ctx, ["a", "b", "c"], ["id"]).join(again.withColumnRenamed("anomaly", "again"), "id")
     assert both.count() == 3000 and both.where("abs(anomaly - again) > 1e-9").count() == 0
+
+
+def test_rows_meet_every_tree_once_and_are_scored_once(spark):
+    """Leaves at several heights: small samples grow trees that end early."""
+    frame = spark.range(40).select(F.col("id"), (F.col("id") % 7).cast("double").alias("a"), (F.col("id") * 13 % 11).cast("double").alias("b"))
+    frame = durable(frame)
+    ctx = TableContext(frame)
+    filled, points, plain = iforest.filled_points(ctx, ["a", "b"])
+    nodes = durable(iforest.grow_forest(points, ["v0", "v1"], plain, ctx.count))
+    again = iforest.scores_by_table(ctx.rows.select(*filled, ctx.column("id").alias("id")), "id", ["v0", "v1"], nodes, ctx.count)
+    plan = again._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Join ") == 1
+    both = iforest.anomaly_scores(ctx, ["a", "b"], ["id"], nodes).join(again.withColumnRenamed("anomaly", "again"), "id")
+    assert both.count() == 40 and both.where("abs(anomaly - again) > 1e-9").count() == 0
+    scores = iforest.kept_scores(ctx, ["a", "b"])
+    assert "ArrowEvalPython" not in scores._jdf.queryExecution().executedPlan().toString()
+    one = nodes.toPandas()
+    features, cuts, path = iforest.complete_trees(one)
+    place = {(r.tree, r.node): r for r in one.itertuples()}
+    for tree in range(0, 100, 9):
+        for x in ((0.0, 10.0), (6.0, 3.0), (3.5, 0.5)):
+            node, at = 0, 0
+            while place[tree, node].feature >= 0:
+                node = 2 * node + 1 + (x[place[tree, node].feature] > place[tree, node].cut)
+            for feature, cut in zip(features, cuts):
+                at = 2 * at + (x[feature[tree][at]] > cut[tree][at])
+            assert path[tree][at] == place[tree, node].path
