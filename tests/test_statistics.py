@@ -165,3 +165,28 @@ def test_many_columns_are_correlated_in_one_scan(spark, monkeypatch):
     want = frame.corr().fillna(0)
     assert all(abs(r - want.loc[a, b]) < 1e-9 for (a, b), r in found.items()) and len(found) == 300
     assert not tiled  # nothing was left to the tiles
+
+
+def test_values_are_placed_between_any_number_of_cuts(spark):
+    """One value a column and row, whatever the cuts: a CASE per cell multiplied rows by cells and outgrew a method."""
+    import bisect
+    import random
+
+    from sievemark.plans.ks import _long, _placed
+
+    rng = random.Random(4)
+    marks = sorted({rng.choice([rng.gauss(0, 9), float(rng.randint(-50, 50))]) for _ in range(5000)})
+    values = [*marks[::7], *[rng.gauss(0, 12) for _ in range(700)], float("inf"), float("-inf"), -0.0, None]
+    frame = spark.createDataFrame([(v, i % 2) for i, v in enumerate(values)], "x double, side int").withColumn("y", F.col("x"))
+    for known in (marks, marks[:1], marks[:64], []):
+        for r in _placed(frame, {"x": known}).select("x", "x_at").collect():
+            left = None if r["x"] is None else bisect.bisect_left(known, r["x"])
+            assert r["x_at"] == (None if left is None else 2 * left + (left < len(known) and known[left] == r["x"]))
+    assert _long(frame, {"x": marks, "y": marks[:3]}, True).count() == 2 * (len(values) - 1)
+    rows = [(0, rng.choice([1.0, rng.gauss(0, 1)]), rng.gauss(0, 1)) for _ in range(900)] + [(1, rng.choice([1.0, rng.gauss(0.1, 1)]), rng.gauss(0, 1.4)) for _ in range(700)]
+    both = spark.createDataFrame(rows, "side int, a double, b double")
+    found = ks_statistics(both, F.col("side"), {"a": F.col("a"), "b": F.col("b")}, {"a": (900, 700), "b": (900, 700)}, limit=5, cuts=7)
+    for k, name in ((1, "a"), (2, "b")):
+        sides = [sorted(r[k] for r in rows if r[0] == s) for s in (0, 1)]
+        gaps = [abs(bisect.bisect_right(sides[0], v) / 900 - bisect.bisect_right(sides[1], v) / 700) for v in {r[k] for r in rows}]
+        assert abs(found[name] - max(gaps)) < 1e-12
