@@ -14,6 +14,7 @@ from sievemark.operators import countedtree, curves, logistic, mlbench, treetabl
 from sievemark.operators.mlbench import Encoding, fit_baseline, numbered_classes, prepare, split
 from sievemark.operators.repair import repair
 from sievemark.plans import strata
+from sievemark.plans.local import ROWS_A_FILE, stored
 
 
 def frame(spark, rows, schema):
@@ -217,3 +218,27 @@ def test_counted_tree_takes_the_best_split_and_any_number_of_classes(spark):
     # each class has two rows, both in training, so all rows judge: 64 leaves name 64 of 1,500 classes
     assert fit.judged_on == "training rows" and fit.importances == {"x": 1.0}
     assert 32 / 1500 <= fit.metrics["accuracy"] + 5e-5 and fit.metrics["accuracy"] <= 64 / 1500 + 5e-5
+
+
+def test_stored_rows_are_dealt_evenly(spark):
+    """A task wrote one file of all its rows, which no reader could deal to several tasks."""
+    rows = stored(spark.range(0, 300_000, 1, 1))
+    sizes = [r["n"] for r in rows.groupBy(F.spark_partition_id().alias("p")).agg(F.count(F.lit(1)).alias("n")).collect()]
+    assert sum(sizes) == 300_000 and rows.distinct().count() == 300_000
+    assert len(sizes) >= 4 and max(sizes) <= ROWS_A_FILE
+
+
+@pytest.mark.parametrize("model, kept", [("ridge", False), ("random_forest", True)])
+def test_vectors_take_no_memory_from_the_model(spark, monkeypatch, model, kept):
+    rows = spark.range(200).selectExpr("CAST(id AS DOUBLE) AS x", "CAST(id % 7 + 2 * id AS DOUBLE) AS y")
+    levels, plain = [], mlbench.estimator_for
+
+    def watched(*given):
+        name, estimator = plain(*given)
+        fit = estimator.fit
+        estimator.fit = lambda ready: levels.append(ready.storageLevel) or fit(ready)
+        return name, estimator
+
+    monkeypatch.setattr(mlbench, "estimator_for", watched)
+    assert fit_baseline(rows, "y", "regression", False, model).metrics["r2"] > 0.9
+    assert [(level.useDisk, level.useMemory) for level in levels] == [(kept, False)]
