@@ -242,3 +242,18 @@ def test_vectors_take_no_memory_from_the_model(spark, monkeypatch, model, kept):
     monkeypatch.setattr(mlbench, "estimator_for", watched)
     assert fit_baseline(rows, "y", "regression", False, model).metrics["r2"] > 0.9
     assert [(level.useDisk, level.useMemory) for level in levels] == [(kept, False)]
+
+
+def test_only_columns_with_gaps_are_looked_at_for_what_fills_them(spark, monkeypatch):
+    """Gaps of either side count; what fills them is of the training rows."""
+    train = spark.createDataFrame([(float(i), float(i), None if i == 5 else float(i), "a" if i else "b", "c" if i else "d") for i in range(9)], "w double, t double, g double, s string, u string")
+    test = spark.createDataFrame([(1.0, None, 2.0, "a", None), (float("nan"), 3.0, 2.0, "", "d")], train.schema)
+    asked, plain = [], mlbench.most_frequent
+    monkeypatch.setattr(mlbench, "most_frequent", lambda ctx, names: asked.append(list(names)) or plain(ctx, names))
+    names = train.columns
+    columns, encoding = prepare(train, names, test)
+    every, same = prepare(train, names)
+    assert asked == [["u"], ["s", "u"]] and (encoding.numbers, encoding.texts) == (same.numbers, same.texts) == (["w", "t", "g"], ["s", "u"])
+    for side in (train, test):
+        assert side.select(*columns).collect() == side.select(*every).collect()
+    assert [tuple(r) for r in test.select(*columns).collect()] == [(1.0, 4.0, 2.0, "a", "c"), (4.0, 3.0, 2.0, "(empty)", "d")]
