@@ -13,7 +13,9 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -22,25 +24,55 @@ from ..plans.local import shared_folder, stored
 PLACE = "file string, block long"
 #: States of at most so many ranges are broadcast.
 FEW_RANGES = 500_000
+#: Bytes of ranges that a task takes at least, once every core has tasks enough.
+BYTES_A_TASK = 128 << 20
+TASKS_A_CORE = 4
+
+
+def dealt(frame: DataFrame) -> DataFrame:
+    """A frame whose tasks take several ranges each where ranges are small and many; the ranges stay as they are."""
+    spark, ranges = frame.sparkSession, frame.rdd.getNumPartitions()
+    number, unit = re.fullmatch(r"(\d+)([kmgtp]?)b?", spark.conf.get("spark.sql.files.maxPartitionBytes").strip().lower()).groups()
+    most = int(number) << 10 * " kmgtp".index(unit or " ")
+    tasks = max(TASKS_A_CORE * spark.sparkContext.defaultParallelism, -(-ranges * most // BYTES_A_TASK))
+    return frame.coalesce(tasks) if tasks < ranges else frame
 
 
 def pieces_of(spark: SparkSession, path: str, separator: str) -> DataFrame:
     """(file, block, line, size, piece): a file's bytes between separators, in the order of (block, line)."""
     meta = F.col("_metadata")
-    return spark.read.option("lineSep", separator).text(path).select(
-        meta["file_path"].alias("file"), meta["file_block_start"].alias("block"), F.monotonically_increasing_id().alias("line"),
+    pieces = spark.read.option("lineSep", separator).text(path).select(
+        meta["file_path"].alias("file"), meta["file_block_start"].alias("block"),
         meta["file_size"].alias("size"), F.col("value").cast("binary").alias("piece"))
+    return dealt(pieces).select("file", "block", F.monotonically_increasing_id().alias("line"), "size", "piece")
+
+
+def _runs(batches: Iterator[pa.RecordBatch], *columns: str) -> Iterator[pa.RecordBatch]:
+    """Rows one after the other that are alike in some columns."""
+    for batch in batches:
+        new = np.zeros(max(batch.num_rows - 1, 0), bool)
+        for c in columns:
+            new |= pc.not_equal(batch[c][1:], batch[c][:-1]).to_numpy(zero_copy_only=False)
+        cuts = [0, *(np.flatnonzero(new) + 1).tolist(), batch.num_rows]
+        yield from (batch.slice(start, end - start) for start, end in zip(cuts, cuts[1:]) if end > start)
 
 
 def _stretches(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[tuple[str, int], pa.RecordBatch]]:
     """Runs of rows of one range."""
-    for batch in batches:
-        files, blocks = batch["file"].to_pylist(), batch["block"].to_pylist()
-        start = 0
-        for end in range(1, batch.num_rows + 1):
-            if end == batch.num_rows or blocks[end] != blocks[start] or files[end] != files[start]:
-                yield (files[start], blocks[start]), batch.slice(start, end - start)
-                start = end
+    for rows in _runs(batches, "file", "block"):
+        yield (rows["file"][0].as_py(), rows["block"][0].as_py()), rows
+
+
+def _packed(*columns: str) -> Column:
+    """A range's figures and file as one text: every further column costs Python about as much as the pieces do."""
+    return F.concat_ws(" ", *columns, "file").alias("place")
+
+
+def _unpacked(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[tuple[str, int], int, pa.RecordBatch]]:
+    """Runs of rows of one range, packed with its block and another figure."""
+    for rows in _runs(batches, "place"):
+        block, figure, file = rows["place"][0].as_py().split(" ", 2)
+        yield (file, int(block)), int(figure), rows
 
 
 def _durable(frame: DataFrame) -> DataFrame:
@@ -59,9 +91,10 @@ def _sent(rows: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], kind) for k, kind in enumerate(kinds)], names=names)
 
 
-def _records(pieces: DataFrame, states: DataFrame, cutter) -> DataFrame:
+def _records(pieces: DataFrame, states: DataFrame, cutter, *columns: str) -> DataFrame:
     """(first, broken, record): records inside a range, and those put together from the parts that ranges hold of them.
 
+    The cutter is given ``columns`` only.
     The states are one row a range and broadcast, so every range is cut where it is read and in its order; beyond FEW_RANGES
     Spark chooses the join and the pieces are put in order again.  The ranges are cut once and what is found is kept in
     Parquet, however often the records are read.
@@ -70,9 +103,9 @@ def _records(pieces: DataFrame, states: DataFrame, cutter) -> DataFrame:
         placed = pieces.drop("size").join(F.broadcast(states), ["file", "block"])
     else:
         placed = pieces.drop("size").join(states, ["file", "block"]).sortWithinPartitions("file", "block", "line")
-    found = stored(placed.mapInArrow(cutter, CUT))
+    found = stored(placed.select(*columns).mapInArrow(cutter, CUT))
     order = Window.partitionBy("file").orderBy("block", "line")
-    parts = found.where("NOT complete").withColumn("number", F.sum(F.col("begins").cast("long")).over(order))
+    parts = dealt(found).where("NOT complete").withColumn("number", F.sum(F.col("begins").cast("long")).over(order))
     parts = parts.groupBy("file", "number").agg(
         F.bool_or("first").alias("first"), F.first("broken").alias("broken"), F.sort_array(F.collect_list(F.struct("block", "line", "record"))).alias("p"))
     glue = F.aggregate("p", F.lit(b""), lambda done, p: F.concat(done, p["record"]))
@@ -175,7 +208,7 @@ def csv_records(spark: SparkSession, path: str, quotes: bool = True) -> DataFram
     states = effects.withColumns({"started": started, "broken": F.max("broken").over(Window.partitionBy("file"))})
     # a range that reached Python in several batches is several stretches: the first tells its state
     states = states.groupBy("file", "block").agg(F.min_by("started", "line").alias("started"), F.first("broken").alias("broken"))
-    return _records(lines, _durable(states), _csv_cut)
+    return _records(lines, _durable(states), _csv_cut, "file", "block", "line", "piece", "started", "broken")
 
 
 def decoded(record: Column, broken: Column, encoding: str | None, fallback: str) -> Column:
@@ -185,73 +218,137 @@ def decoded(record: Column, broken: Column, encoding: str | None, fallback: str)
 
 
 # ---- JSON -------------------------------------------------------------------------
-ESCAPED = re.compile(rb"\\.", re.S)
 #: What may stand between the values of a file.
 BETWEEN = re.compile(rb"(?:\xef\xbb\xbf)?[\s,\[\]]*+")
+QUOTE, BACKSLASH, CLOSED, BREAK, BLANK, MARK = b'"\\}\n \xef'
+#: By byte: whether it counts, what it adds to the nesting, whether it may stand between values, what it becomes in a record.
+COUNTS = np.isin(np.arange(256), [*b'"\\{}[]'])
+ADDS = np.zeros(256, np.int64)
+ADDS[[*b"{["]], ADDS[[*b"}]"]] = 1, -1
+LOOSE = np.isin(np.arange(256), [*b" \t\n\r\f\v,[]"])
+IN_A_LINE = np.arange(256, dtype=np.uint8)
+IN_A_LINE[[*b"\r\n"]] = BLANK
+#: What a piece is given at its end: the brace that ended it, and room for a line break.
+END = b"}\n"
+#: Steps over signs between values that all values of a batch take together; bytes of records that a row holds.
+STEPS, BYTES_A_ROW = 16, 1 << 20
+
+
+def _text_of(rows: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
+    """The bytes of all pieces, one after the other, and where each one ends."""
+    pieces = rows["piece"]
+    _, offsets, data = pieces.buffers()
+    wide = np.int64 if pa.types.is_large_binary(pieces.type) else np.int32
+    ends = np.frombuffer(offsets, wide)[pieces.offset:pieces.offset + len(pieces) + 1].astype(np.int64)
+    return np.frombuffer(data, np.uint8)[ends[0]:ends[-1]], ends[1:] - ends[0]
+
+
+def _counted(text: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(signs, turned, adds): quotes, brackets and braces, whether an odd number of quotes stands before or at each, what it adds.
+
+    Escaped signs are left out whatever the state, so that every other quote turns the state in both cases.  A brace that
+    ended a piece always counts.
+    """
+    at = np.flatnonzero(COUNTS[text])
+    signs = text[at]
+    slashes = at[signs == BACKSLASH]
+    if slashes.size:
+        number = np.arange(slashes.size)
+        first = np.maximum.accumulate(np.where(np.diff(slashes, prepend=-2) != 1, number, 0))
+        hidden = np.zeros(text.size + 1, bool)
+        hidden[slashes[(number - first) % 2 == 0] + 1] = True
+        signs = signs[(signs == CLOSED) | ~hidden[at] & (signs != BACKSLASH)]
+    return signs, np.cumsum(signs == QUOTE) % 2 == 1, ADDS[signs]
 
 
 def nested(piece: bytes, inside: bool) -> tuple[bool, int]:
-    """Whether a string is open after a piece and the closing brace that ended it, and by how much the nesting grew.
-
-    Escaped signs are left out whatever the state, so that every other quote turns the state in both cases.
-    """
-    if b"\\" in piece:
-        piece = ESCAPED.sub(b"", piece)
-    if b'"' in piece:
-        parts = piece.split(b'"')
-        piece = b"".join(parts[1::2] if inside else parts[::2])
-        inside ^= len(parts) % 2 == 0
-    elif inside:
-        return True, 0
-    grown = piece.count(b"{") + piece.count(b"[") - piece.count(b"]")
-    return inside, grown if inside else grown - 1
+    """Whether a string is open after a piece and the closing brace that ended it, and by how much the nesting grew."""
+    _, turned, adds = _counted(np.frombuffer(piece + END, np.uint8))
+    return bool(turned[-1] != inside), int(adds[turned == inside].sum())
 
 
 def _json_effects(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for (file, block), rows in _stretches(batches):
-        states = [[False, 0], [True, 0]]
-        pieces = rows["piece"].to_pylist()
-        for piece in pieces:
-            for state in states:
-                state[0], grown = nested(piece, state[0])
-                state[1] += grown
+    for number, ((file, block), whole, rows) in enumerate(_unpacked(batches)):
+        text, ends = _text_of(rows)
+        _, turned, adds = _counted(text)
+        grown, odd = int(adds[~turned].sum()), bool(turned[-1])
+        pieces = (text[start:end - len(END)].tobytes() for start, end in zip(np.append(0, ends), ends))
         filled = next((p.lstrip(b"\xef\xbb\xbf \t\r\n") for p in pieces if p.strip()), b"")
         yield pa.RecordBatch.from_arrays(
-            [pa.array([file]), pa.array([block], pa.int64()), rows["line"].slice(0, 1), rows["size"].slice(0, 1), pa.array([sum(map(len, pieces)) + len(pieces)], pa.int64()),
-             pa.array([filled.startswith(b"[")]), pa.array([states[0][0]]), pa.array([states[1][0]]), pa.array([states[0][1]], pa.int64()), pa.array([states[1][1]], pa.int64())],
+            [pa.array([file]), pa.array([block], pa.int64()), pa.array([number], pa.int64()), pa.array([whole], pa.int64()), pa.array([text.size - ends.size], pa.int64()),
+             pa.array([filled.startswith(b"[")]), pa.array([odd]), pa.array([not odd]), pa.array([grown], pa.int64()), pa.array([int(adds.sum()) - grown], pa.int64())],
             names=["file", "block", "line", "size", "bytes", "array", "out", "inside", "grown_out", "grown_inside"])
 
 
+def _values(text: np.ndarray, begins: np.ndarray) -> np.ndarray:
+    """Where values start that stand at or after ``begins``; the brace that ends a piece is a value too."""
+    at, left = begins.copy(), np.arange(begins.size)
+    for _ in range(STEPS):
+        left = left[LOOSE[text[at[left]]]]
+        at[left] += 1
+    for k in np.flatnonzero((text[at] == MARK) | LOOSE[text[at]]).tolist():
+        at[k] = BETWEEN.match(text, begins[k]).end()
+    return at
+
+
 def _json_cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    key, held, whole, inside, depth, base, at, made = None, [], True, False, 0, 0, 0, []
+    """Records and parts of records of every range; a row holds many records, a line each.
+
+    Of a stretch's two parts at most, the one at its end has the higher number.
+    """
+    key, held, whole, inside, depth, at, made, size = None, [], True, False, 0, 0, [], 0
 
     def ended(done: bool) -> list[tuple]:
-        if not held:
-            return []
-        return [(*key, at, whole, False, False, whole and done, b"}".join([*held, b""]).replace(b"\n", b" ").replace(b"\r", b" "))]
+        return [(*key, at, whole, False, False, whole and done, b"".join(held))] if held else []
 
-    for place, rows in _stretches(batches):
+    for number, (place, state, rows) in enumerate(_unpacked(batches)):
         if place != key:
             made += ended(False)
             key, held = place, []
-            inside, depth, base = (rows[c][0].as_py() for c in ("started", "depth", "base"))
-            whole = not inside and depth <= base
-        for number, piece in zip(rows["line"].to_pylist(), rows["piece"].to_pylist()):
-            if whole and not held:  # between values
-                start = BETWEEN.match(piece).end()
-                depth += piece.count(b"[", 0, start) - piece.count(b"]", 0, start)
-                piece, at = piece[start:], number
-                if not piece:
-                    continue  # what follows the last value
-            held.append(piece)
-            inside, grown = nested(piece, inside)
-            depth += grown
-            if not inside and depth <= base:
-                made += ended(True)
-                held, whole = [], True
-        if len(made) >= 1000:
+            inside, depth = state % 2 == 1, state >> 1
+            whole = not inside and depth <= 0
+        text, ends = _text_of(rows)
+        signs, turned, adds = _counted(text)
+        braces, outside = signs == CLOSED, turned == inside
+        deep = depth + np.cumsum(np.where(outside, adds, 0))
+        closed = np.flatnonzero(outside[braces] & (deep[braces] <= 0))
+        inside, depth = bool(turned[-1] != inside), int(deep[-1])
+        # stretches of pieces up to each end of a value, and the pieces left over
+        stops = ends[closed]
+        begins = np.concatenate([[0], stops]) if not closed.size or stops[-1] < ends[-1] else np.concatenate([[0], stops[:-1]])
+        starts = _values(text, begins)
+        if held or not whole:
+            starts[0] = 0
+        nothing = starts[:stops.size] == stops - len(END)
+        nothing[:1] &= not held and whole
+        starts[:stops.size][nothing] = stops[nothing]
+        text, keep = IN_A_LINE[text], np.ones(text.size, bool)
+        keep[ends - 1] = False
+        text[stops - 1], keep[stops - 1] = BREAK, True
+        gaps = starts - begins
+        keep[np.arange(gaps.sum()) + np.repeat(begins - np.cumsum(gaps) + gaps, gaps)] = False
+        done = 0
+        if closed.size and (held or not whole):
+            at = at if held else 2 * number
+            done = int(stops[0])
+            held.append(text[:done - 1][keep[:done - 1]].tobytes())
+            made += ended(True)
+            size, held = size + sum(map(len, held)), []
+        if closed.size:
+            whole, last = True, int(stops[-1])
+            lines = text[done:last][keep[done:last]].tobytes()
+            size, start = size + len(lines), 0
+            while start < len(lines):
+                end = lines.find(b"\n", min(start + BYTES_A_ROW, len(lines) - 1))
+                made.append((*key, 0, True, False, False, True, lines[start:end]))
+                start = end + 1
+            done = last
+        if done < text.size:
+            at = at if held else 2 * number + 1
+            held.append(text[done:][keep[done:]].tobytes())
+        if len(made) >= 1000 or size >= 16 * BYTES_A_ROW:
             yield _sent(made)
-            made = []
+            made, size = [], 0
     made += ended(False)
     if made:
         yield _sent(made)
@@ -260,11 +357,12 @@ def _json_cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def json_records(spark: SparkSession, path: str) -> str:
     """Folder of JSON Lines with the objects of arrays, of single objects and of values one after the other.
 
-    Line breaks between an object's parts become spaces.  A file that ends inside a value is an error.
+    Line breaks between an object's parts become spaces.  A file that ends inside a value is an error.  The files written
+    can't be cut into ranges, so that small ranges of the input don't make as many tasks of every later read.
     """
-    pieces = pieces_of(spark, path, "}")
+    pieces = pieces_of(spark, path, "}").withColumn("piece", F.concat("piece", F.lit(END)))
     effect = f"{PLACE}, line long, size long, bytes long, array boolean, out boolean, inside boolean, grown_out long, grown_inside long"
-    effects = _durable(pieces.mapInArrow(_json_effects, effect))
+    effects = _durable(pieces.select("piece", _packed("block", "size")).mapInArrow(_json_effects, effect))
     order = Window.partitionBy("file").orderBy("block", "line")
     before = order.rowsBetween(Window.unboundedPreceding, -1)
     # quotes turn the state or keep it, whatever it was: a backslash hides the next sign in both
@@ -278,8 +376,10 @@ def json_records(spark: SparkSession, path: str) -> str:
     bad = file.where(F.col("open") | F.coalesce(F.col("end") != extra, ~F.col("end").isin(-1, 0))).agg(F.min("file"), F.count(F.lit(1))).first()
     if bad[1]:
         raise ValueError(f"{bad[1]} files end inside a JSON value, {bad[0]} for one")
-    states = _durable(effects.groupBy("file", "block").agg(*[F.min_by(c, "line").alias(c) for c in ("started", "depth", "base")]))
-    whole = _records(pieces, states, _json_cut)
+    state = 2 * (F.col("depth") - F.col("base")) + F.col("started").cast("long")
+    states = effects.groupBy("file", "block").agg(F.min_by(state, "line").alias("state"))
+    states = _durable(states.select("file", "block", _packed("block", "state")))
+    whole = _records(pieces, states, _json_cut, "piece", "place")
     folder = shared_folder(spark, "records")
-    whole.select(F.col("record").cast("string").alias("value")).write.text(folder)
+    dealt(whole.select(F.col("record").cast("string").alias("value"))).write.option("compression", "snappy").text(folder)
     return folder

@@ -46,15 +46,21 @@ def json_lines(spark: SparkSession, path: str) -> bool | None:
 
     A line may be a whole file, so none is read whole: files are cut after closing braces, as ``ranges.json_records`` cuts
     them.  A line break then has blanks only between it and the brace before it, and an object's start behind it; a file
-    begins so too, and what follows its last brace is blank.  A single row reaches the driver.
+    begins so too, and what follows its last brace is blank.  A single row reaches the driver.  If the first file begins
+    with anything else, such as an array, that settles it.
     """
     text, blanks = F.col("piece").cast("string"), F.lit(" \r\n")
     pieces = pieces_of(spark, path, "}").select(
         "file", "size", F.struct("block", "line").alias("place"), F.octet_length("piece").alias("bytes"),
-        text.rlike(r"[\r\n]").alias("breaks"), F.ltrim(text, blanks).alias("rest"))
-    starts = F.col("rest").startswith("{") & ~F.col("rest").rlike(r"[\r\n]")
+        (text.contains("\n") | text.contains("\r")).alias("breaks"), F.ltrim(text, blanks).alias("rest"))
+    starts = F.col("rest").startswith("{") & ~F.col("rest").contains("\n") & ~F.col("rest").contains("\r")
     empty = F.col("rest") == ""
     pieces = pieces.select("file", "size", "place", "bytes", "breaks", starts.alias("starts"), empty.alias("empty"))
+    top = pieces.first()
+    if top is None:
+        return None
+    if not (top["starts"] or top["empty"] or top["place"]["block"]):
+        return False
     files = pieces.groupBy("file").agg(
         (F.sum("bytes") + F.count(F.lit(1)) - F.first("size")).alias("over"),
         F.bool_and(~F.col("breaks") | F.col("starts") | F.col("empty")).alias("fit"),

@@ -5,9 +5,11 @@ import io
 import json
 import random
 
+import pyarrow as pa
 import pytest
 
-from sievemark.sources.ranges import csv_records, inside_after, nested
+from sievemark.sources import readers
+from sievemark.sources.ranges import END, _json_cut, csv_records, inside_after, nested, pieces_of
 from sievemark.sources.readers import column_names, json_lines, read_csv, read_json
 
 CELLS = ["plain", "", "with, comma", 'say ""twice""', "two\nlines", "dos\r\nlines", 'quote " inside', "\n", '"', '""', "end\n", "é漢", " blank ", ",", '",\n"', "a" * 90]
@@ -199,3 +201,51 @@ def test_an_array_in_one_line_is_no_single_row_of_any_pass(spark, tmp_path, rang
     monkeypatch.setattr(read, "text", by_line)
     monkeypatch.setattr(read, "option", option)
     assert read_json(spark, str(tmp_path / "a.json")).count() == 500
+
+
+def test_small_ranges_share_tasks_and_what_is_written_makes_few(spark, tmp_path, range_size):
+    (tmp_path / "a.json").write_text(json.dumps([{"id": i, "t": "x} {"} for i in range(600)]))
+    range_size(50)
+    most = 4 * spark.sparkContext.defaultParallelism
+    pieces = pieces_of(spark, str(tmp_path / "a.json"), "}")
+    assert pieces.rdd.getNumPartitions() <= most
+    ranges, lines = pieces.select("block").distinct().count(), [r["line"] for r in pieces.orderBy("block", "line").collect()]
+    assert ranges > 4 * most and len({*lines}) == len(lines) == 1201
+    frame = read_json(spark, str(tmp_path / "a.json"))
+    assert frame.rdd.getNumPartitions() <= 2 * most
+    assert sorted(r["id"] for r in frame.collect()) == list(range(600))
+
+
+def in_batches(pieces, at, state, size):
+    rows = [(piece.encode() + END, f"{block} {state[block]} f") for piece, block in zip(pieces, at)]
+    for k in range(0, len(rows), size):
+        part = rows[k:k + size]
+        yield pa.RecordBatch.from_pydict({"piece": [r[0] for r in part], "place": [r[1] for r in part]})
+
+
+def test_values_are_cut_alike_however_their_pieces_are_dealt_to_batches_and_ranges():
+    rng = random.Random(4)
+    for _ in range(300):
+        values = [{"i": i, "t": rng.choice(["", "}", "\\", '"', "{[", "a\nb", "\\}", "}}\"{"]), "d": rng.choice([{}, [{}], {"x": {"y": "}"}}, [1, [2, {}]]])} for i in range(rng.randint(0, 12))]
+        array = rng.random() < 0.7
+        text = json.dumps(values, indent=rng.choice([None, 2, 20])) if array else rng.choice(["", "\n", ", \r\n "]).join(map(json.dumps, values)) + rng.choice(["", " ", "\n"])
+        pieces, block, at, state, inside, depth = text.split("}"), 0, [], {}, False, 0
+        for k, piece in enumerate(pieces):
+            if not k or rng.random() < 0.2:
+                block = k
+                state[k] = 2 * (depth - array) + inside
+            at.append(block)
+            inside, grown = nested(piece.encode(), inside)
+            depth += grown
+        found = [r for b in _json_cut(in_batches(pieces, at, state, rng.choice([1, 2, 3, 50]))) for r in b.to_pylist()]
+        lines = [x for r in found if r["complete"] for x in r["record"].decode().split("\n")]
+        parts, held = sorted((r["block"], r["line"], r["begins"], r["record"].decode()) for r in found if not r["complete"]), []
+        for *_, begins, record in parts:
+            held = [*held, record] if begins else [*held[:-1], held[-1] + record]
+        assert sorted((json.loads(x) for x in lines + held), key=lambda v: v["i"]) == values, text
+
+
+def test_a_file_that_begins_as_an_array_is_not_looked_through(spark, tmp_path, monkeypatch):
+    (tmp_path / "a.json").write_text('[{"id": 1},\n{"id": 2}]')
+    monkeypatch.setattr(readers.F, "bool_and", None)
+    assert json_lines(spark, str(tmp_path)) is False
