@@ -41,10 +41,9 @@ def dealt(frame: DataFrame) -> DataFrame:
 def pieces_of(spark: SparkSession, path: str, separator: str) -> DataFrame:
     """(file, block, line, size, piece): a file's bytes between separators, in the order of (block, line)."""
     meta = F.col("_metadata")
-    pieces = spark.read.option("lineSep", separator).text(path).select(
-        meta["file_path"].alias("file"), meta["file_block_start"].alias("block"),
+    return spark.read.option("lineSep", separator).text(path).select(
+        meta["file_path"].alias("file"), meta["file_block_start"].alias("block"), F.monotonically_increasing_id().alias("line"),
         meta["file_size"].alias("size"), F.col("value").cast("binary").alias("piece"))
-    return dealt(pieces).select("file", "block", F.monotonically_increasing_id().alias("line"), "size", "piece")
 
 
 def _runs(batches: Iterator[pa.RecordBatch], *columns: str) -> Iterator[pa.RecordBatch]:
@@ -360,7 +359,7 @@ def json_records(spark: SparkSession, path: str) -> str:
     Line breaks between an object's parts become spaces.  A file that ends inside a value is an error.  The files written
     can't be cut into ranges, so that small ranges of the input don't make as many tasks of every later read.
     """
-    pieces = pieces_of(spark, path, "}").withColumn("piece", F.concat("piece", F.lit(END)))
+    pieces = dealt(pieces_of(spark, path, "}")).withColumn("piece", F.concat("piece", F.lit(END)))
     effect = f"{PLACE}, line long, size long, bytes long, array boolean, out boolean, inside boolean, grown_out long, grown_inside long"
     effects = _durable(pieces.select("piece", _packed("block", "size")).mapInArrow(_json_effects, effect))
     order = Window.partitionBy("file").orderBy("block", "line")

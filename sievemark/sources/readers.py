@@ -16,7 +16,7 @@ from pyspark.sql import types as T
 from ..functions.expr import quoted, strip
 from ..functions.fixed import NA_TOKENS, NUMBER_PATTERN
 from ..operators.rules import RULE_SCHEMA, Rule, rules_from
-from .ranges import csv_records, decoded, json_records, pieces_of
+from .ranges import csv_records, dealt, decoded, json_records, pieces_of
 
 
 class EmptyInput(ValueError):
@@ -50,7 +50,7 @@ def json_lines(spark: SparkSession, path: str) -> bool | None:
     with anything else, such as an array, that settles it.
     """
     text, blanks = F.col("piece").cast("string"), F.lit(" \r\n")
-    pieces = pieces_of(spark, path, "}").select(
+    pieces = dealt(pieces_of(spark, path, "}")).select(
         "file", "size", F.struct("block", "line").alias("place"), F.octet_length("piece").alias("bytes"),
         (text.contains("\n") | text.contains("\r")).alias("breaks"), F.ltrim(text, blanks).alias("rest"))
     starts = F.col("rest").startswith("{") & ~F.col("rest").contains("\n") & ~F.col("rest").contains("\r")

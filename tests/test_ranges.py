@@ -9,7 +9,7 @@ import pyarrow as pa
 import pytest
 
 from sievemark.sources import readers
-from sievemark.sources.ranges import END, _json_cut, csv_records, inside_after, nested, pieces_of
+from sievemark.sources.ranges import END, _json_cut, csv_records, dealt, inside_after, nested, pieces_of
 from sievemark.sources.readers import column_names, json_lines, read_csv, read_json
 
 CELLS = ["plain", "", "with, comma", 'say ""twice""', "two\nlines", "dos\r\nlines", 'quote " inside', "\n", '"', '""', "end\n", "é漢", " blank ", ",", '",\n"', "a" * 90]
@@ -207,7 +207,7 @@ def test_small_ranges_share_tasks_and_what_is_written_makes_few(spark, tmp_path,
     (tmp_path / "a.json").write_text(json.dumps([{"id": i, "t": "x} {"} for i in range(600)]))
     range_size(50)
     most = 4 * spark.sparkContext.defaultParallelism
-    pieces = pieces_of(spark, str(tmp_path / "a.json"), "}")
+    pieces = dealt(pieces_of(spark, str(tmp_path / "a.json"), "}"))
     assert pieces.rdd.getNumPartitions() <= most
     ranges, lines = pieces.select("block").distinct().count(), [r["line"] for r in pieces.orderBy("block", "line").collect()]
     assert ranges > 4 * most and len({*lines}) == len(lines) == 1201
